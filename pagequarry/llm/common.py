@@ -101,3 +101,12 @@ def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edge[offsets] = True
     ends = np.flatnonzero(inside & edge[1:]) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def arrow(kind: str):
+    """Like arrow_udf(kind), but for functions of modules that may be imported before there is a session."""
+
+    def of(function):
+        return lambda *columns: F.arrow_udf(function, kind)(*columns)
+
+    return of

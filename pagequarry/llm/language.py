@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import fold, slices, sums
+from pagequarry.llm.common import arrow, fold, slices, sums
 
 #: Bytes of context.
 ORDER = 3
@@ -145,7 +145,7 @@ def predictor(spark, model: dict):
     shared = spark.sparkContext.broadcast(model)
     key = str(id(shared))
 
-    @F.arrow_udf(RESULT)
+    @arrow(RESULT)
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         costs = _costs(key, shared)
         for batch in texts:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import range_hashes, slices, word_ranges
+from pagequarry.llm.common import arrow, range_hashes, slices, word_ranges
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
 
-    @F.arrow_udf(PIECES)
+    @arrow(PIECES)
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of, end = encoder(vocabulary(tokenizer)), np.array([end_id], "<u4").tobytes()
         for batch in batches:

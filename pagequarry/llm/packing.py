@@ -25,8 +25,8 @@ END_ID = 1
 #: Different words whose ids a worker keeps; beyond it the worker starts afresh.
 KEPT_WORDS = 1 << 20
 
-PIECES = "array<struct<start:bigint,length:bigint,ids:binary>>"
-PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+PIECES = "array<struct<start:bigint,length:bigint,ids:binary,doc_tokens:bigint>>"
+PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of, end = encoder(vocabulary(tokenizer)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            number, start, length, ids = [0], [], [], []
+            number, start, length, ids, tokens = [0], [], [], [], []
             for _, data, offsets in slices(batch):
                 flat, begin = of.encode(data, offsets)
                 raw = flat.astype("<u4").tobytes()
@@ -145,12 +145,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                         start.append(s)
                         length.append(n)
                         ids.append(own[4 * s : 4 * (s + n)])
-            values = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], fields=list(PIECE))
+                        tokens.append(b - a + 1)
+            values = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64())], fields=list(PIECE))
             yield pa.ListArray.from_arrays(pa.array(number, pa.int32()), values)
 
-    cut = docs.select(F.col(id_col), pieces(F.col(text_col).cast("string")).alias("pieces"))
-    cut = cut.select(id_col, F.aggregate("pieces", F.lit(0).cast("bigint"), lambda n, p: n + p["length"]).alias("doc_tokens"), F.explode("pieces").alias("piece"))
-    return cut.select(id_col, "piece.start", "piece.length", "piece.ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    cut = docs.select(F.col(id_col), F.explode(pieces(F.col(text_col).cast("string"))).alias("piece"))
+    return cut.select(id_col, "piece.start", "piece.length", "piece.ids", "piece.doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

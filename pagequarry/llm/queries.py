@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chat, language, lines, neighbours, packing, quality, simhash
+from pagequarry.llm import chat, contamination, language, licenses, lines, neighbours, packing, privacy, quality, simhash
 from pagequarry.llm.common import fold, table
 
 
@@ -13,16 +13,37 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.bits").alias("bits_per_byte"))
 
 
+def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find(table(spark, sf_dir, "documents"))
+
+    def of_kind(k: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{privacy.KINDS[k]}")
+
+    counts = [of_kind(k) for k in range(4)]
+    every = F.sort_array(F.concat("base", "terms"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(privacy.written(F.col("base")), 256).alias("base_sha256"), privacy.written(every).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "notice", "start", F.round("containment", 6).alias("containment"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n", F.round("similarity", 6).alias("similarity")).distinct()
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup(table(spark, sf_dir, "documents"))
     runs = F.array_join(F.transform("clean.runs", lambda r: F.concat_ws(":", r["start"], r["end"])), ",")
@@ -54,9 +75,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_contamination": op2_contamination,
     "op3_lines": op3_lines,
     "op4_neighbours": op4_neighbours,
+    "op5_privacy": op5_privacy,
     "op6_packing": op6_packing,
+    "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,

@@ -28,10 +28,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its group of near-duplicates stays, the rest of the group goes; a row without an id can't be told from others of its text and goes where another stays."""
-    found = simhash.near_duplicates(docs).select(F.col("doc_id").alias("id"), "component").where(F.col("id").eqNullSafe(F.col("component"))).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates stays: that with the smallest id, of several rows with this id that with the smallest text hash, once."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
+    kept = simhash.near_duplicates(docs).groupBy("root").agg(first.alias("one"))
+    kept = kept.select(F.xxhash64("one.id", "one.text_hash").alias("__key"), F.col("one.text_hash").alias("__hash"))
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    keyed = docs.withColumn("__hash", text_hash).withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("__hash")))
+    return keyed.join(kept, ["__key", "__hash"], "left_semi").dropDuplicates(["__key", "__hash"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,14 +59,14 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp) for every row."""
+    """(id, text_hash, fp) for every row."""
 
     @arrow("bigint")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             yield pa.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, words) for t in batch.cast(pa.binary())], pa.int64())
 
-    return docs.select(F.col(id_col), of(F.col(text_col).cast("string")).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), of(F.col(text_col).cast("string")).alias("fp"))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -199,11 +199,10 @@ def _spans(starts: np.ndarray, rows: int = 4096):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(id, fp, component): the component is the smallest id that links of at most `radius` differing bits reach."""
+    """(id, text_hash, fp, root, component) for every row: root names the group, component is the smallest id in it. Links are fingerprints at most `radius` bits apart."""
     every = checkpointed(fingerprints(docs, id_col, text_col, words))
-    classes = every.groupBy("fp").agg(F.min(id_col).alias("least"))
+    classes = every.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(classes.select("fp"), radius, tile), "fp", "to")
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select(classes["fp"], "least", F.coalesce("root", classes["fp"]).alias("root"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = checkpointed(named.join(of_root, "root").select("fp", "component"))
-    return every.join(named, "fp").select(F.col(id_col), "fp", "component")
+    return every.join(named.join(of_root, "root").select("fp", "root", "component"), "fp").select("id", "text_hash", "fp", "root", "component")

@@ -1,6 +1,6 @@
 """The queries of this library."""
 
-from pagequarry.plans import store, text
+from pagequarry.plans import pages, store, text
 from pagequarry.plans.registry import ORACLES, QUERIES
 
 

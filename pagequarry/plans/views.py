@@ -40,7 +40,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("user_id AS key", "unix_micros(ts) / 1e6D AS start", "unix_micros(ts) / 1e6D + value AS stop", "event_type AS line", "event_id")
+    return table(spark, sf_dir, "events").selectExpr("user_id AS key", "unix_micros(cast(ts AS timestamp)) / 1e6D AS start", "unix_micros(cast(ts AS timestamp)) / 1e6D + value AS stop", "event_type AS line", "event_id")
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

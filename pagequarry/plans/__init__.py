@@ -1,6 +1,6 @@
 """The queries of this library."""
 
-from pagequarry.plans import pages, store, structure, text
+from pagequarry.plans import formats, pages, store, structure, text
 from pagequarry.plans.registry import ORACLES, QUERIES
 
 

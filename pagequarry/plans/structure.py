@@ -48,12 +48,19 @@ def subtree_blocks(spark, sf_dir):
     return S.subtree_blocks(listed(spark, sf_dir).drop("text"))
 
 
-QUERY_SQL = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark WHERE item_id < 6)"
+#: Six queries from the benchmark's texts for work by section, and one for each text for the whole corpus.
+QUERY_SQL = "q AS (SELECT length(text) % 6 AS query_id, min(array_to_string(string_split(text, ' ')[1:4], ' ')) AS query FROM benchmark GROUP BY 1)"
+ITEM_SQL = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark)"
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:[-.][\p{{L}}\p{{N}}]+)*')"
 
 
 def queries(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").where("item_id < 6").selectExpr("item_id AS query_id", "array_join(slice(split(text, ' '), 1, 4), ' ') AS query")
+    first = F.expr("array_join(slice(split(text, ' '), 1, 4), ' ')")
+    return table(spark, sf_dir, "benchmark").groupBy((F.length("text") % 6).cast("long").alias("query_id")).agg(F.min(first).alias("query"))
+
+
+def item_queries(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "array_join(slice(split(text, ' '), 1, 4), ' ') AS query")
 
 
 W_SQL = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length / average))"
@@ -67,12 +74,12 @@ def bm25_sections(spark, sf_dir):
     return S.bm25_sections(listed(spark, sf_dir), queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query("bm25_search", f"""WITH {QUERY_SQL}, {ASKED}, k AS (SELECT doc_id AS id, {TOKENS.format('text')} AS tokens FROM documents), z AS (SELECT id, tokens, len(tokens) AS length, count(*) OVER () AS n, avg(len(tokens)) OVER () AS average FROM k),
+@query("bm25_search", f"""WITH {ITEM_SQL}, {ASKED}, k AS (SELECT doc_id AS id, {TOKENS.format('text')} AS tokens FROM documents), z AS (SELECT id, tokens, len(tokens) AS length, count(*) OVER () AS n, avg(len(tokens)) OVER () AS average FROM k),
 f AS (SELECT id, length, n, average, term, count(*) AS tf FROM (SELECT id, length, n, average, unnest(tokens) AS term FROM z) WHERE term IN (SELECT term FROM a) GROUP BY ALL), d AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM f),
 g AS (SELECT query_id, id, sum({W_SQL}) AS score FROM d JOIN a USING (term) GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM g)
 SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def bm25_search(spark, sf_dir):
-    return S.bm25_search(table(spark, sf_dir, "documents"), queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return S.bm25_search(table(spark, sf_dir, "documents"), item_queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def extract(spark, sf_dir):
@@ -92,10 +99,10 @@ def token_savings(spark, sf_dir):
     return stats.token_savings(rows, "bucket")
 
 
-@query("assemble_regions", f"""WITH {LINES}, k AS (SELECT id, idx, text FROM t WHERE (id + idx) % 3 > 0), i AS (SELECT *, idx - row_number() OVER (PARTITION BY id ORDER BY idx) AS island FROM k),
+@query("assemble_regions", f"""WITH {LINES}, k AS (SELECT id, idx, text FROM t WHERE length(text) >= 30), i AS (SELECT *, idx - row_number() OVER (PARTITION BY id ORDER BY idx) AS island FROM k),
 r AS (SELECT id, island, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM i GROUP BY ALL) SELECT id, count(*) AS regions, md5(string_agg(text, chr(10) || chr(10) || '[…]' || chr(10) || chr(10) ORDER BY island)) AS markdown_md5 FROM r GROUP BY id""")
 def assemble_regions(spark, sf_dir):
-    kept = line_blocks(spark, sf_dir).where("(id + idx) % 3 > 0").select("id", "idx", "text")
+    kept = line_blocks(spark, sf_dir).where("length(text) >= 30").select("id", "idx", "text")
     return S.assemble_regions(kept, ["id"]).select("id", "regions", F.md5("markdown").alias("markdown_md5"))
 
 

@@ -88,7 +88,7 @@ def relative_time(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.relative_time(F.col("ts"), F.expr(AS_OF)).alias("age"))
 
 
-@query("strip_tags", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM pages".replace('""', '"'))
+@query("strip_tags", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM pages")
 def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("plain"))
 

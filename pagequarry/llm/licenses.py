@@ -34,7 +34,7 @@ def telling_words(notices: dict[str, str], least: float) -> list[str]:
     for found in split.values():
         shingles = [set(found[i : i + WORDS]) for i in range(max(1, len(found) - WORDS + 1))]
         for w in sorted(set(found), key=lambda w: (-uses[w] * (w.startswith("licen")), -len(w), w)):
-            if sum(bool(s & set(chosen)) for s in shingles) > (1 - least) * len(shingles):
+            if sum(bool(s & set(chosen)) for s in shingles) > (1 - least) * len(shingles) + 1e-9:
                 break
             chosen.append(w)
     return sorted(set(chosen))

@@ -3,7 +3,10 @@
 Trees are grown on a bounded sample of the different vectors: a node splits its sample at the median of the projection on the
 difference of two random members. Every different vector is filed in one leaf of each tree. A query keeps one
 priority queue for all trees, takes the branch whose cutting planes lie nearest to it again and again, and
-stops after enough members; the leaves' members are then measured exactly, in double precision.
+stops after a share of the members. That share is measured: for some members of the sample, how far their queues must go to
+meet most (TARGET) of their true neighbours there; clustered vectors need little, shapeless ones much. A leaf's members
+are compared with the queries that visit it where the leaf lies; each task passes on a query's best few, and those
+are measured exactly, in double precision.
 
 Equal vectors are one member with its smallest ids, as many as an answer can hold, so a group of equal vectors of any
 size costs one comparison and loses no answer.
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import checkpointed
 
-#: Trees; vectors of the sample that grows them; members of a leaf, about; members that a query looks at, at least.
-TREES, SAMPLE, LEAF, LOOKED_AT = 24, 20_000, 48, 2500
+#: Trees; vectors of the sample that grows them, about; members of a leaf, about; recall that the measured share aims at; members of the sample that measure it.
+TREES, SAMPLE, LEAF, TARGET, PROBES = 8, 20_000, 256, 0.97, 60
+#: Comparisons that a task holds before it keeps each query's best again.
+HELD = 1 << 19
 
 
 class Tree:
@@ -100,67 +105,159 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("key").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set("id")).alias("ids"))
 
 
-def grow(members: DataFrame, trees: int, sample: int, leaf: int) -> list[Tree]:
+def sampled(members: DataFrame, sample: int) -> tuple[np.ndarray, int]:
+    """About `sample` members as a matrix, and the number of all."""
     total = members.count()
     share = int(1e6 * min(1.0, sample / max(1, total))) + 1
     rows = members.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_000)) < share).select("key", "vec").toPandas().sort_values("key")
-    if not len(rows):
-        return []
-    taken = np.stack(rows["vec"].to_list()).astype(np.float32)
-    return [Tree(taken, max(2, round(leaf * len(taken) / total)), seed) for seed in range(trees)]
+    return (np.stack(rows["vec"].to_list()) if len(rows) else np.zeros((0, 1))).astype(np.float32), total
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+def visits(forest: list[Tree], sizes: list[np.ndarray], x: np.ndarray):
+    """(tree, leaf) in the order in which one queue for all trees meets them."""
+    queue = [(-np.inf, t, tree.root) for t, tree in enumerate(forest)]
+    heapq.heapify(queue)
+    while queue:
+        near, t, node = heapq.heappop(queue)
+        if node < 0:
+            if sizes[t][-1 - node]:
+                yield t, -1 - node
+            continue
+        tree = forest[t]
+        margin = float(x @ tree.normals[node] - tree.cuts[node])
+        side = int(margin >= 0)
+        heapq.heappush(queue, (near, t, int(tree.children[node, side])))
+        heapq.heappush(queue, (max(near, abs(margin)), t, int(tree.children[node, 1 - side])))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, looked_at: int = LOOKED_AT) -> DataFrame:
-    """(query_id, rank, id, score): each query's k nearest found, by Euclidean distance. is_query: a condition on column id."""
+def measured_share(forest: list[Tree], sample: np.ndarray, k: int, target: float = TARGET, probes: int = PROBES) -> float:
+    """How many members, repeats in other trees included, a queue must meet for each member of the sample to find the target share of true neighbours."""
+    leaves = [t.leaf_of(sample) for t in forest]
+    sizes = [np.bincount(leaf, minlength=t.leaves) for leaf, t in zip(leaves, forest)]
+    needed = []
+    for q in np.linspace(0, len(sample) - 1, min(probes, len(sample))).astype(int):
+        away = ((sample - sample[q]) ** 2).sum(axis=1)
+        away[q] = np.inf
+        true = np.argsort(away)[: min(k, len(sample) - 1)]
+        where = {(t, int(leaf[n])) for t, leaf in enumerate(leaves) for n in true}
+        left, met = set(true.tolist()), 0
+        for t, leaf in visits(forest, sizes, sample[q]):
+            met += int(sizes[t][leaf])
+            if (t, leaf) in where:
+                for n in [n for n in left if leaves[t][n] == leaf]:
+                    left.discard(n)
+                    needed.append(met / len(sample))
+            if not left:
+                break
+    return float(np.quantile(needed, target)) if needed else 1.0
+
+
+def _best(query: np.ndarray, key: np.ndarray, away: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's `keep` nearest different members."""
+    order = np.lexsort((key, query))
+    query, key, away = query[order], key[order], away[order]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (key[1:] != key[:-1])
+    query, key, away = query[new], key[new], away[new]
+    order = np.lexsort((key, away, query))
+    query, key, away = query[order], key[order], away[order]
+    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(query)]])))
+    return query[place < keep], key[place < keep], away[place < keep]
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(np.float64)
+
+
+def compared(keep: int):
+    """For rows (tree, leaf, kind, key, vec) sorted by these, a leaf's queries (kind 0) before its members (kind 1): (query, key, away) of each query's best few in this partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, keys, asked = None, np.zeros(0, np.int64), np.zeros((0, 0))
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tree", "leaf", "kind")], axis=1)
+            edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(place)]
+            key, x = batch.column("key").to_numpy(), _vectors(batch.column("vec"))
+            for a, b in zip(edges, edges[1:]):
+                here = tuple(place[a, :2])
+                if place[a, 2] == 0:
+                    keys, asked = (np.concatenate([keys, key[a:b]]), np.concatenate([asked, x[a:b]])) if here == leaf else (key[a:b], x[a:b])
+                    leaf = here
+                elif here == leaf:
+                    for k in range(0, len(keys), 1024):
+                        some = asked[k : k + 1024]
+                        away = (some**2).sum(axis=1)[:, None] + (x[a:b] ** 2).sum(axis=1) - 2 * some @ x[a:b].T
+                        least = min(keep, b - a)
+                        at = np.argpartition(away, least - 1, axis=1)[:, :least]
+                        found[0].append(np.repeat(keys[k : k + 1024], least))
+                        found[1].append(key[a:b][at].ravel())
+                        found[2].append(np.take_along_axis(away, at, axis=1).ravel())
+                        rows += at.size
+                        if rows > HELD:
+                            found = [[c] for c in _best(*map(np.concatenate, found), keep)]
+                            rows = len(found[0][0])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(*map(np.concatenate, found), keep)], names=["query", "key", "away"])
+
+    return run
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, share: float | None = None) -> DataFrame:
+    """(query_id, rank, id, score): each query's k nearest found, by Euclidean distance.
+
+    is_query: a condition on column id. share: of the members that a queue meets (repeats in other trees included); measured if not given.
+    """
     rows = prepare(vectors, id_col, vector_col)
     members = checkpointed(classes(rows, k))
-    forest = grow(members, trees, sample, leaf)
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(forest)
+    taken, total = sampled(members, sample)
+    forest = [Tree(taken, max(2, round(leaf * len(taken) / total)), seed) for seed in range(trees)] if len(taken) else []
+    most = (measured_share(forest, taken, k) if share is None else share) * total
+    context = vectors.sparkSession.sparkContext
+    shared = context.broadcast(forest)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column("vec"))
+                x = np.stack(batch.column("vec").to_numpy(zero_copy_only=False)).astype(np.float32)
+                raw = pa.array([v.tobytes() for v in x], pa.binary())
                 for t, tree in enumerate(shared.value):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.leaf_of(x)), batch.column("key")], names=["tree", "leaf", "key"])
+                    n = len(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(tree.leaf_of(x)), pa.array(np.ones(n, np.int32)), batch.column("key"), raw], names=["tree", "leaf", "kind", "key", "vec"])
 
-    index = members.select("key", "vec").mapInArrow(file, "tree int, leaf bigint, key bigint")
-    index = checkpointed(index)
-    filled = {(r["tree"], r["leaf"]): r["count"] for r in index.groupBy("tree", "leaf").count().collect()}
-    sizes = spark.sparkContext.broadcast([np.array([filled.get((t, n), 0) for n in range(tree.leaves)], np.int64) for t, tree in enumerate(forest)])
+    filed = members.select("key", "vec").mapInArrow(file, "tree int, leaf bigint, kind int, key bigint, vec binary")
+    filled = {(r["tree"], r["leaf"]): r["count"] for r in filed.groupBy("tree", "leaf").count().collect()}
+    sizes = context.broadcast([np.array([filled.get((t, n), 0) for n in range(tree.leaves)], np.int64) for t, tree in enumerate(forest)])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, of_tree, of_leaf = [], [], []
-            for key, x in zip(batch.column("key").to_pylist(), _matrix(batch.column("vec"))):
-                queue = [(-np.inf, t, tree.root) for t, tree in enumerate(shared.value)]
-                heapq.heapify(queue)
-                met = 0
-                while queue and met < looked_at:
-                    near, t, node = heapq.heappop(queue)
-                    if node < 0:
-                        met += int(sizes.value[t][-1 - node])
-                        keys.append(key)
-                        of_tree.append(t)
-                        of_leaf.append(-1 - node)
-                        continue
-                    tree = shared.value[t]
-                    margin = float(x @ tree.normals[node] - tree.cuts[node])
-                    side = int(margin >= 0)
-                    heapq.heappush(queue, (near, t, int(tree.children[node, side])))
-                    heapq.heappush(queue, (max(near, abs(margin)), t, int(tree.children[node, 1 - side])))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(of_tree, pa.int32()), pa.array(of_leaf, pa.int64())], names=["query", "tree", "leaf"])
+            out: list[tuple] = []
+            x = np.stack(batch.column("vec").to_numpy(zero_copy_only=False)).astype(np.float32)
+            for key, v in zip(batch.column("key").to_pylist(), x):
+                met, raw = 0, v.tobytes()
+                for t, n in visits(shared.value, sizes.value, v):
+                    out.append((t, n, 0, key, raw))
+                    met += int(sizes.value[t][n])
+                    if met >= max(most, 2 * k):
+                        break
+                if len(out) > 20_000:
+                    yield _visit_rows(out)
+                    out = []
+            yield _visit_rows(out)
 
     asked = checkpointed(rows.where(is_query).select("id", "key", "vec").dropDuplicates(["id", "key"]))
-    visits = asked.select("key", "vec").dropDuplicates(["key"]).mapInArrow(walk, "query bigint, tree int, leaf bigint")
-    pairs = visits.join(index, ["tree", "leaf"]).select("query", "key").distinct()
+    visited = asked.select("key", "vec").dropDuplicates(["key"]).mapInArrow(walk, "tree int, leaf bigint, kind int, key bigint, vec binary")
+    dealt = filed.unionByName(visited).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "kind")
+    near = dealt.mapInArrow(compared(2 * k + 2), "query bigint, key bigint, away double")
+    nearest = near.groupBy("query", "key").agg(F.min("away").alias("away"))
+    first = Window.partitionBy("query").orderBy("away", "key")
+    pairs = nearest.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * k + 2).select("query", "key")
+
     found = pairs.join(members.select("key", "vec", "ids"), "key").select("query", "ids", F.col("vec").alias("other"))
     queries = asked.select(F.col("key").alias("query"), F.col("id").alias("query_id"), "vec")
     squares = F.zip_with("vec", "other", lambda a, b: (a - b) * (a - b))
@@ -168,3 +265,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     single = scored.select("query_id", "score", F.explode("ids").alias("id")).where("id != query_id")
     order = Window.partitionBy("query_id").orderBy("score", "id")
     return single.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _visit_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[], [], [], [], []]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["tree", "leaf", "kind", "key", "vec"])

@@ -27,7 +27,7 @@ def test_recall_and_scores(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = exact([(r["vec_id"], r["embedding"]) for r in df.collect()])
     got = {}
-    for r in N.search(df, F.col("id") % 100 == 0, looked_at=400).collect():
+    for r in N.search(df, F.col("id") % 100 == 0).collect():
         got.setdefault(r["query_id"], {})[r["id"]] = r["score"]
     hits = sum(i in got[q] for q, near in want.items() for i, _ in near)
     assert hits >= 0.9 * sum(map(len, want.values()))

@@ -56,18 +56,23 @@ def items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = RADIUS, least: float = LEAST) -> DataFrame:
     """(id, text_hash, item, start, n, distance, similarity): the most similar window of each text for each item that it holds."""
     known = items(benchmark, item_col, item_text_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), words(F.col(text_col)).alias("w"))
-    hashed = texts.select("id", "text_hash", shingle_hashes("w").alias("hashes"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).alias("text"))
+
+    def hashed(rows: DataFrame, *more: str) -> DataFrame:
+        split = rows.select("id", "text_hash", *more, words(F.col("text")).alias("w"))
+        return split.select("id", "text_hash", *more, shingle_hashes("w").alias("hashes"))
 
     places = known.select("n", F.posexplode("hashes").alias("at", "h")).distinct()
-    seen = hashed.select("id", "text_hash", F.size("hashes").alias("size"), F.posexplode_outer("hashes").alias("pos", "h"))
+    seen = hashed(texts).select("id", "text_hash", F.size("hashes").alias("size"), F.posexplode_outer("hashes").alias("pos", "h"))
     hits = seen.join(sent_if_small(places), "h")
     last = F.greatest(F.lit(0), F.col("size") - F.greatest(F.lit(1), F.col("n") - WORDS + 1))
     start = F.least(F.greatest(F.col("pos") - F.col("at"), F.lit(0)), last)
     laid = hits.groupBy("id", "text_hash").agg(F.collect_set(F.struct(start.alias("start"), "n")).alias("windows"))
 
-    same = hashed["id"].eqNullSafe(laid["id"]) & (hashed["text_hash"] == laid["text_hash"])
-    windows = laid.join(hashed, same).select(laid["id"], laid["text_hash"], "hashes", F.explode("windows").alias("w"))
+    # the few texts with hits are fetched as texts, which shuffle smaller than their hashes
+    same = texts["id"].eqNullSafe(laid["id"]) & (texts["text_hash"] == laid["text_hash"])
+    held = laid.join(texts, same).select(laid["id"], laid["text_hash"], "windows", "text")
+    windows = hashed(held, "windows").select("id", "text_hash", "hashes", F.explode_outer("windows").alias("w"))
     windows = windows.select("id", "text_hash", "w.start", "w.n", F.slice("hashes", F.col("w.start") + 1, F.greatest(F.lit(1), F.col("w.n") - WORDS + 1)).alias("own"))
     windows = windows.withColumn("fp", fingerprint(F.col("own"))).withColumn("b", F.explode(blocks(F.col("fp"), radius)))
 

@@ -1,5 +1,7 @@
 """Small things that several corpus operators share."""
 
+import ctypes
+import gc
 import tempfile
 
 import numpy as np
@@ -8,7 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers look at in one go; bounds a worker's temporary arrays.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+
+
+#: Rows of an Arrow batch of whole texts; the default of 10000 holds tens of megabytes on both sides of each worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for workers that read whole texts, unless the session has chosen a size itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +69,15 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give a worker's freed memory back: workers are reused, and what they keep adds up over the stages of a pipeline."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Odd multiplier of the rolling hash and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -14,14 +14,13 @@ sorts first; rows are independent, so repeated rows agree; an empty training tab
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import arrow, fold, slices, sums
+from pagequarry.llm.common import arrow, fold, release, slices, small_batches, sums
 
 #: Bytes of context.
 ORDER = 3
@@ -63,6 +62,7 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE) -> dict:
     """Frozen counts: languages, their documents, and (language, gram, n) as arrays. Its size is bounded by the sample."""
+    small_batches(docs.sparkSession)
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     have = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     langs = sorted(have)
@@ -132,22 +132,17 @@ class Costs:
         return sums(self.bits[self.row[context].astype(np.int64) * self.symbols + dense[at]], offsets)
 
 
-@lru_cache(maxsize=2)
-def _costs(key: str, shared) -> Costs:
-    return Costs(shared.value)
-
-
 def predictor(spark, model: dict):
     """A function of a text column that gives struct(lang, score, bits): score is the best language's share of 2^-bits, bits the code length by byte."""
+    small_batches(spark)
     langs = np.array(model["langs"], object)
     if not len(langs):
         return lambda text: F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
     shared = spark.sparkContext.broadcast(model)
-    key = str(id(shared))
 
     @arrow(RESULT)
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        costs = _costs(key, shared)
+        costs = Costs(shared.value)
         for batch in texts:
             best, score, bits = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
             for _, data, offsets in slices(batch):
@@ -158,6 +153,8 @@ def predictor(spark, model: dict):
                 score.append(1 / np.exp2(np.clip(whole.min(axis=1, keepdims=True) - whole, -1000, 0)).sum(axis=1))
                 bits.append(total[np.arange(len(k)), k] / np.maximum(np.diff(offsets), 1))
             yield pa.StructArray.from_arrays([pa.array(langs[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(bits))], names=["lang", "score", "bits"])
+        del costs
+        release()
 
     def of(text: Column) -> Column:
         text = text.cast("string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import arrow, range_hashes, slices, word_ranges
+from pagequarry.llm.common import arrow, range_hashes, release, slices, small_batches, word_ranges
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -54,14 +54,23 @@ class Encoder:
     those of its words one after another; a worker encodes each different word once and then looks it up by its hash."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ("", ".", ",")}
+        self.path, self.letters, self.tokenizer = path, byte_letters(), None
+        self.open()
         self._forget()
 
+    def open(self) -> None:
+        """Load the tokenizer; what is known of words stays when it is closed, the tokenizer's own memory doesn't."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.no_truncation()
+            self.model = self.tokenizer.model
+            self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ("", ".", ",")}
+
+    def close(self) -> None:
+        self.tokenizer = self.model = None
+
     def _forget(self) -> None:
         self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
@@ -129,9 +138,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
 
+    small_batches(docs.sparkSession)
     @arrow(PIECES)
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of, end = encoder(vocabulary(tokenizer)), np.array([end_id], "<u4").tobytes()
+        of.open()
         for batch in batches:
             number, start, length, ids, tokens = [0], [], [], [], []
             for _, data, offsets in slices(batch):
@@ -148,6 +159,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                         tokens.append(b - a + 1)
             values = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64())], fields=list(PIECE))
             yield pa.ListArray.from_arrays(pa.array(number, pa.int32()), values)
+            del values, start, length, ids, tokens
+        of.close()
+        release()
 
     cut = docs.select(F.col(id_col), F.explode(pieces(F.col(text_col).cast("string"))).alias("piece"))
     return cut.select(id_col, "piece.start", "piece.length", "piece.ids", "piece.doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import arrow, range_hashes, slices, sums, word_ranges
+from pagequarry.llm.common import arrow, range_hashes, slices, small_batches, sums, word_ranges
 
 #: Labelled rows that training reads, about.
 MAX_ROWS = 20_000
@@ -184,6 +184,7 @@ def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> dict:
     """The model, from about max_rows rows of `labels` that have a text."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     share = int(1e6 * min(1.0, max_rows / max(1, known.count()))) + 1
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
@@ -194,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scorer(spark, model: dict):
     """A function of a text column that gives the score."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @arrow("double")

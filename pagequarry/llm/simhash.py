@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import arrow, checkpointed
+from pagequarry.llm.common import arrow, checkpointed, release, small_batches
 from pagequarry.llm.graph import components
 
 RADIUS = 2
@@ -61,10 +61,12 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, text_hash, fp) for every row."""
 
+    small_batches(docs.sparkSession)
     @arrow("bigint")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             yield pa.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, words) for t in batch.cast(pa.binary())], pa.int64())
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), of(F.col(text_col).cast("string")).alias("fp"))
 

@@ -3,9 +3,12 @@
 Texts are sequences of words; a line is LINE words in a row, starting at any word, so that a passage is found wherever
 the writer broke it. Of every WINDOW successive line hashes the least is selected as a fingerprint: a run of
 LINE + WINDOW - 1 words that two texts share has a common fingerprint for certain. Fingerprints that occur twice are joined
-with their first place (smallest id, then position); each match is extended word by word both ways; runs of
-at least `least` words are deleted from all places but the first. A match is extended by WINDOW words at
-most each way: what is further away and equal has a fingerprint of its own.
+with their first place (smallest id, then position); each match is extended word by word both ways, as far as runs of `least` words
+with the fingerprint reach: what is further away and equal has a fingerprint of its own. Where a fingerprint has more than
+two places, the runs of `least` words round it that the first place doesn't have are looked up at their own first places by
+hashes: each run at the fingerprint of its first window, which it has wherever it occurs, and only where half of the words round the
+line are found twice, on the side where the run has more. So every run of `least` words that occurs earlier is deleted, to the word,
+whichever place has it.
 
 Exact copies are one text: the smallest id keeps it, the other ids lose all of it if it has `least` words.
 
@@ -25,6 +28,8 @@ from pagequarry.llm.common import arrow, checkpointed, range_hashes, release, sl
 
 #: Words of a line, line hashes of a window, words of a run that is deleted.
 LINE, WINDOW, LEAST = 10, 40, 50
+#: Bits of a place within a window.
+MARK = 6
 RUNS = "array<struct<start:int,end:int>>"
 
 
@@ -41,7 +46,10 @@ def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def select(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of concatenated texts: hash, first word within its text, and how many lie before each text."""
+    """Fingerprints of concatenated texts: hash, mark, and how many lie before each text.
+
+    A mark is the first word within its text, and the least and most words between the start of a window that selects the line and the line, MARK bits each.
+    """
     starts, ends, before = word_ranges(data, offsets)
     counts = np.diff(before)
     lines = np.maximum(counts - LINE + 1, 0) * (counts >= LINE + WINDOW - 1)
@@ -49,25 +57,27 @@ def select(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.concatenate([[0], np.cumsum(lines)])
     inside = np.arange(first[-1]) - first[text]
     if not len(text):
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     at = before[text] + inside
     hashes = range_hashes(range_hashes(data, starts, ends), at, at + LINE)
     minima = window_minima(hashes, WINDOW)
-    whole = text[: len(minima)] == text[np.arange(len(minima)) + WINDOW - 1]
-    chosen = np.unique(minima[whole])
-    return hashes[chosen].view(np.int64), inside[chosen].astype(np.int32), np.searchsorted(chosen, first)
+    whole = np.flatnonzero(text[: len(minima)] == text[np.arange(len(minima)) + WINDOW - 1])
+    chosen, at, many = np.unique(minima[whole], return_index=True, return_counts=True)
+    most = chosen - whole[at]
+    marks = (inside[chosen] << 2 * MARK) | ((most - many + 1) << MARK) | most
+    return hashes[chosen].view(np.int64), marks, np.searchsorted(chosen, first)
 
 
-@arrow("array<struct<h:bigint,pos:int>>")
+@arrow("array<struct<h:bigint,mark:bigint>>")
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        hashes, places, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        hashes, places, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for _, data, offsets in slices(batch):
-            h, pos, before = select(data, offsets)
+            h, marks, before = select(data, offsets)
             hashes.append(h)
-            places.append(pos)
+            places.append(marks)
             number.append(before[1:] + number[-1][-1])
-        values = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["h", "pos"])
+        values = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["h", "mark"])
         yield pa.ListArray.from_arrays(pa.array(np.concatenate(number), pa.int32()), values)
     release()
 
@@ -78,11 +88,9 @@ def _word_hashes(text: str) -> np.ndarray:
     return (range_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-AROUND = np.concatenate([-1 - np.arange(WINDOW), LINE + np.arange(WINDOW)])
-
-
-def _surroundings(text_at: int):
-    """The hashes of WINDOW words before and after each marked line, nearest first; 0 beyond the text."""
+def _surroundings(text_at: int, reach: int):
+    """The hashes of `reach` words before and after each marked line, nearest first; 0 beyond the text."""
+    around = np.concatenate([-1 - np.arange(reach), LINE + np.arange(reach)])
 
     @arrow("array<binary>")
     def of(rows: pa.Array, marks: pa.Array) -> pa.Array:
@@ -90,7 +98,7 @@ def _surroundings(text_at: int):
         texts = rows.field(text_at)
         for k, places in enumerate(marks.to_pylist()):
             words = _word_hashes(texts[k].as_py() or "")
-            at = np.array(places, np.int64)[:, None] + AROUND
+            at = (np.array(places, np.int64) >> 2 * MARK)[:, None] + around
             inside = (at >= 0) & (at < len(words))
             out.append([x.tobytes() for x in np.where(inside, words[np.where(inside, at, 0)], np.uint32(0))])
         return pa.array(out, pa.list_(pa.binary()))
@@ -98,14 +106,52 @@ def _surroundings(text_at: int):
     return of
 
 
-@arrow("struct<left:int,right:int>")
-def _extension(one: pa.Array, two: pa.Array) -> pa.Array:
-    """How many words agree before and after."""
-    if not len(one):
-        return pa.array([], pa.struct([("left", pa.int32()), ("right", pa.int32())]))
-    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(-1, 2, WINDOW) for x in (one, two))
-    agree = np.logical_and.accumulate((a == b) & (a != 0), axis=2).sum(axis=2, dtype=np.int32)
-    return pa.StructArray.from_arrays([pa.array(agree[:, 0]), pa.array(agree[:, 1])], names=["left", "right"])
+OTHERS = "array<struct<side:bigint,back:array<smallint>,key:array<bigint>>>"
+
+
+def _compared(reach: int):
+    """How many words agree before and after a line; where `many` says so, the runs of reach + LINE words that the mark stands for and that don't agree.
+
+    `back` is how many words of a run come before the line and `key` is its hash. The runs that have at least half of their other words before the line
+    come first and the others second; `side` is the hash of this half, which runs of one hash have in common.
+    """
+    factors = np.random.default_rng(3).integers(1, 1 << 63, (2, reach), np.uint64) * np.uint64(2) + np.uint64(1)
+    back, half = np.arange(reach + 1), (reach + 1) // 2
+
+    def prefixes(words: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((len(words), 1), np.uint64), np.cumsum(words, axis=1, dtype=np.uint64)], axis=1)
+
+    def hashed(*columns) -> np.ndarray:
+        flat = np.stack(np.broadcast_arrays(*columns), axis=-1)
+        at = np.arange(0, flat.size, flat.shape[-1])
+        return range_hashes(flat.reshape(-1), at, at + flat.shape[-1]).view(np.int64).reshape(flat.shape[:-1])
+
+    @arrow(f"struct<left:int,right:int,others:{OTHERS}>")
+    def of(one: pa.Array, two: pa.Array, line: pa.Array, mark: pa.Array, many: pa.Array) -> pa.Array:
+        n = len(one)
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(n, 2, reach) for x in (one, two))
+        agree = np.logical_and.accumulate((a == b) & (a != 0), axis=2).sum(axis=2, dtype=np.int32)
+        marks, lines = np.array(mark.to_pylist(), np.int64), np.array(line.to_pylist(), np.int64).view(np.uint64)
+        ends = (1 << MARK) - 1
+        rest = np.flatnonzero(np.array(many.to_pylist(), bool) & (agree.min(axis=1) < reach))
+        a, same, low, high = a[rest], agree[rest], (marks[rest] >> MARK & ends)[:, None], (marks[rest] & ends)[:, None]
+        room = (a != 0).sum(axis=2)
+        other = (back >= low) & (back <= high) & (back <= room[:, :1]) & (reach - back <= room[:, 1:])
+        other &= ~((back <= same[:, :1]) & (reach - back <= same[:, 1:]))
+        left, right = (prefixes(a[:, k].astype(np.uint64) * factors[k]) for k in (0, 1))
+        lines, numbers = lines[rest, None], back.astype(np.uint64)
+        keys = hashed(left, right[:, ::-1], lines, numbers)
+        sides = hashed(np.stack([left[:, half], right[:, half]], axis=1), lines, np.array([0, 1], np.uint64))
+        out: list[list] = [[] for _ in range(n)]
+        for k, row in enumerate(rest.tolist()):
+            for side, places in enumerate((back[half:], back[:half])):
+                places = places[other[k, places]]
+                if len(places):
+                    out[row].append({"side": sides[k, side], "back": places, "key": keys[k, places]})
+        kind = pa.list_(pa.struct([("side", pa.int64()), ("back", pa.list_(pa.int16())), ("key", pa.list_(pa.int64()))]))
+        return pa.StructArray.from_arrays([pa.array(agree[:, 0]), pa.array(agree[:, 1]), pa.array(out, kind)], names=["left", "right", "others"])
+
+    return of
 
 
 def _delete(text_at: int, least: int):
@@ -145,23 +191,39 @@ def merged(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def find_repeats(keyed: DataFrame, firsts: DataFrame, id_col: str, text_at: int, text: str) -> DataFrame:
+def find_repeats(keyed: DataFrame, firsts: DataFrame, id_col: str, text_at: int, text: str, least: int) -> DataFrame:
     """(th, spans): for each different text the spans of words that occur earlier."""
-    prints = keyed.select("th", F.explode(_fingerprints(F.col("row")[text].cast("string"))).alias("f")).select("th", "f.h", "f.pos")
-    place = F.xxhash64("th", "pos")
-    twice = prints.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("h")
+    prints = keyed.select("th", F.explode(_fingerprints(F.col("row")[text].cast("string"))).alias("f")).select("th", "f.h", "f.mark")
+    twice = repeated(prints, "h", F.xxhash64("th", "mark"))
     marks = checkpointed(prints.join(twice, "h", "left_semi").join(firsts, "th").distinct())
-    first = marks.groupBy("h").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "th", "pos")).alias("at"))
-    marks = marks.join(first, "h").select("th", "h", "pos", ((F.col("th") == F.col("at.th")) & (F.col("pos") == F.col("at.pos"))).alias("source"))
-    listed = marks.groupBy("th").agg(F.collect_list(F.struct("h", "pos", "source")).alias("marks"))
+    first = marks.groupBy("h").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "th", "mark")).alias("at"), (F.count("*") > 2).alias("many"))
+    marks = marks.join(first, "h").select("th", "h", "mark", "many", ((F.col("th") == F.col("at.th")) & (F.col("mark") == F.col("at.mark"))).alias("source"))
+    listed = marks.groupBy("th").agg(F.collect_list(F.struct("h", "mark", "many", "source")).alias("marks"))
     listed = listed.join(firsts, "th")
     own = keyed.join(listed, "th").where(~later(F.col("row")[id_col], F.col("first")))
-    around = own.select("th", "marks", _surroundings(text_at)("row", F.col("marks.pos")).alias("around"))
-    around = around.select("th", F.explode(F.arrays_zip("marks", "around")).alias("m")).select("th", "m.marks.h", "m.marks.pos", "m.marks.source", "m.around")
+    around = own.select("th", "first", "marks", _surroundings(text_at, least - LINE)("row", F.col("marks.mark")).alias("around"))
+    around = around.select("th", "first", F.explode(F.arrays_zip("marks", "around")).alias("m")).select("th", "first", "m.marks.*", "m.around")
     sources = around.where("source").dropDuplicates(["h"]).select("h", F.col("around").alias("before"))
-    found = around.where(~F.col("source")).join(sources, "h").select("th", "pos", _extension("around", "before").alias("more"))
+    pos = F.shiftright("mark", 2 * MARK).cast("int").alias("pos")
+    found = around.where(~F.col("source")).join(sources, "h").select("th", "first", pos, _compared(least - LINE)("around", "before", "h", "mark", "many").alias("more"))
+    long = F.col("more.left") + LINE + F.col("more.right") >= least
+    found = checkpointed(found.where(long | (F.size("more.others") > 0)))
     span = F.struct((F.col("pos") - F.col("more.left")).alias("start"), (F.col("pos") + LINE + F.col("more.right")).alias("end"))
-    return found.groupBy("th").agg(F.collect_set(span).alias("spans"))
+
+    sides = found.select("th", "first", "pos", F.explode("more.others").alias("o")).select("th", "first", "pos", "o.*")
+    sides = sides.join(repeated(sides, "side", F.xxhash64("th", "pos")), "side", "left_semi")
+    others = sides.select("th", "first", "pos", F.explode(F.arrays_zip("back", "key")).alias("o")).select("th", "first", (F.col("pos") - F.col("o.back")).alias("start"), "o.key")
+    others = checkpointed(others)
+    others = others.join(repeated(others, "key", F.xxhash64("th", "start")), "key", "left_semi")
+    known = others.groupBy("key").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "th", "start")).alias("at"))
+    again = others.join(known, "key").where((F.col("th") != F.col("at.th")) | (F.col("start") != F.col("at.start")))
+    again = again.select("th", F.struct("start", (F.col("start") + least).alias("end")).alias("span"))
+    return found.where(long).select("th", span.alias("span")).unionByName(again).groupBy("th").agg(F.collect_set("span").alias("spans"))
+
+
+def repeated(places: DataFrame, key: str, place) -> DataFrame:
+    """The keys that occur at two places or more."""
+    return places.groupBy(key).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select(key)
 
 
 def later(one, first):
@@ -177,7 +239,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     text_at = docs.columns.index(text_col)
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("th"))
     firsts = keyed.groupBy("th").agg(F.min(F.col("row")[id_col]).alias("first"))
-    spans = find_repeats(keyed, firsts, id_col, text_at, text_col)
+    spans = find_repeats(keyed, firsts, id_col, text_at, text_col, least)
     known = firsts.join(spans, "th", "left")
     joined = keyed.join(known, "th", "left")
     return joined.select("row", _delete(text_at, least)("row", F.coalesce(later(F.col("row")[id_col], F.col("first")), F.lit(False)), "spans").alias("clean"))

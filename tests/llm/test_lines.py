@@ -65,3 +65,42 @@ def test_nothing_is_lost_against_brute_force(spark):
             assert len(covered - deleted) <= 0.1 * len(covered) + 10
         own.update(tuple(w[k : k + 50]) for k in range(len(w) - 49))
         seen |= own
+
+
+def covered(texts, least=50):
+    """Words of the runs of `least` words that occur earlier, by brute force over all runs."""
+    seen, out = set(), []
+    for w in texts:
+        own = set()
+        for k in range(len(w) - least + 1):
+            run = tuple(w[k : k + least])
+            own |= set(range(k, k + least)) if run in seen else set()
+            seen.add(run)
+        out.append(own)
+    return out
+
+
+def test_a_repeat_is_found_whichever_place_has_it(spark):
+    """An earlier text that shares only part of a passage, and the same fingerprint, doesn't hide the text that has all of it."""
+    for least in (50, 120):
+        texts = []
+        for k in range(8):
+            p = words(least + 10, 50 + k)
+            texts += [words(20, 100 + k) + p[k * 4 : k * 4 + 30] + words(30, 200 + k), words(15, 300 + k) + p + words(40, 400 + k), words(33, 500 + k) + p + words(9, 600 + k)]
+            texts.append(words(5, 700 + k) + p[3 : 3 + least] + words(50, 800 + k) + p[10:] + words(2, 900 + k))
+        docs = spark.createDataFrame([(i, " ".join(t), "a", "b", "c", 1) for i, t in enumerate(texts)], SCHEMA)
+        got = {r["row"]["doc_id"]: {p for s, e in r["clean"]["runs"] for p in range(s, e)} for r in lines.dedup(docs, least=least).collect()}
+        assert [got[i] for i in range(len(texts))] == covered(texts, least)
+
+
+def test_all_repeats_of_documents_against_brute_force(spark):
+    """What is deleted is what occurs earlier, word for word, in every text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = sorted((r["doc_id"], (r["text"] or "").split()) for r in docs.collect())
+    found = {r["row"]["doc_id"]: {p for x in r["clean"]["runs"] for p in range(x["start"], x["end"])} for r in lines.dedup(docs).collect()}
+    want = covered([w for _, w in texts])
+    copies, seen = set(), set()
+    for i, w in texts:
+        copies |= {i} if tuple(w) in seen else set()
+        seen.add(tuple(w))
+    assert any(want) and [(i, found[i]) for i, _ in texts if i not in copies] == [(i, x) for (i, _), x in zip(texts, want) if i not in copies]

@@ -1,10 +1,11 @@
 """Personal data by patterns, and information-theoretic sanitisation of what gives it away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each different one is an entity to protect. A
-term (a word near a mention) discloses an entity if knowing the term tells most of what there is to know: with
+term (a word anywhere in a text) discloses an entity if knowing the term tells most of what there is to know: with
 document counts over the whole corpus, PMI(term; entity) = log2(n_both * n / (n_term * n_entity)) reaches DISCLOSURE of the entity's
-information log2(n / n_entity), and at least SUPPORT different texts show both. Such terms get spans of kind `term` at their
-places near the mentions; sanitise() generalises entities to their kind and removes disclosing terms.
+information log2(n / n_entity), and at least SUPPORT different texts show both. Such terms get spans of kind `term` at all their
+places, in texts with and without the entity; sanitise() generalises entities to their kind and removes disclosing terms. Words that
+overlap a base span are no terms: neither counted nor spanned.
 
 Places come from two built-in functions that walk a text alike: the matches of a pattern and what lies between them; a
 running sum of their lengths gives each match its place in code points. Separators that a pattern allows inside a match are
@@ -19,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import checkpointed
+from pagequarry.llm.shingles import sent_if_small
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Share of an entity's information, different texts, code points on each side of a mention, and letters of a term.
-DISCLOSURE, SUPPORT, REACH, LETTERS = 0.9, 2, 80, 3
+#: Share of an entity's information, different texts, and letters of a term.
+DISCLOSURE, SUPPORT, LETTERS = 0.9, 2, 3
 
 JOIN, WAS_JOIN = "\u0001", "\u0002"
 LOCAL = rf"A-Za-z0-9._%+{JOIN}-"
@@ -31,7 +33,9 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9][0-9{JOIN}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-TERM = r"\p{L}+"
+TERM = rf"\p{{L}}{{{LETTERS},}}+"
+#: Stand for an end of a span that is a letter, and for another.
+LETTER, OTHER = "\u0001", "\u0002"
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -80,46 +84,74 @@ def entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], value)
 
 
-def nearby(text: Column, spans: Column, span: Column, reach: int) -> Column:
-    """(term, start, end) of the whole words within `reach` code points of a span that overlap no span."""
+def outside(text: Column, spans: Column) -> Column:
+    """The text with each span, or spans that overlap, replaced by two characters that say whether its ends are letters."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+
+    def end(at: Column) -> Column:
+        return F.when(F.substr(text, at, F.lit(1)).rlike(r"\p{L}"), LETTER).otherwise(OTHER)
+
+    def step(state: Column, s: Column) -> Column:
+        between = F.substr(text, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(between, end(s["start"] + 1), end(s["end"]))).alias("parts"))
+
+    return F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
+
 
-    def side(first: Column, last: Column) -> Column:
-        part = F.substr(text, first + 1, last - first)
-        inner = F.filter(matches(part, TERM, 4), lambda s: ((s["start"] > 0) | (first == 0)) & ((s["end"] < last - first) | (last == F.length(text))))
-        return F.transform(inner, lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + first).alias("start"), (s["end"] + first).alias("end")))
+def terms_of(text: Column, spans: Column) -> Column:
+    """Hashes of the different terms of a text that overlap no span."""
+    plain = F.when(F.size(spans) > 0, outside(F.translate(text, LETTER, OTHER), spans)).otherwise(F.translate(text, LETTER, OTHER))
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<![\p{{L}}{LETTER}]){TERM}(?!{LETTER})"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w))))
+
+
+def places(text: Column, spans: Column, telling: Column) -> Column:
+    """Spans (start, kind, end) of all places of the terms whose hashes are in `telling` that overlap none of `spans`."""
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    found = F.filter(found, lambda p: p["m"].isNotNull())
+    start = F.struct(F.lit(0).alias("at"), none().alias("spans"))
+
+    def step(state: Column, p: Column) -> Column:
+        begin = state["at"] + p["g"]
+        end = begin + F.length(p["m"])
+        more = F.concat(state["spans"], F.array(F.struct(begin.alias("start"), F.lit(4).alias("kind"), end.alias("end"))))
+        return F.struct(end.alias("at"), F.when(F.array_contains(telling, F.xxhash64(F.lower(p["m"]))), more).otherwise(state["spans"]).alias("spans"))
 
-    found = F.concat(side(F.greatest(F.lit(0), span["start"] - reach), span["start"]), side(span["end"], F.least(F.length(text), span["end"] + reach)))
-    found = F.filter(found, lambda t: (F.length(t["term"]) >= LETTERS) & ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return found
+    found = F.aggregate(found, start, step, lambda s: s["spans"])
+    return F.filter(found, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
-    """(id, text_hash, base, terms) for every row: base spans, and the spans of terms that disclose them; (start, kind, end) each."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(id, text_hash, base, terms) for every row: base spans, and the spans of terms that disclose an entity; (start, kind, end) each."""
     plain = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(plain).alias("text_hash"), plain.alias("text"), base_spans(F.col(text_col)).alias("spans"))
-    one = rows.select("id", "text_hash", "text", "spans", F.explode_outer("spans").alias("span")).where(F.col("span").isNotNull())
-    near = nearby(F.col("text"), F.col("spans"), F.col("span"), reach)
-    mentions = checkpointed(one.select("id", "text_hash", F.struct("span.start", "span.kind", "span.end").alias("span"), entity(F.col("span")).alias("entity"), near.alias("near")))
-
-    of_entity = mentions.select("id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = mentions.select("id", "text_hash", "entity", F.explode("near").alias("t")).select("id", "text_hash", "entity", F.xxhash64("t.term").alias("term"), "t.start", "t.end")
-    both = near.select("entity", "term", "id", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("text_hash").alias("texts"))
-    both = both.where(F.col("texts") >= support)
-    listed = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(plain), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0)), lambda w: F.xxhash64(w)))
-    of_term = docs.select(F.explode_outer(listed).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    counts = both.join(of_entity, "entity").join(of_term, "term").withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(plain).alias("text_hash"), plain.alias("text"))
+    rows = texts.withColumn("spans", base_spans(F.col("text")))
+    held = rows.where(F.size("spans") > 0).select("id", "text_hash", "spans", terms_of(F.col("text"), F.col("spans")).alias("terms"))
+    held = checkpointed(held.dropDuplicates(["id", "text_hash"]).select("id", "text_hash", F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("base"), F.array_distinct(F.transform("spans", entity)).alias("entities"), "terms"))
+
+    # n_term * n_entity / n_both is n_term at least, which leaves few terms before the terms and entities of a text are paired
+    one = F.lit(1).alias("one")
+    total = docs.agg(F.count("*").alias("n")).select("n", one)
+    listed = held.select("id", "text_hash", F.explode("entities").alias("entity"))
+    of_entity = listed.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("text_hash").alias("texts")).where(F.col("texts") >= support).select("entity", "n_entity", one)
+    of_entity = of_entity.join(F.broadcast(total), "one").where("n > n_entity").withColumn("least", disclosure * F.log2(F.col("n") / F.col("n_entity"))).drop("one")
+    of_term = rows.select(F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    seen = held.select("id", "text_hash", F.explode("terms").alias("term")).join(of_term, "term").withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"})
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
+    both = listed.join(of_entity, "entity").join(seen, same & (F.log2(F.col("n") / F.col("n_term")) >= F.col("least") - 1e-9))
+    both = both.groupBy("entity", "term", "n_entity", "n_term", "n", "least").agg(F.count("*").alias("n_both"), F.count_distinct("text_hash").alias("texts"))
     pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
-    telling = counts.where((F.col("n") > F.col("n_entity")) & (pmi >= disclosure * F.log2(F.col("n") / F.col("n_entity")))).select("entity", "term")
-
-    span = F.struct("start", F.lit(4).alias("kind"), "end")
-    terms = near.join(telling, ["entity", "term"]).select("id", "text_hash", span.alias("span")).unionByName(mentions.select("id", "text_hash", "span"))
-    spans = terms.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("span")).alias("every"))
-    spans = spans.select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"), "every")
-    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(plain).alias("text_hash"))
-    joined = every.join(spans, every["id"].eqNullSafe(spans["of_id"]) & (F.col("text_hash") == F.col("of_hash")), "left")
-    found = F.coalesce("every", none())
-    return joined.select("id", "text_hash", F.filter(found, lambda s: s["kind"] < 4).alias("base"), F.filter(found, lambda s: s["kind"] == 4).alias("terms"))
+    telling = checkpointed(both.where((F.col("texts") >= support) & (pmi >= F.col("least"))).select("term").distinct())
+
+    hits = rows.select("id", "text_hash", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term")).join(sent_if_small(telling), "term")
+    hits = hits.groupBy("id", "text_hash").agg(F.collect_set("term").alias("telling"))
+    base = held.select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"), "base")
+    # the base spans are joined: worked out here, they would be put into the function that looks at each term
+    hits = hits.join(base, same, "left").select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"), "telling", F.coalesce("base", none()).alias("spans"))
+    spotted = texts.join(hits, same).dropDuplicates(["id", "text_hash"])
+    spotted = spotted.select(F.col("of_id"), F.col("of_hash"), places(F.col("text"), F.col("spans"), F.col("telling")).alias("terms"))
+    every = texts.select("id", "text_hash").join(base, same, "left").select("id", "text_hash", "base")
+    return every.join(spotted, same, "left").select("id", "text_hash", F.coalesce("base", none()).alias("base"), F.coalesce("terms", none()).alias("terms"))
 
 
 def written(spans: Column) -> Column:

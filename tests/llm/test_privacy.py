@@ -56,3 +56,16 @@ def test_empty_table_and_plan(spark):
     assert P.find(docs).count() == 0
     plan = P.find(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_terms_far_from_a_mention_and_without_it(spark):
+    """A term of the whole text is weighed, and every place of it gets a span, also where the entity is not in the text."""
+    far = " ".join(f"filler{'abcdefghij'[k % 10]}" for k in range(60))
+    texts = [f"Zanzibar heads the office. {far} Number {'xyz'[k]}, signed spy@mi.example.org again ZANZIBAR." for k in range(3)]
+    texts += ["A word of Zanzibar alone, zanzibar@other.example.org and Zanzibar"] + [f"{far} number {k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, t, "", "", "") for k, t in enumerate(texts)] * 1, SCHEMA)
+    found = {r["id"]: [(s["start"], s["end"]) for s in r["terms"]] for r in P.find(docs).collect()}
+    for k in range(3):
+        at = [m.span() for m in re.finditer("zanzibar", texts[k], re.I)]
+        assert len(at) == 2 and set(at) <= set(found[k]) and not any(texts[k][s:e].startswith("filler") for s, e in found[k])
+    assert found[3] == [m.span() for m in re.finditer("Zanzibar", texts[3])] and len(found[3]) == 2 and found[9] == []

@@ -3,6 +3,7 @@
 import ctypes
 import gc
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where none is set, a temporary one, which only a local master may use."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names in spark.checkpoint.dir (a fresh temporary one where none is set)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut the lineage in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts the lineage, and later readers take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key is common if it holds more than one row in so many: fewer keys than this can be.
+COMMON = 1000
+
+
+def meet(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of `rows` (`total` of them) with `keys`, which has one row for each key and counts its rows in `n`.
+
+    The common keys, fewer than COMMON whatever the table, are sent to where the rows lie, so that no task gathers the rows of a
+    common key; the others shuffle. Both tables are read twice and should be written ones.
+    """
+    common = F.broadcast(keys.where(F.col("n") > total / COMMON))
+    others = rows.join(F.broadcast(common.select(key)), key, "left_anti").join(keys.where(F.col("n") <= total / COMMON), key)
+    return rows.join(common, key).unionByName(others)
+
+
+#: Bits of a sketch; it is sent to every executor and takes an eighth of this in bytes, whatever the table.
+SKETCH_BITS = 1 << 26
+
+
+def sketch(df: DataFrame, key: Column) -> DataFrame:
+    """(bucket, bitmap): the bits of the keys that occur, 4 kB a row. Missing bits prove that a key is absent."""
+    at = F.pmod(key, F.lit(SKETCH_BITS))
+    bits = df.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).repartition("bucket")
+    return bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def with_sketch(df: DataFrame, key: Column, of: DataFrame, into: str) -> DataFrame:
+    """df with a column `into` that is false where the sketch proves that the key is absent."""
+    at = F.pmod(key, F.lit(SKETCH_BITS))
+    marked = df.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at)).join(F.broadcast(of), "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("getbit", byte, (F.col("bit") % 8).cast("int")) == 1
+    return marked.withColumn(into, F.coalesce(held, F.lit(False))).drop("bucket", "bit", "bitmap")
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null ids count as 0."""
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(parts)), F.lit(0))

@@ -1,20 +1,25 @@
 """Line dedup by winnowing.
 
 Texts are sequences of words; a line is LINE words in a row, starting at any word, so that a passage is found wherever
-the writer broke it. Of every WINDOW successive line hashes the least is selected as a fingerprint: a run of
-LINE + WINDOW - 1 words that two texts share has a common fingerprint for certain. Fingerprints that occur twice are joined
-with their first place (smallest id, then position); each match is extended word by word both ways, as far as runs of `least` words
-with the fingerprint reach: what is further away and equal has a fingerprint of its own. Where a fingerprint has more than
-two places, the runs of `least` words round it that the first place doesn't have are looked up at their own first places by
-hashes: each run at the fingerprint of its first window, which it has wherever it occurs, and only where half of the words round the
-line are found twice, on the side where the run has more. So every run of `least` words that occurs earlier is deleted, to the word,
-whichever place has it.
-
-Exact copies are one text: the smallest id keeps it, the other ids lose all of it if it has `least` words.
-
-Defined results: null texts stay null, empty and short texts stay as they are; rows that repeat both id and text are
-treated alike, so none deletes the other; null ids come last; a text that is deleted whole is ''. All other columns, whatever
-their names, pass through.
+the writer broke it. Of the lines of every run of `least` words the one with the least hash is selected as its
+fingerprint (the last of equals): equal runs select the same line at the same place, so texts that share a run share a fingerprint for certain.
+
+A fingerprint stands for all runs that select it, and its stretch is what these cover: the match of the line, extended
+both ways. Fingerprints that occur at two places are compared by their stretches: a stretch that has an earlier place (smaller
+id, then smaller position) is deleted whole. Of each different stretch the first is taken apart into its runs, if another
+stretch shares the words on one side of the line: every such run looks up its own first place by its hash. So exactly those
+words are deleted that belong to a run of `least` words with an earlier place, whichever place that is. Where a run overlaps its own
+first place in the same text, that place keeps its words.
+
+Lines as written, closed by line ends, are fingerprints of their own if they have `line` words or more (and fewer than `least`): all but the
+first of equal ones are deleted.
+
+Common lines, stretches and runs are joined where they lie (see common.meet), and only texts that a sketch can't rule out are shuffled.
+
+Defined results: null texts stay null, empty texts and texts of fewer words than `line` stay as they are; rows that repeat both id and
+text are treated alike, so none deletes the other; null ids come last; equal ids go by a hash of the text; a text that is deleted whole
+is ''. Exact copies are runs like any other: those of `least` words are deleted whole. All other columns, whatever their names, pass through. Equal
+64-bit hashes count as equal words.
 """
 
 from collections.abc import Iterator
@@ -24,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import arrow, checkpointed, range_hashes, release, slices, small_batches, word_ranges
+from pagequarry.llm.common import arrow, meet, range_hashes, release, sketch, slices, small_batches, with_sketch, word_ranges, written
 
-#: Words of a line, line hashes of a window, words of a run that is deleted.
-LINE, WINDOW, LEAST = 10, 40, 50
-#: Bits of a place within a window.
-MARK = 6
+#: Words of a line that is hashed, of a run that is deleted, and of a written line that is deleted.
+LINE, LEAST, WRITTEN = 10, 50, 10
 RUNS = "array<struct<start:int,end:int>>"
+NO_RUNS = f"cast(array() as {RUNS})"
+
+MARK = pa.struct([("h", pa.int64()), ("stretch", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("cut", pa.int32())])
+MARKS = "array<struct<h:bigint,stretch:bigint,start:int,end:int,left:bigint,right:bigint,cut:int>>"
+#: Keep apart the hashes of words that stand for different things.
+LEFT, RIGHT, OWN_LINE = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D))
 
 
 def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -45,201 +54,194 @@ def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
     return places
 
 
-def select(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of concatenated texts: hash, mark, and how many lie before each text.
+def fingerprints(words: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The text and the marks of each fingerprint, from the word hashes of concatenated texts and the words before each text.
 
-    A mark is the first word within its text, and the least and most words between the start of a window that selects the line and the line, MARK bits each.
+    h: the line. stretch, start, end: hash and words of the runs that select it. cut: runs that start there or before have half of their other words or more before
+    the line. left, right: hash of what these runs have in common, and of what the others have; 0 if there are none.
     """
-    starts, ends, before = word_ranges(data, offsets)
     counts = np.diff(before)
-    lines = np.maximum(counts - LINE + 1, 0) * (counts >= LINE + WINDOW - 1)
+    lines = np.maximum(counts - LINE + 1, 0) * (counts >= least)
     text = np.repeat(np.arange(len(lines)), lines)
-    first = np.concatenate([[0], np.cumsum(lines)])
-    inside = np.arange(first[-1]) - first[text]
     if not len(text):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    at = before[text] + inside
-    hashes = range_hashes(range_hashes(data, starts, ends), at, at + LINE)
-    minima = window_minima(hashes, WINDOW)
-    whole = np.flatnonzero(text[: len(minima)] == text[np.arange(len(minima)) + WINDOW - 1])
-    chosen, at, many = np.unique(minima[whole], return_index=True, return_counts=True)
-    most = chosen - whole[at]
-    marks = (inside[chosen] << 2 * MARK) | ((most - many + 1) << MARK) | most
-    return hashes[chosen].view(np.int64), marks, np.searchsorted(chosen, first)
-
-
-@arrow("array<struct<h:bigint,mark:bigint>>")
-def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        hashes, places, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-        for _, data, offsets in slices(batch):
-            h, marks, before = select(data, offsets)
-            hashes.append(h)
-            places.append(marks)
-            number.append(before[1:] + number[-1][-1])
-        values = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["h", "mark"])
-        yield pa.ListArray.from_arrays(pa.array(np.concatenate(number), pa.int32()), values)
-    release()
+        return np.zeros(0, np.int64), {f.name: np.zeros(0, np.int64) for f in MARK}
+    at = before[text] + np.arange(len(text)) - np.concatenate([[0], np.cumsum(lines)])[text]
+    window = least - LINE + 1
+    hashes = range_hashes(words, at, at + LINE)
+    minima = window_minima(hashes, window)
+    whole = np.flatnonzero(text[: len(minima)] == text[window - 1 :])
+    chosen, first, many = np.unique(minima[whole], return_index=True, return_counts=True)
+    line, start = at[chosen], at[whole[first]]
+    end, half = start + many - 1 + least, (least - LINE) // 2
+    has_left, has_right = start <= line - half, end - least > line - half
+    ends = [end, np.where(has_left, line + LINE, start), np.where(has_right, line - half + 1 + least, line)]
+    starts = [start, np.where(has_left, line - half, start), line]
+    stretch, left, right = np.split(range_hashes(words, np.concatenate(starts), np.concatenate(ends)), 3)
+    origin = before[text[chosen]]
+    return text[chosen], {
+        "h": hashes[chosen].view(np.int64), "stretch": stretch.view(np.int64), "start": start - origin, "end": end - origin,
+        "left": np.where(has_left, left ^ LEFT, 0).astype(np.uint64).view(np.int64), "right": np.where(has_right, right ^ RIGHT, 0).astype(np.uint64).view(np.int64), "cut": line - half - origin,
+    }
+
+
+def written_lines(data: np.ndarray, starts: np.ndarray, words: np.ndarray, before: np.ndarray, line: int, least: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The text and the marks of each line as written of `line` words or more, and fewer than `least`."""
+    number = np.searchsorted(np.flatnonzero(data == 10), starts)
+    text = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    new = np.ones(len(starts), bool)
+    new[1:] = (number[1:] != number[:-1]) | (text[1:] != text[:-1])
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(starts))
+    kept = (end - start >= line) & (end - start < least)
+    start, end = start[kept], end[kept]
+    h = (range_hashes(words, start, end) ^ OWN_LINE).view(np.int64)
+    origin, none = before[text[start]], np.zeros(len(start), np.int64)
+    return text[start], {"h": h, "stretch": h, "start": start - origin, "end": end - origin, "left": none, "right": none, "cut": none}
+
+
+def _marks(line: int, least: int):
+    @arrow(MARKS)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found, number = [], [0]
+            for _, data, offsets in slices(batch):
+                starts, ends, before = word_ranges(data, offsets)
+                words = range_hashes(data, starts, ends)
+                pairs = [fingerprints(words, before, least), written_lines(data, starts, words, before, line, least)]
+                text = np.concatenate([t for t, _ in pairs])
+                order = np.argsort(text, kind="stable")
+                found.append([np.concatenate([m[f.name] for _, m in pairs])[order] for f in MARK])
+                number.extend((number[-1] + np.cumsum(np.bincount(text, minlength=len(offsets) - 1))).tolist())
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]), pa.int64()).cast(f.type) for k, f in enumerate(MARK)]
+            yield pa.ListArray.from_arrays(pa.array(number, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(MARK)))
+        release()
+
+    return of
 
 
-def _word_hashes(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode(), np.uint8)
-    starts, ends, _ = word_ranges(data, np.array([0, len(data)]))
-    return (range_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+def _run_hashes(least: int):
+    """(start, key) of the runs of `least` words that start within the wanted ranges."""
+
+    @arrow("array<struct<start:int,key:bigint>>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, wanted in batches:
+            number, starts_, keys = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            spans = wanted.to_pylist()
+            for k, text in enumerate(texts.cast(pa.binary())):
+                data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+                starts, ends, _ = word_ranges(data, np.array([0, len(data)]))
+                at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(s["from"], s["to"] + 1) for s in spans[k])]))
+                keys.append(range_hashes(range_hashes(data, starts, ends), at, at + least))
+                starts_.append(at)
+                number.append(number[-1] + len(at))
+            values = pa.StructArray.from_arrays([pa.array(np.concatenate(starts_), pa.int64()).cast(pa.int32()), pa.array(np.concatenate(keys).view(np.int64))], names=["start", "key"])
+            yield pa.ListArray.from_arrays(pa.array(number, pa.int32()), values)
+        release()
 
+    return of
 
-def _surroundings(text_at: int, reach: int):
-    """The hashes of `reach` words before and after each marked line, nearest first; 0 beyond the text."""
-    around = np.concatenate([-1 - np.arange(reach), LINE + np.arange(reach)])
 
-    @arrow("array<binary>")
-    def of(rows: pa.Array, marks: pa.Array) -> pa.Array:
+@arrow(f"struct<text:string,runs:{RUNS}>")
+def _delete(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The text without its repeated runs, and these runs."""
+    kind = pa.struct([("text", pa.string()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    for texts, found in batches:
         out = []
-        texts = rows.field(text_at)
-        for k, places in enumerate(marks.to_pylist()):
-            words = _word_hashes(texts[k].as_py() or "")
-            at = (np.array(places, np.int64) >> 2 * MARK)[:, None] + around
-            inside = (at >= 0) & (at < len(words))
-            out.append([x.tobytes() for x in np.where(inside, words[np.where(inside, at, 0)], np.uint32(0))])
-        return pa.array(out, pa.list_(pa.binary()))
+        for text, spans in zip(texts.cast(pa.binary()), found.to_pylist()):
+            if not spans:
+                out.append({"text": text.as_py(), "runs": []})
+                continue
+            raw = text.as_py()
+            data = np.frombuffer(raw, np.uint8)
+            starts, _, _ = word_ranges(data, np.array([0, len(data)]))
+            runs, edges, at, kept = merged([(s["start"], s["end"]) for s in spans]), np.append(starts, len(data)), 0, []
+            for s, e in runs:
+                kept.append(raw[at : edges[s]])
+                at = int(edges[e])
+            rest = b"".join([*kept, raw[at:]]).decode()
+            out.append({"text": rest if rest.strip() else "", "runs": [{"start": s, "end": e} for s, e in runs]})
+        yield pa.array(out, kind)
+    release()
 
-    return of
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Unions of the spans."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
 
 
-OTHERS = "array<struct<side:bigint,back:array<smallint>,key:array<bigint>>>"
+def _place():
+    """Where something stands, in the order in which the first place is kept."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "th", "start")
 
 
-def _compared(reach: int):
-    """How many words agree before and after a line; where `many` says so, the runs of reach + LINE words that the mark stands for and that don't agree.
+def _places_of(places: DataFrame, key: str) -> DataFrame:
+    """(key, n): keys that occur at two places or more, and their rows."""
+    place = F.xxhash64("id", "th", "start")
+    return places.groupBy(key).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a != b").select(key, "n")
 
-    `back` is how many words of a run come before the line and `key` is its hash. The runs that have at least half of their other words before the line
-    come first and the others second; `side` is the hash of this half, which runs of one hash have in common.
-    """
-    factors = np.random.default_rng(3).integers(1, 1 << 63, (2, reach), np.uint64) * np.uint64(2) + np.uint64(1)
-    back, half = np.arange(reach + 1), (reach + 1) // 2
-
-    def prefixes(words: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.zeros((len(words), 1), np.uint64), np.cumsum(words, axis=1, dtype=np.uint64)], axis=1)
-
-    def hashed(*columns) -> np.ndarray:
-        flat = np.stack(np.broadcast_arrays(*columns), axis=-1)
-        at = np.arange(0, flat.size, flat.shape[-1])
-        return range_hashes(flat.reshape(-1), at, at + flat.shape[-1]).view(np.int64).reshape(flat.shape[:-1])
-
-    @arrow(f"struct<left:int,right:int,others:{OTHERS}>")
-    def of(one: pa.Array, two: pa.Array, line: pa.Array, mark: pa.Array, many: pa.Array) -> pa.Array:
-        n = len(one)
-        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(n, 2, reach) for x in (one, two))
-        agree = np.logical_and.accumulate((a == b) & (a != 0), axis=2).sum(axis=2, dtype=np.int32)
-        marks, lines = np.array(mark.to_pylist(), np.int64), np.array(line.to_pylist(), np.int64).view(np.uint64)
-        ends = (1 << MARK) - 1
-        rest = np.flatnonzero(np.array(many.to_pylist(), bool) & (agree.min(axis=1) < reach))
-        a, same, low, high = a[rest], agree[rest], (marks[rest] >> MARK & ends)[:, None], (marks[rest] & ends)[:, None]
-        room = (a != 0).sum(axis=2)
-        other = (back >= low) & (back <= high) & (back <= room[:, :1]) & (reach - back <= room[:, 1:])
-        other &= ~((back <= same[:, :1]) & (reach - back <= same[:, 1:]))
-        left, right = (prefixes(a[:, k].astype(np.uint64) * factors[k]) for k in (0, 1))
-        lines, numbers = lines[rest, None], back.astype(np.uint64)
-        keys = hashed(left, right[:, ::-1], lines, numbers)
-        sides = hashed(np.stack([left[:, half], right[:, half]], axis=1), lines, np.array([0, 1], np.uint64))
-        out: list[list] = [[] for _ in range(n)]
-        for k, row in enumerate(rest.tolist()):
-            for side, places in enumerate((back[half:], back[:half])):
-                places = places[other[k, places]]
-                if len(places):
-                    out[row].append({"side": sides[k, side], "back": places, "key": keys[k, places]})
-        kind = pa.list_(pa.struct([("side", pa.int64()), ("back", pa.list_(pa.int16())), ("key", pa.list_(pa.int64()))]))
-        return pa.StructArray.from_arrays([pa.array(agree[:, 0]), pa.array(agree[:, 1]), pa.array(out, kind)], names=["left", "right", "others"])
 
-    return of
+def _later(met: DataFrame, length) -> DataFrame:
+    """(id, th, start, end) of the places in `met` that have an earlier one, `at`; what overlaps that place in its own text begins after its first `length` words."""
+    same_text = F.col("id").eqNullSafe(F.col("at.id")) & (F.col("th") == F.col("at.th"))
+    begin = F.when(same_text, F.greatest("start", F.col("at.start") + length)).otherwise(F.col("start"))
+    return met.where(~(same_text & (F.col("start") == F.col("at.start")))).select("id", "th", begin.alias("start"), "end").where("start < end")
 
 
-def _delete(text_at: int, least: int):
-    """The text without its repeated runs, and these runs; `copy` says that an earlier row has the same text."""
+def find_repeats(keyed: DataFrame, text, line: int, least: int) -> DataFrame:
+    """(id, th, start, end): the spans of words that have an earlier place. keyed: id, th and what `text` needs."""
+    marks = written(keyed.select("id", "th", F.explode(_marks(line, least)(text)).alias("m")).select("id", "th", "m.*"))
+    again = written(_places_of(marks, "h"))
+    marks = written(meet(marks, again, "h", marks.count()).select(*marks.columns))
 
-    @arrow(f"struct<text:string,words:int,runs:{RUNS}>")
-    def of(rows: pa.Array, copy: pa.Array, found: pa.Array) -> pa.Array:
-        texts, out = rows.field(text_at), []
-        for k, (is_copy, spans) in enumerate(zip(copy.to_pylist(), found.to_pylist())):
-            text = texts[k].as_py()
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            starts, _, _ = word_ranges(data, np.array([0, len(data)]))
-            if is_copy:
-                spans = [{"start": 0, "end": len(starts)}]
-            runs = merged([(s["start"], s["end"]) for s in spans or ()], least)
-            if runs:
-                edges, raw, at, kept = [*starts.tolist(), len(data)], data.tobytes(), 0, []
-                for s, e in runs:
-                    kept.append(raw[at : edges[s]])
-                    at = edges[e]
-                text = b"".join([*kept, raw[at:]]).decode()
-                text = text if text.strip() else ""
-            out.append({"text": text, "words": len(starts), "runs": [{"start": s, "end": e} for s, e in runs]})
-        return pa.array(out, pa.struct([("text", pa.string()), ("words", pa.int32()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+    payload = F.struct(F.col("id").isNull().alias("none"), "id", "th", "start", "end", "left", "right", "cut")
+    place = F.xxhash64("id", "th", "start")
+    firsts = written(marks.groupBy("stretch").agg(F.min(payload).alias("at"), F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("more")))
+    met = meet(marks.select("stretch", "id", "th", "start", "end"), firsts.where("more").select("stretch", "n", F.struct("at.id", "at.th", "at.start").alias("at")), "stretch", marks.count())
+    found = _later(met, F.least(F.lit(least), F.col("end") - F.col("start")))
 
-    return of
+    last, cut = F.col("at.end") - least, F.col("at.cut")
+    left = F.struct(F.col("at.left").alias("side"), F.col("at.start").alias("from"), F.least(last, cut).alias("to"))
+    right = F.struct(F.col("at.right").alias("side"), F.greatest(F.col("at.start"), cut + 1).alias("from"), last.alias("to"))
+    sides = written(firsts.select("stretch", "at.id", "at.th", F.explode(F.array(left, right)).alias("s")).where("s.side != 0").select("stretch", "id", "th", "s.*"))
+    shared = written(sides.groupBy("side").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b"), F.count("*").alias("n")).where("a != b").select("side", "n"))
+    wanted = written(meet(sides, shared, "side", sides.count()).groupBy("id", "th").agg(F.collect_list(F.struct("from", "to")).alias("wanted")))
 
+    runs = _held(keyed, wanted).select("id", "th", F.explode(_run_hashes(least)(text, F.col("wanted"))).alias("r")).select("id", "th", "r.start", (F.col("r.start") + least).alias("end"), "r.key")
+    runs = written(runs.distinct())
+    known = written(runs.groupBy("key").agg(F.min(_place()).alias("at"), F.count("*").alias("n")).where("n > 1"))
+    return found.unionByName(_later(meet(runs, known, "key", runs.count()), F.lit(least)))
 
-def merged(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Unions of the spans that have `least` words or more; shorter matches that happen to touch don't make a run."""
-    out: list[list[int]] = []
-    for s, e in sorted(x for x in spans if x[1] - x[0] >= least):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+
+def _key():
+    return F.xxhash64("id", "th")
+
+
+def _held(keyed: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of keyed that have a row in `of` (id, th and more), with it; only those that its sketch doesn't rule out are shuffled."""
+    near = with_sketch(keyed, _key(), sketch(of, _key()), "held").where("held").drop("held")
+    more = of.withColumnsRenamed({"id": "of_id", "th": "of_th"})
+    return near.join(more, near["id"].eqNullSafe(more["of_id"]) & (near["th"] == more["of_th"])).drop("of_id", "of_th")
 
 
-def find_repeats(keyed: DataFrame, firsts: DataFrame, id_col: str, text_at: int, text: str, least: int) -> DataFrame:
-    """(th, spans): for each different text the spans of words that occur earlier."""
-    prints = keyed.select("th", F.explode(_fingerprints(F.col("row")[text].cast("string"))).alias("f")).select("th", "f.h", "f.mark")
-    twice = repeated(prints, "h", F.xxhash64("th", "mark"))
-    marks = checkpointed(prints.join(twice, "h", "left_semi").join(firsts, "th").distinct())
-    first = marks.groupBy("h").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "th", "mark")).alias("at"), (F.count("*") > 2).alias("many"))
-    marks = marks.join(first, "h").select("th", "h", "mark", "many", ((F.col("th") == F.col("at.th")) & (F.col("mark") == F.col("at.mark"))).alias("source"))
-    listed = marks.groupBy("th").agg(F.collect_list(F.struct("h", "mark", "many", "source")).alias("marks"))
-    listed = listed.join(firsts, "th")
-    own = keyed.join(listed, "th").where(~later(F.col("row")[id_col], F.col("first")))
-    around = own.select("th", "first", "marks", _surroundings(text_at, least - LINE)("row", F.col("marks.mark")).alias("around"))
-    around = around.select("th", "first", F.explode(F.arrays_zip("marks", "around")).alias("m")).select("th", "first", "m.marks.*", "m.around")
-    sources = around.where("source").dropDuplicates(["h"]).select("h", F.col("around").alias("before"))
-    pos = F.shiftright("mark", 2 * MARK).cast("int").alias("pos")
-    found = around.where(~F.col("source")).join(sources, "h").select("th", "first", pos, _compared(least - LINE)("around", "before", "h", "mark", "many").alias("more"))
-    long = F.col("more.left") + LINE + F.col("more.right") >= least
-    found = checkpointed(found.where(long | (F.size("more.others") > 0)))
-    span = F.struct((F.col("pos") - F.col("more.left")).alias("start"), (F.col("pos") + LINE + F.col("more.right")).alias("end"))
-
-    sides = found.select("th", "first", "pos", F.explode("more.others").alias("o")).select("th", "first", "pos", "o.*")
-    sides = sides.join(repeated(sides, "side", F.xxhash64("th", "pos")), "side", "left_semi")
-    others = sides.select("th", "first", "pos", F.explode(F.arrays_zip("back", "key")).alias("o")).select("th", "first", (F.col("pos") - F.col("o.back")).alias("start"), "o.key")
-    others = checkpointed(others)
-    others = others.join(repeated(others, "key", F.xxhash64("th", "start")), "key", "left_semi")
-    known = others.groupBy("key").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "th", "start")).alias("at"))
-    again = others.join(known, "key").where((F.col("th") != F.col("at.th")) | (F.col("start") != F.col("at.start")))
-    again = again.select("th", F.struct("start", (F.col("start") + least).alias("end")).alias("span"))
-    return found.where(long).select("th", span.alias("span")).unionByName(again).groupBy("th").agg(F.collect_set("span").alias("spans"))
-
-
-def repeated(places: DataFrame, key: str, place) -> DataFrame:
-    """The keys that occur at two places or more."""
-    return places.groupBy(key).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select(key)
-
-
-def later(one, first):
-    """Whether an id comes after the first of its text; null ids come last."""
-    return F.coalesce(one > first, one.isNull() & first.isNotNull())
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(row, clean): row holds all columns of docs; clean is struct(text, words, runs), the text without later repeats, its words before, and the deleted runs of words."""
-    if least < LINE + WINDOW - 1:
-        raise ValueError(f"runs of fewer than {LINE + WINDOW - 1} words aren't found for certain")
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line: int = WRITTEN, least: int = LEAST) -> DataFrame:
+    """(row, clean): row holds all columns of docs; clean is struct(text, runs), the text without later repeats, and the deleted runs of words."""
+    if least < 2 * LINE:
+        raise ValueError(f"runs have {2 * LINE} words at least")
     small_batches(docs.sparkSession)
-    text_at = docs.columns.index(text_col)
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("th"))
-    firsts = keyed.groupBy("th").agg(F.min(F.col("row")[id_col]).alias("first"))
-    spans = find_repeats(keyed, firsts, id_col, text_at, text_col, least)
-    known = firsts.join(spans, "th", "left")
-    joined = keyed.join(known, "th", "left")
-    return joined.select("row", _delete(text_at, least)("row", F.coalesce(later(F.col("row")[id_col], F.col("first")), F.lit(False)), "spans").alias("clean"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row).select("row", F.col("row")[id_col].alias("id"), F.xxhash64(F.col("row")[text_col].cast("string")).alias("th"))
+    text = F.col("row")[text_col].cast("string")
+    spans = written(find_repeats(keyed, text, line, least).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+
+    marked = with_sketch(keyed, _key(), sketch(spans, _key()), "held")
+    more = spans.withColumnsRenamed({"id": "of_id", "th": "of_th"})
+    near = marked.where("held").join(more, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")), "left")
+    changed = near.select("row", _delete(text, F.coalesce("spans", F.expr(NO_RUNS))).alias("clean"))
+    whole = marked.where("NOT held").select("row", F.struct(text.alias("text"), F.expr(NO_RUNS).alias("runs")).alias("clean"))
+    return whole.unionByName(changed)

@@ -1,12 +1,12 @@
 """Queries of the format readers, and of the streams over the events table."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from pagequarry.plans.registry import query, table
 from pagequarry.plans.views import WRITES, view
+from pagequarry.session import shared_folder
 from pagequarry.sources import formats as X
 from pagequarry.streaming import streams as G
 
@@ -63,8 +63,7 @@ def decode_bytes(spark, sf_dir):
 
 
 def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def streamed(spark, sf_dir, name):
@@ -116,13 +115,10 @@ FOLDED = f"w AS ({WRITES}) SELECT url, max(seq) AS seq, arg_min(share_id, seq) F
 def stream_upsert(spark, sf_dir):
     path, source = folder(spark), folder(spark)
     writes = view(spark, sf_dir, "writes")
-    for k in range(2):
-        writes.where(f"seq % 2 = {k}").coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query_ = G.stream_upsert(stream, path, f"{path}/state").trigger(availableNow=True).start()
-    query_.awaitTermination()
-    last = max(p["batchId"] for p in query_.recentProgress if p["numInputRows"] > 0)
-    return spark.read.parquet(f"{path}/batch={last}").select("url", "seq", "share_id", "title")
+    writes.write.parquet(source)
+    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 64).parquet(source)
+    G.stream_upsert(stream, path, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return G.upserted(spark, path).select("url", "seq", "share_id", "title")
 
 
 @query("stream_convert")

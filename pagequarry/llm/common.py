@@ -2,7 +2,6 @@
 
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.session import checkpointed, shared_folder
+
 #: Bytes of text that the numpy helpers look at in one go; bounds a worker's temporary arrays.
 SLICE_BYTES = 1 << 18
 
@@ -29,26 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where none is set, a temporary one, which only a local master may use."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: cuts the lineage, and later readers take only the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.license_texts import NOTICES
-from pagequarry.llm.shingles import WORDS, shingle_hashes, words
+from pagequarry.llm.shingles import WORDS, own_shingles, words
 
 BANDS, LEAST = 128, 0.8
 SMALLEST = 8
@@ -53,7 +53,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
     """(id, notice, start, containment): the first best window (its first word) of each text for each notice that it holds."""
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(notices.items()), "notice string, text string").select("notice", words(F.col("text")).alias("w"))
-    known = known.select("notice", size_class(F.size("w")).alias("class"), F.array_distinct(shingle_hashes("w")).alias("theirs"))
+    known = known.select("notice", size_class(F.size("w")).alias("class"), F.array_distinct(own_shingles("w")).alias("theirs"))
     vocabulary = known.select(F.explode("theirs").alias("h")).distinct().agg(F.collect_list("h").alias("every"), F.lit(1).alias("one"))
     sizes = [r["class"] for r in known.select("class").distinct().orderBy("class").collect()]
 
@@ -62,7 +62,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
     for w in telling_words(notices, least):
         may = may | F.contains(low, F.lit(w))
     texts = docs.where(may).select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    hashed = texts.select("id", shingle_hashes("w").alias("hashes"))
+    hashed = texts.select("id", own_shingles("w").alias("hashes"))
     hashed = hashed.withColumn("one", F.lit(1)).join(F.broadcast(vocabulary), "one").drop("one")
     def of_class(c: int) -> Column:
         last = F.greatest(F.lit(0), F.size("hashes") - 1)

@@ -86,18 +86,17 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
 }
-#: The windows, shingles and similarity of op2 as strings and counts; within the similarity asked for, no item lies beyond the fingerprint radius in these tables.
+#: op2 with every window of an item's size that shares a shingle with it, shingles as strings and counts; no fingerprints.
 CONTAMINATION = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-dp AS (SELECT doc_id, w, len(w) - 4 AS size, unnest(range(len(w) - 4)) AS pos FROM d WHERE len(w) >= 5),
-ds AS (SELECT doc_id, size, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS s FROM dp),
-bp AS (SELECT item_id, w, len(w) AS n, unnest(range(len(w) - 4)) AS k FROM b WHERE len(w) >= 5),
-bs AS (SELECT item_id, n, k, array_to_string(w[k + 1:k + 5], ' ') AS s FROM bp),
-win AS (SELECT DISTINCT doc_id, size, n, least(greatest(pos - k, 0), greatest(0, size - (n - 4))) AS start FROM ds JOIN (SELECT DISTINCT n, k, s FROM bs) USING (s)),
-ws AS (SELECT win.doc_id, start, n, any_value(win.size) AS size, s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND pos >= start AND pos < start + n - 4 GROUP BY win.doc_id, start, n, s),
-bc AS (SELECT item_id, n, s, count(*) AS c FROM bs GROUP BY ALL),
-both_ AS (SELECT doc_id, item_id, start, ws.n, any_value(size) AS size, sum(least(ws.c, bc.c)) AS common FROM ws JOIN bc ON bc.s = ws.s AND bc.n = ws.n GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, start, n, common / CAST(least(n - 4, size) + n - 4 - common AS DOUBLE) AS similarity FROM both_)
+b AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark) WHERE len(w) > 0),
+dp AS (SELECT doc_id, w, k, len(w) - k + 1 AS size, unnest(range(len(w) - k + 1)) AS pos FROM d JOIN (SELECT DISTINCT k FROM b) ON len(w) >= k),
+ds AS (SELECT doc_id, k, size, pos, array_to_string(w[pos + 1:pos + k], ' ') AS s FROM dp),
+bp AS (SELECT item_id, w, n, k, unnest(range(n - k + 1)) AS p0 FROM b),
+bc AS (SELECT item_id, n, k, array_to_string(w[p0 + 1:p0 + k], ' ') AS s, count(*) AS c FROM bp GROUP BY ALL),
+hit AS (SELECT doc_id, item_id, n, k, size, pos, s, c, least(n - k + 1, size) AS own FROM ds JOIN bc USING (k, s)),
+win AS (SELECT DISTINCT doc_id, item_id, n, k, size, own, unnest(range(greatest(pos - own + 1, 0), least(pos, size - own) + 1)) AS start FROM hit),
+per AS (SELECT win.doc_id, win.item_id, win.n, win.k, win.own, win.start, s, least(count(*), any_value(c)) AS common FROM win JOIN hit ON hit.doc_id = win.doc_id AND hit.item_id = win.item_id AND pos >= start AND pos < start + win.own GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, n, start, sum(common) / CAST(own + n - k + 1 - sum(common) AS DOUBLE) AS similarity FROM per GROUP BY doc_id, item_id, n, k, own, start)
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
 
 ORACLES: dict[str, str] = {"op2_contamination": CONTAMINATION}

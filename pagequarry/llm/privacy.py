@@ -8,7 +8,7 @@ places, in texts with and without the entity; sanitise() generalises entities to
 overlap a base span are no terms: neither counted nor spanned.
 
 Places come from two built-in functions that walk a text alike: the matches of a pattern and what lies between them; a
-running sum of their lengths gives each match its place in code points. Separators that a pattern allows inside a match are
+running sum of their lengths, near linear in the matches, gives each match its place in code points. Separators that a pattern allows inside a match are
 first replaced by a control character, one for one, so that every pattern is a chain of plain character classes: linear in the
 text, and without recursion for very long matches. All of it is built-in column expressions and joins.
 
@@ -19,7 +19,8 @@ information and discloses nothing; an empty table gives no rows.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import checkpointed
+from pagequarry.llm.common import sketch, with_sketch
+from pagequarry.llm.common import written as kept
 from pagequarry.llm.shingles import sent_if_small
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -44,19 +45,45 @@ def none() -> Column:
     return F.expr(f"cast(array() as {SPANS})")
 
 
+#: Values that running() sums up in one go.
+STRETCH = 128
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often and within whatever function the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, join, zero: Column) -> Column:
+    """For each of the values what `join` makes of those before it: stretches first, so that the work stays near the number of values."""
+    fold = lambda x: F.aggregate(x, zero, join)
+
+    def of(v: Column) -> Column:
+        number = F.ceil(F.size(v) / STRETCH).cast("int")
+        each = F.transform(F.sequence(F.lit(1), number), lambda c: fold(F.slice(v, (c - 1) * STRETCH + 1, STRETCH)))
+        before = lambda parts: F.transform(parts, lambda x, c: fold(F.slice(parts, F.lit(1), c)))
+        place = lambda i: F.floor(i / STRETCH).cast("int")
+        within = lambda base: F.transform(v, lambda x, i: join(F.get(base, place(i)), fold(F.slice(v, place(i) * STRETCH + 1, i % STRETCH))))
+        return F.when(F.size(v) > 0, bound(each, lambda parts: bound(before(parts), within))).otherwise(F.slice(v, F.lit(1), F.lit(0)))
+
+    return bound(values, of)
+
+
 def matches(text: Column, pattern: str, kind: int) -> Column:
     """Spans of a pattern's matches, leftmost and not overlapping, with the matched text."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    pairs = F.filter(F.zip_with(found, between, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda p: p["m"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)").alias("spans"))
+    pairs = F.filter(F.zip_with(found, between, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))), lambda p: p["m"].isNotNull())
+
+    def placed(p: Column) -> Column:
+        before = running(F.transform(p, lambda x: x["g"] + F.length(x["m"])), lambda a, b: a + b, F.lit(0))
 
-    def step(state: Column, p: Column) -> Column:
-        begin = state["at"] + F.length(p["g"])
-        end = begin + F.length(p["m"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["m"].alias("value")))).alias("spans"))
+        def span(x: Column, start: Column) -> Column:
+            return F.struct((start + x["g"]).alias("start"), F.lit(kind).alias("kind"), (start + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("value"))
 
-    return F.aggregate(pairs, start, step, lambda s: s["spans"])
+        return F.zip_with(p, before, span)
+
+    return bound(pairs, placed)
 
 
 def digits(value: Column) -> Column:
@@ -86,39 +113,30 @@ def entity(span: Column) -> Column:
 
 def outside(text: Column, spans: Column) -> Column:
     """The text with each span, or spans that overlap, replaced by two characters that say whether its ends are letters."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
 
     def end(at: Column) -> Column:
         return F.when(F.substr(text, at, F.lit(1)).rlike(r"\p{L}"), LETTER).otherwise(OTHER)
 
-    def step(state: Column, s: Column) -> Column:
-        between = F.substr(text, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(between, end(s["start"] + 1), end(s["end"]))).alias("parts"))
+    def parts(ends: Column) -> Column:
+        between = lambda s, at: F.substr(text, at + 1, F.greatest(F.lit(0), s["start"] - at))
+        pieces = F.zip_with(spans, ends, lambda s, at: F.concat(between(s, at), end(s["start"] + 1), end(s["end"])))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1))
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
+    return bound(running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0)), parts)
 
 
 def terms_of(text: Column, spans: Column) -> Column:
     """Hashes of the different terms of a text that overlap no span."""
-    plain = F.when(F.size(spans) > 0, outside(F.translate(text, LETTER, OTHER), spans)).otherwise(F.translate(text, LETTER, OTHER))
+    plain = bound(F.translate(text, LETTER, OTHER), lambda t: F.when(F.size(spans) > 0, outside(t, spans)).otherwise(t))
     found = F.regexp_extract_all(plain, F.lit(rf"(?<![\p{{L}}{LETTER}]){TERM}(?!{LETTER})"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w))))
 
 
 def places(text: Column, spans: Column, telling: Column) -> Column:
     """Spans (start, kind, end) of all places of the terms whose hashes are in `telling` that overlap none of `spans`."""
-    found = F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    found = F.filter(found, lambda p: p["m"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), none().alias("spans"))
-
-    def step(state: Column, p: Column) -> Column:
-        begin = state["at"] + p["g"]
-        end = begin + F.length(p["m"])
-        more = F.concat(state["spans"], F.array(F.struct(begin.alias("start"), F.lit(4).alias("kind"), end.alias("end"))))
-        return F.struct(end.alias("at"), F.when(F.array_contains(telling, F.xxhash64(F.lower(p["m"]))), more).otherwise(state["spans"]).alias("spans"))
-
-    found = F.aggregate(found, start, step, lambda s: s["spans"])
-    return F.filter(found, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    found = F.filter(matches(text, TERM, 4), lambda t: F.array_contains(telling, F.xxhash64(F.lower(t["value"]))))
+    free = F.filter(found, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return F.transform(free, lambda t: F.struct(t["start"], t["kind"], t["end"]))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -126,32 +144,32 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     plain = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(plain).alias("text_hash"), plain.alias("text"))
     rows = texts.withColumn("spans", base_spans(F.col("text")))
-    held = rows.where(F.size("spans") > 0).select("id", "text_hash", "spans", terms_of(F.col("text"), F.col("spans")).alias("terms"))
-    held = checkpointed(held.dropDuplicates(["id", "text_hash"]).select("id", "text_hash", F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("base"), F.array_distinct(F.transform("spans", entity)).alias("entities"), "terms"))
+    bare = F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    rows = kept(rows.select("id", "text_hash", bare.alias("base"), F.array_distinct(F.transform("spans", entity)).alias("entities"), terms_of(F.col("text"), F.col("spans")).alias("terms")))
+    held = kept(rows.where(F.size("entities") > 0).dropDuplicates(["id", "text_hash"]))
 
     # n_term * n_entity / n_both is n_term at least, which leaves few terms before the terms and entities of a text are paired
     one = F.lit(1).alias("one")
-    total = docs.agg(F.count("*").alias("n")).select("n", one)
+    total = rows.agg(F.count("*").alias("n")).select("n", one)
     listed = held.select("id", "text_hash", F.explode("entities").alias("entity"))
     of_entity = listed.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("text_hash").alias("texts")).where(F.col("texts") >= support).select("entity", "n_entity", one)
     of_entity = of_entity.join(F.broadcast(total), "one").where("n > n_entity").withColumn("least", disclosure * F.log2(F.col("n") / F.col("n_entity"))).drop("one")
-    of_term = rows.select(F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    of_term = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     seen = held.select("id", "text_hash", F.explode("terms").alias("term")).join(of_term, "term").withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"})
     same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
     both = listed.join(of_entity, "entity").join(seen, same & (F.log2(F.col("n") / F.col("n_term")) >= F.col("least") - 1e-9))
     both = both.groupBy("entity", "term", "n_entity", "n_term", "n", "least").agg(F.count("*").alias("n_both"), F.count_distinct("text_hash").alias("texts"))
     pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
-    telling = checkpointed(both.where((F.col("texts") >= support) & (pmi >= F.col("least"))).select("term").distinct())
-
-    hits = rows.select("id", "text_hash", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term")).join(sent_if_small(telling), "term")
-    hits = hits.groupBy("id", "text_hash").agg(F.collect_set("term").alias("telling"))
-    base = held.select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"), "base")
-    # the base spans are joined: worked out here, they would be put into the function that looks at each term
-    hits = hits.join(base, same, "left").select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"), "telling", F.coalesce("base", none()).alias("spans"))
-    spotted = texts.join(hits, same).dropDuplicates(["id", "text_hash"])
-    spotted = spotted.select(F.col("of_id"), F.col("of_hash"), places(F.col("text"), F.col("spans"), F.col("telling")).alias("terms"))
-    every = texts.select("id", "text_hash").join(base, same, "left").select("id", "text_hash", "base")
-    return every.join(spotted, same, "left").select("id", "text_hash", F.coalesce("base", none()).alias("base"), F.coalesce("terms", none()).alias("terms"))
+    telling = kept(both.where((F.col("texts") >= support) & (pmi >= F.col("least") - 1e-9)).select("term").distinct())
+
+    hits = rows.select("id", "text_hash", "base", F.explode("terms").alias("term")).join(sent_if_small(telling), "term")
+    hits = kept(hits.groupBy("id", "text_hash").agg(F.collect_set("term").alias("telling"), F.first("base").alias("spans")))
+    key = F.xxhash64("id", "text_hash")
+    near = with_sketch(texts, key, sketch(hits, key), "held").where("held").drop("held")
+    hits = hits.withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"})
+    spotted = near.join(hits, same).dropDuplicates(["id", "text_hash"]).select("of_id", "of_hash", places(F.col("text"), F.col("spans"), F.col("telling")).alias("terms"))
+    every = rows.select("id", "text_hash", "base")
+    return every.join(spotted, same, "left").select("id", "text_hash", "base", F.coalesce("terms", none()).alias("terms"))
 
 
 def written(spans: Column) -> Column:

@@ -69,3 +69,42 @@ def test_terms_far_from_a_mention_and_without_it(spark):
         at = [m.span() for m in re.finditer("zanzibar", texts[k], re.I)]
         assert len(at) == 2 and set(at) <= set(found[k]) and not any(texts[k][s:e].startswith("filler") for s, e in found[k])
     assert found[3] == [m.span() for m in re.finditer("Zanzibar", texts[3])] and len(found[3]) == 2 and found[9] == []
+
+
+def test_terms_against_brute_force(spark):
+    """The terms that disclose an entity, from counts over whole texts, and all their places."""
+    import math
+    import random
+
+    random.seed(6)
+    names = "alpha bravo carol delta echos foxes golfs hotel india".split()
+    people = [f"p{k}@x{k}.org" for k in range(5)]
+    texts = []
+    for k in range(120):
+        w = [random.choice(names[5:]) for _ in range(6)]
+        if k % 4 == 0:
+            who = random.randrange(5)
+            w += [people[who], names[who] if random.random() < 0.9 else "other"] + [people[(who + 1) % 5]] * (k % 8 == 0)
+        w += [random.choice(names)] * (random.random() < 0.02)
+        random.shuffle(w)
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(k, t, "", "", "") for k, t in enumerate(texts)], SCHEMA)
+    bare = [re.sub(KINDS[0][0], "@", t) for t in texts]
+    has = lambda t: set(re.findall("[a-z]{3,}", t))
+    telling = set()
+    for e in people:
+        own = [k for k, t in enumerate(texts) if e in [m[0] for m in re.finditer(KINDS[0][0], t)]]
+        for w in set().union(*(has(bare[k]) for k in own)):
+            both, n_w = [k for k in own if w in has(bare[k])], sum(w in has(t) for t in bare)
+            pmi = math.log2(len(both) * len(texts) / (n_w * len(own)))
+            if len({texts[k] for k in both}) >= P.SUPPORT and pmi >= P.DISCLOSURE * math.log2(len(texts) / len(own)) - 1e-9:
+                telling.add(w)
+    want = {k: [m.span() for m in re.finditer("[a-z]{3,}", re.sub(KINDS[0][0], lambda m: "@" * len(m[0]), t)) if m[0] in telling] for k, t in enumerate(texts)}
+    assert telling and {r["id"]: [(s["start"], s["end"]) for s in r["terms"]] for r in P.find(docs).collect()} == want
+
+
+def test_many_matches_in_one_text(spark):
+    """5000 addresses in one text: places are right, and the work stays near linear."""
+    text = "".join(f"mail u{k}@h{k}.org x, " for k in range(5000))
+    (r,) = P.find(spark.createDataFrame([(1, text, "", "", "")], SCHEMA)).collect()
+    assert [(s["start"], s["kind"], s["end"]) for s in r["base"]] == brute(text)

@@ -162,12 +162,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
     telling = kept(both.where((F.col("texts") >= support) & (pmi >= F.col("least") - 1e-9)).select("term").distinct())
 
-    hits = rows.select("id", "text_hash", "base", F.explode("terms").alias("term")).join(sent_if_small(telling), "term")
-    hits = kept(hits.groupBy("id", "text_hash").agg(F.collect_set("term").alias("telling"), F.first("base").alias("spans")))
+    # only terms and texts that a sketch can't rule out are shuffled
+    said = with_sketch(rows.select("id", "text_hash", F.explode("terms").alias("term")), F.col("term"), sketch(telling, F.col("term")), "may").where("may").drop("may")
+    hits = kept(said.join(sent_if_small(telling), "term").groupBy("id", "text_hash").agg(F.collect_set("term").alias("telling")))
     key = F.xxhash64("id", "text_hash")
     near = with_sketch(texts, key, sketch(hits, key), "held").where("held").drop("held")
     hits = hits.withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"})
-    spotted = near.join(hits, same).dropDuplicates(["id", "text_hash"]).select("of_id", "of_hash", places(F.col("text"), F.col("spans"), F.col("telling")).alias("terms"))
+    spans = bound(base_spans(F.col("text")), lambda spans: places(F.col("text"), spans, F.col("telling")))
+    spotted = near.join(hits, same).select("of_id", "of_hash", spans.alias("terms")).dropDuplicates(["of_id", "of_hash"])
     every = rows.select("id", "text_hash", "base")
     return every.join(spotted, same, "left").select("id", "text_hash", "base", F.coalesce("terms", none()).alias("terms"))
 

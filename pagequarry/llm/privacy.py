@@ -132,11 +132,10 @@ def terms_of(text: Column, spans: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w))))
 
 
-def places(text: Column, spans: Column, telling: Column) -> Column:
-    """Spans (start, kind, end) of all places of the terms whose hashes are in `telling` that overlap none of `spans`."""
-    found = F.filter(matches(text, TERM, 4), lambda t: F.array_contains(telling, F.xxhash64(F.lower(t["value"]))))
-    free = F.filter(found, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return F.transform(free, lambda t: F.struct(t["start"], t["kind"], t["end"]))
+def terms_at(text: Column, spans: Column) -> Column:
+    """Spans (start, kind, end, value) of all terms of a text that overlap none of `spans`."""
+    clear = lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    return F.filter(matches(text, TERM, 4), clear)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -145,16 +144,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(plain).alias("text_hash"), plain.alias("text"))
     rows = texts.withColumn("spans", base_spans(F.col("text")))
     bare = F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    rows = kept(rows.select("id", "text_hash", bare.alias("base"), F.array_distinct(F.transform("spans", entity)).alias("entities"), terms_of(F.col("text"), F.col("spans")).alias("terms")))
-    held = kept(rows.where(F.size("entities") > 0).dropDuplicates(["id", "text_hash"]))
+    own_terms = F.when(F.size("spans") > 0, terms_of(F.col("text"), F.col("spans")))
+    found = kept(rows.select("id", "text_hash", bare.alias("base"), F.array_distinct(F.transform("spans", entity)).alias("entities"), own_terms.alias("terms")))
+    held = found.where(F.size("entities") > 0).dropDuplicates(["id", "text_hash"])
 
     # n_term * n_entity / n_both is n_term at least, which leaves few terms before the terms and entities of a text are paired
     one = F.lit(1).alias("one")
-    total = rows.agg(F.count("*").alias("n")).select("n", one)
+    total = found.agg(F.count("*").alias("n")).select("n", one)
     listed = held.select("id", "text_hash", F.explode("entities").alias("entity"))
     of_entity = listed.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("text_hash").alias("texts")).where(F.col("texts") >= support).select("entity", "n_entity", one)
     of_entity = of_entity.join(F.broadcast(total), "one").where("n > n_entity").withColumn("least", disclosure * F.log2(F.col("n") / F.col("n_entity"))).drop("one")
-    of_term = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    of_term = rows.select(F.explode_outer(terms_of(F.col("text"), F.col("spans"))).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n_term"))
     seen = held.select("id", "text_hash", F.explode("terms").alias("term")).join(of_term, "term").withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"})
     same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
     both = listed.join(of_entity, "entity").join(seen, same & (F.log2(F.col("n") / F.col("n_term")) >= F.col("least") - 1e-9))
@@ -162,15 +162,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
     telling = kept(both.where((F.col("texts") >= support) & (pmi >= F.col("least") - 1e-9)).select("term").distinct())
 
-    # only terms and texts that a sketch can't rule out are shuffled
-    said = with_sketch(rows.select("id", "text_hash", F.explode("terms").alias("term")), F.col("term"), sketch(telling, F.col("term")), "may").where("may").drop("may")
-    hits = kept(said.join(sent_if_small(telling), "term").groupBy("id", "text_hash").agg(F.collect_set("term").alias("telling")))
-    key = F.xxhash64("id", "text_hash")
-    near = with_sketch(texts, key, sketch(hits, key), "held").where("held").drop("held")
-    hits = hits.withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"})
-    spans = bound(base_spans(F.col("text")), lambda spans: places(F.col("text"), spans, F.col("telling")))
-    spotted = near.join(hits, same).select("of_id", "of_hash", spans.alias("terms")).dropDuplicates(["of_id", "of_hash"])
-    every = rows.select("id", "text_hash", "base")
+    # every term with its place, of which only those that a sketch can't rule out are shuffled; no text is
+    said = rows.select("id", "text_hash", F.explode_outer(terms_at(F.col("text"), F.col("spans"))).alias("t")).select("id", "text_hash", "t", F.xxhash64(F.lower("t.value")).alias("term"))
+    said = with_sketch(said, F.col("term"), sketch(telling, F.col("term")), "may").where("may AND t IS NOT NULL").select("id", "text_hash", "term", F.struct("t.start", "t.kind", "t.end").alias("t"))
+    spotted = said.join(sent_if_small(telling), "term").groupBy("id", "text_hash").agg(F.collect_set("t").alias("terms")).select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.sort_array("terms").alias("terms"))
+    every = found.select("id", "text_hash", "base")
     return every.join(spotted, same, "left").select("id", "text_hash", "base", F.coalesce("terms", none()).alias("terms"))
 
 

@@ -144,7 +144,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(plain).alias("text_hash"), plain.alias("text"))
     rows = texts.withColumn("spans", base_spans(F.col("text")))
     bare = F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    own_terms = F.when(F.size("spans") > 0, terms_of(F.col("text"), F.col("spans")))
+    own_terms = F.when(F.size("spans") > 0, bound(F.col("spans"), lambda spans: terms_of(F.col("text"), spans)))
     found = kept(rows.select("id", "text_hash", bare.alias("base"), F.array_distinct(F.transform("spans", entity)).alias("entities"), own_terms.alias("terms")))
     held = found.where(F.size("entities") > 0).dropDuplicates(["id", "text_hash"])
 
@@ -154,7 +154,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     listed = held.select("id", "text_hash", F.explode("entities").alias("entity"))
     of_entity = listed.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("text_hash").alias("texts")).where(F.col("texts") >= support).select("entity", "n_entity", one)
     of_entity = of_entity.join(F.broadcast(total), "one").where("n > n_entity").withColumn("least", disclosure * F.log2(F.col("n") / F.col("n_entity"))).drop("one")
-    of_term = rows.select(F.explode_outer(terms_of(F.col("text"), F.col("spans"))).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n_term"))
+    of_term = rows.select(F.explode_outer(bound(F.col("spans"), lambda spans: terms_of(F.col("text"), spans))).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n_term"))
     seen = held.select("id", "text_hash", F.explode("terms").alias("term")).join(of_term, "term").withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"})
     same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
     both = listed.join(of_entity, "entity").join(seen, same & (F.log2(F.col("n") / F.col("n_term")) >= F.col("least") - 1e-9))
@@ -163,7 +163,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     telling = kept(both.where((F.col("texts") >= support) & (pmi >= F.col("least") - 1e-9)).select("term").distinct())
 
     # every term with its place, of which only those that a sketch can't rule out are shuffled; no text is
-    said = rows.select("id", "text_hash", F.explode_outer(terms_at(F.col("text"), F.col("spans"))).alias("t")).select("id", "text_hash", "t", F.xxhash64(F.lower("t.value")).alias("term"))
+    said = rows.select("id", "text_hash", F.explode_outer(bound(F.col("spans"), lambda spans: terms_at(F.col("text"), spans))).alias("t")).select("id", "text_hash", "t", F.xxhash64(F.lower("t.value")).alias("term"))
     said = with_sketch(said, F.col("term"), sketch(telling, F.col("term")), "may").where("may AND t IS NOT NULL").select("id", "text_hash", "term", F.struct("t.start", "t.kind", "t.end").alias("t"))
     spotted = said.join(sent_if_small(telling), "term").groupBy("id", "text_hash").agg(F.collect_set("t").alias("terms")).select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.sort_array("terms").alias("terms"))
     every = found.select("id", "text_hash", "base")

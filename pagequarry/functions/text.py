@@ -267,7 +267,7 @@ def is_binary(text: Column) -> Column:
 def classify_file(filename: Column, content_type: Column) -> Column:
     """Kind of a file by its extension, else by its content type."""
     extension = F.lower(F.regexp_extract(empty(filename), r"\.([A-Za-z0-9]+)$", 1))
-    kinds = (("delimited", ("csv", "tsv"), "text/(csv|tab-separated-values)"), ("json", ("json", "jsonl", "ndjson"), "json"), ("feed", ("rss", "atom", "rdf"), "(rss|atom|rdf)"), ("notebook", ("ipynb",), "ipynb"), ("subtitles", ("srt", "vtt"), "(vtt|subrip)"), ("html", ("html", "htm", "xhtml"), "html"), ("image", ("png", "jpg", "jpeg", "webp", "gif"), "^image/"), ("audio", ("mp3", "wav", "m4a", "ogg"), "^audio/"), ("text", ("txt", "md", "log"), "^text/"))
+    kinds = (("delimited", ("csv", "tsv", "tab"), "text/(csv|tab-separated-values)"), ("json", ("json", "jsonl", "ndjson", "geojson"), "json"), ("feed", ("rss", "atom", "rdf"), "(rss|atom|rdf)"), ("notebook", ("ipynb",), "ipynb"), ("subtitles", ("srt", "vtt"), "(vtt|subrip)"), ("html", ("html", "htm", "xhtml"), "html"), ("xml", ("xml",), "(text|application)/xml"), ("image", ("png", "jpg", "jpeg", "webp", "gif"), "^image/"), ("audio", ("mp3", "wav", "m4a", "ogg"), "^audio/"), ("text", ("txt", "md", "log"), "^text/"))
     out = None
     for kind, names, _ in kinds:
         out = F.when(extension.isin(*names), kind) if out is None else out.when(extension.isin(*names), kind)

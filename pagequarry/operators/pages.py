@@ -59,6 +59,12 @@ def markup_stats(html: Column) -> Column:
     return _frame(dom.markup_stats, dom.STATS, "long")(html)
 
 
+def beyond(html: str | None, limits: dict[str, int] = LIMITS) -> bool:
+    """Whether markup is beyond the limits; one count for all of them."""
+    stats = dom.markup_stats(html)
+    return any(stats[k] > most for k, most in limits.items())
+
+
 def within_budget(stats: Column, limits: dict[str, int] = LIMITS) -> Column:
     out = F.lit(True)
     for name, most in limits.items():
@@ -89,7 +95,12 @@ def absolutify_urls(html: Column, url: Column) -> Column:
 
 
 def html_to_markdown(html: Column) -> Column:
-    return _each("string", lambda h: dom.to_markdown(dom.parse(h)))(html)
+    """Markdown of a fragment; null where the markup is beyond the limits."""
+
+    def run(h: str | None) -> str | None:
+        return None if beyond(h) else dom.to_markdown(dom.parse(h))
+
+    return _each("string", run)(html)
 
 
 LINK = r"""(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>"""
@@ -228,7 +239,7 @@ def convert_pages(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
                 row = {"page_id": page_id, "url": url, "html_len": len(html or ""), "has_article": bool(re.search(r"<(article|main)\b", html or "", re.I)), "metadata": {}}
                 if vendor:
                     row["reason"] = f"bot challenge: {vendor}"
-                elif any(dom.markup_stats(html)[k] > most for k, most in LIMITS.items()):
+                elif beyond(html):
                     row["reason"] = "markup beyond limits"
                 else:
                     row |= convert_one(html, url, json.loads(rule) if rule else None)

@@ -75,40 +75,48 @@ def bm25_term(tf: Column, df: Column, n: Column, length: Column, average: Column
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
-def _asked(queries: DataFrame) -> DataFrame:
-    """(query_id, term): different terms of each query, 64 at most as they come."""
-    terms = F.slice(F.array_distinct(T.tokenize(F.col("query"))), 1, 64)
-    return queries.select("query_id", F.explode(terms).alias("term"))
+#: Rows of a side that is sent to every executor; beyond it the join shuffles.
+SENT_ROWS = 500_000
 
 
-def bm25_sections(listed: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
+def _asked(queries: DataFrame, most: int | None = None) -> DataFrame:
+    """(query_id, term): different terms of each query; the first `most` as they come, if given."""
+    terms = F.array_distinct(T.tokenize(F.col("query")))
+    return queries.select("query_id", F.explode(terms if most is None else F.slice(terms, 1, most)).alias("term"))
+
+
+def bm25_sections(listed: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, most_terms: int | None = None) -> DataFrame:
     """(id, section, query_id, score): sections scored against the sections of their own document; a root without blocks is no section.
 
     Only the queries' terms are kept before anything is grouped; document lengths need no explode.
     """
-    asked = _asked(queries)
-    terms = F.broadcast(asked.select("term").distinct())
+    asked = _asked(queries, most_terms)
+    terms = _sent(asked.select("term").distinct())
     sized = listed.select("id", "section", T.tokenize(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
     of_doc = W.partitionBy("id")
     sized = sized.withColumn("n", F.count("*").over(of_doc)).withColumn("average", F.avg("length").over(of_doc))
     tf = sized.select("id", "section", "length", "n", "average", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "section", "length", "n", "average", "term").agg(F.count("*").alias("tf"))
     tf = tf.withColumn("df", F.count("*").over(W.partitionBy("id", "term")))
     scored = tf.withColumn("w", bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b))
-    return _weights(scored.join(F.broadcast(asked), "term"), ["id", "section", "query_id"])
+    return _weights(scored.join(_sent(asked), "term"), ["id", "section", "query_id"])
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, rank, id, score): the k best documents for each query over the whole table; ties to the smaller id."""
     asked = _asked(queries)
-    terms = F.broadcast(asked.select("term").distinct())
+    terms = _sent(asked.select("term").distinct())
     sized = docs.select(F.col(id_col).alias("id"), T.tokenize(F.col(text_col)).alias("tokens"))
     totals = sized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average"))
     held = sized.select("id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term")).join(terms, "term", "left_semi")
     tf = held.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(totals), F.lit(True))
+    scored = tf.join(df, "term").join(F.broadcast(totals), F.lit(True))
     scored = scored.withColumn("w", bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b))
-    best = _weights(scored.join(F.broadcast(asked), "term"), ["query_id", "id"])
+    best = _weights(scored.join(_sent(asked), "term"), ["query_id", "id"])
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -185,6 +193,8 @@ def choose(blocks: list[dict], scores: dict[int, float], block_scores: list[floa
     return taken, 1
 
 
+#: Terms of a query that an extract looks at.
+TERMS = 64
 EXTRACT = "id bigint, query_id bigint, markdown string, extracted boolean, confidence string, sections_selected bigint, original_tokens bigint, returned_tokens bigint"
 
 
@@ -198,9 +208,9 @@ def query_extract(tree: DataFrame, queries: DataFrame, max_tokens: int = 600, ma
     small = F.ceil(F.col("doc_chars") / 4) <= max(800, int(1.25 * budget))
     units = tree.where(~small)
     listed = sections(units)
-    section_scores = bm25_sections(listed, queries).withColumnRenamed("score", "section_score")
-    by_block = bm25_sections(units.select("id", F.col("idx").alias("section"), "text"), queries).select("id", F.col("section").alias("idx"), "query_id", F.col("score").alias("block_score"))
-    asked = F.broadcast(queries.select("query_id", F.slice(F.array_distinct(T.tokenize(F.col("query"))), 1, 64).alias("terms")))
+    section_scores = bm25_sections(listed, queries, most_terms=TERMS).withColumnRenamed("score", "section_score")
+    by_block = bm25_sections(units.select("id", F.col("idx").alias("section"), "text"), queries, most_terms=TERMS).select("id", F.col("section").alias("idx"), "query_id", F.col("score").alias("block_score"))
+    asked = F.broadcast(queries.select("query_id", F.slice(F.array_distinct(T.tokenize(F.col("query"))), 1, TERMS).alias("terms")))
     crossed = units.join(asked, F.lit(True)).withColumn("covered", T.term_coverage(F.col("terms"), T.tokenize(F.col("text"))))
     rows = crossed.join(section_scores, ["id", "section", "query_id"], "left").join(by_block, ["id", "idx", "query_id"], "left").fillna(0.0, ["section_score", "block_score"])
     rows = rows.select("id", "query_id", "idx", "section", "parent", "type", "text", "section_score", "block_score", "covered", "doc_chars")

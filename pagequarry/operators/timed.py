@@ -1,5 +1,7 @@
 """Work on rows in time order: paragraphs by gaps, chunks by an anchor, sliding-window limits."""
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -60,16 +62,25 @@ def verdicts(times: list[float], window: float, most: int, live: list[float]) ->
 
 
 def rate_limit(df: DataFrame, key: str, ts: str, window: float, most: int, tie: str) -> DataFrame:
-    """(key, tie, ts, allowed, retry_after): an event is accepted if fewer than `most` accepted ones lie in the last `window` seconds; rejected ones don't count. A verdict depends on earlier ones, so each key is a fold over its events."""
+    """(key, tie, ts, allowed, retry_after): an event is accepted if fewer than `most` accepted ones lie in the last `window` seconds; rejected ones don't count.
+
+    A verdict depends on earlier ones, so a key's events pass one task in order; it holds a batch and the accepted times that still count, however many events a key has.
+    """
     kinds = dict(df.dtypes)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", tie])
-        allowed, wait, _ = verdicts(group["at"].tolist(), window, most, [])
-        return group.assign(allowed=allowed, retry_after=wait)[[key, tie, "at", "allowed", "retry_after"]]
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, live = None, []
+        for batch in batches:
+            parts = []
+            for k, rows in batch.groupby(key, sort=False, dropna=False):
+                live = live if last is not None and (k == last[0] or pd.isna(k) and pd.isna(last[0])) else []
+                last = (k,)
+                allowed, wait, live = verdicts(rows["at"].tolist(), window, most, live)
+                parts.append(rows.assign(allowed=allowed, retry_after=wait))
+            yield pd.concat(parts)[[key, tie, "at", "allowed", "retry_after"]] if parts else batch.assign(allowed=False, retry_after=0.0)
 
     timed = df.select(key, tie, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
-    return timed.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, at double, allowed boolean, retry_after double")
+    return timed.repartition(key).sortWithinPartitions(key, "at", tie).mapInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, at double, allowed boolean, retry_after double")
 
 
 def rate_bound(df: DataFrame, key: str, ts: str, window: int, tie: str) -> DataFrame:

@@ -50,7 +50,7 @@ def subtree_blocks(spark, sf_dir):
 
 #: Six queries from the benchmark's texts for work by section, and one for each text for the whole corpus.
 QUERY_SQL = "q AS (SELECT length(text) % 6 AS query_id, min(array_to_string(string_split(text, ' ')[1:4], ' ')) AS query FROM benchmark GROUP BY 1)"
-ITEM_SQL = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark)"
+ITEM_SQL = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:[-.][\p{{L}}\p{{N}}]+)*')"
 
 
@@ -60,7 +60,7 @@ def queries(spark, sf_dir):
 
 
 def item_queries(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "array_join(slice(split(text, ' '), 1, 4), ' ') AS query")
+    return table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS query")
 
 
 W_SQL = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length / average))"

@@ -66,9 +66,9 @@ def fence(spark, sf_dir):
 SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '')"
 
 
-@query("slugify", f"SELECT doc_id, {SLUG.format('substr(text, 1, 200)')} AS slug FROM documents")
+@query("slugify", f"SELECT doc_id, {SLUG.format('text')} AS slug FROM documents")
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query("suggest_filename", f"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'youtube' WHEN 1 THEN 'markitdown' ELSE 'web' END AS source, CASE WHEN page_id % 4 = 3 THEN '' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title,
@@ -188,11 +188,11 @@ def drop_binary(spark, sf_dir):
     return docs.where(~T.is_binary(F.col("text")) & (F.trim("text") != "")).select("doc_id")
 
 
-@query("classify_file", "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'delimited' WHEN 1 THEN 'json' WHEN 2 THEN 'notebook' WHEN 3 THEN 'subtitles' WHEN 4 THEN 'html' WHEN 5 THEN 'image' WHEN 6 THEN 'text' ELSE 'unknown' END AS kind FROM events")
+@query("classify_file", "SELECT event_id, ['delimited', 'json', 'notebook', 'subtitles', 'html', 'image', 'text', 'unknown', 'delimited', 'json', 'xml', 'xml', 'json'][event_id % 13 + 1] AS kind FROM events")
 def classify_file(spark, sf_dir):
-    names = F.array(*map(F.lit, ["a.csv", "b.JSON", "c.ipynb", "d.vtt", "e", "f", "g.txt", "h.bin"]))
-    types = F.array(*map(F.lit, ["", "", "text/plain", "", "text/html; charset=utf-8", "image/png", "", ""]))
-    at = (F.col("event_id") % 8).cast("int")
+    names = F.array(*map(F.lit, ["a.csv", "b.JSON", "c.ipynb", "d.vtt", "e", "f", "g.txt", "h.bin", "i.TAB", "j.geojson", "k.xml", "l", "m"]))
+    types = F.array(*map(F.lit, ["", "", "text/plain", "", "text/html; charset=utf-8", "image/png", "", "", "", "", "", "application/xml", "application/geo+json"]))
+    at = (F.col("event_id") % 13).cast("int")
     return table(spark, sf_dir, "events").select("event_id", T.classify_file(F.get(names, at), F.get(types, at)).alias("kind"))
 
 

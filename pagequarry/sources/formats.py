@@ -61,11 +61,18 @@ def sniff(text: str) -> str:
     return best
 
 
-def to_table(text: str | None, delimiter: str | None = None) -> str:
+def to_table(text: str | None, delimiter: str | None = None) -> str | None:
+    """A Markdown table of delimited text; null where its delimiter is a quote or a line end, or it doesn't read."""
     text = text or ""
     delimiter = delimiter or sniff(text)
+    if delimiter in ('"', "\r", "\n"):
+        return None
     text = re.sub(r"\Asep=.\r?\n", "", text)
-    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r]
+    csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
+    try:
+        rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r]
+    except csv.Error:
+        return None
     if not rows:
         return ""
     wide = max(map(len, rows))
@@ -140,7 +147,7 @@ def feed_entries(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, text_col).mapInPandas(run, f"feed_id {kind}, pos bigint, title string, link string, date string, author string, body string")
 
 
-NOTEBOOK = "struct<metadata:struct<kernelspec:struct<language:string>>,cells:array<struct<cell_type:string,source:variant,outputs:array<struct<output_type:string,text:variant,data:map<string,variant>>>>>>"
+NOTEBOOK = "struct<metadata:struct<kernelspec:struct<language:string>,language_info:struct<name:string>>,cells:array<struct<cell_type:string,source:variant,outputs:array<struct<output_type:string,text:variant,data:map<string,variant>>>>>>"
 
 
 def _joined(v: Column) -> Column:
@@ -150,7 +157,7 @@ def _joined(v: Column) -> Column:
 def notebook_to_markdown(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, markdown): the cells in order; code in fences of the kernel's language, text outputs in plain fences without colour codes. What is no notebook gives no row."""
     read = df.select(F.col(id_col).alias("id"), F.from_json(text_col, NOTEBOOK).alias("n")).where("n.cells IS NOT NULL")
-    cells = read.select("id", F.coalesce("n.metadata.kernelspec.language", F.lit("python")).alias("lang"), F.posexplode("n.cells").alias("pos", "c"))
+    cells = read.select("id", F.coalesce("n.metadata.language_info.name", "n.metadata.kernelspec.language", F.lit("python")).alias("lang"), F.posexplode("n.cells").alias("pos", "c"))
     source = F.regexp_replace(_joined(F.col("c.source")), r"\s+\z", "")
     said = F.transform(F.coalesce("c.outputs", F.expr("cast(array() as array<struct<output_type:string,text:variant,data:map<string,variant>>>)")), lambda o: F.regexp_replace(F.coalesce(F.nullif(_joined(o["text"]), F.lit("")), _joined(F.try_element_at(o["data"], F.lit("text/plain")))), r"\x{1B}\[[0-9;]*m|\s+\z", ""))
     outputs = F.transform(F.filter(said, lambda s: s != ""), lambda s: F.concat(F.lit("```\n"), s, F.lit("\n```")))
@@ -169,7 +176,8 @@ def seconds(code: Column) -> Column:
 
 def parse_cues(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, cue_no, start, stop, line_no, line): the lines of SRT or WebVTT cues without tags; blocks without a timing are left out."""
-    blocks = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n")), r"\n[ \t]*\n+")).alias("cue_no", "block"))
+    blocks = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.regexp_replace(text_col, r"\r\n?", "\n"), r"\n[ \t]*\n+")).alias("cue_no", "block"))
     timed = blocks.where(F.col("block").rlike(TIMING)).select("id", "cue_no", seconds(F.regexp_extract("block", TIMING, 1)).alias("start"), seconds(F.regexp_extract("block", TIMING, 2)).alias("stop"), F.regexp_extract("block", r"(?s)-->[^\n]*\n?(.*)", 1).alias("body"))
     lines = timed.select("id", "cue_no", "start", "stop", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
-    return lines.withColumn("line", T.strip_tags(F.col("line"))).where("line <> ''")
+    # tags and position marks go without a trace
+    return lines.withColumn("line", T.strip_tags(F.regexp_replace("line", r"<[^>]*>|\{\\[^}]*\}", ""))).where("line <> ''")

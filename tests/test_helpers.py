@@ -124,3 +124,23 @@ def test_convert_pages_sets_aside_what_it_must_not_parse(spark):
     assert got[3]["extractor_reason"] == "markup beyond limits" and got[4]["extractor_reason"] == "bot challenge: Cloudflare"
     assert got[1]["title"] == "A page" and got[1]["source"] != "rejected" and got[2]["quality"] == 0 and len(got) == 5
 
+
+def test_hostile_rows_give_null(spark):
+    """Deep markup, long fields and odd delimiters cost their own row, not the job."""
+    df = spark.createDataFrame([("<div>" * 3000,), ("<b>" * 3000 + "x",), ("<p>fine</p>",), (None,)], "t string")
+    assert [r[0] for r in df.select(pages.html_to_markdown(F.col("t"))).collect()] == [None, None, "fine", ""]
+    assert formats.to_table('a,b\n1,"' + "x" * 200_000 + '"').count("x") == 200_000
+    assert formats.to_table('sep="\na"b') is None and formats.to_table(None) == ""
+
+
+def test_search_takes_all_terms_of_a_query(spark):
+    docs = spark.createDataFrame([(1, "word99 other"), (2, "nothing")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, " ".join(f"word{k}" for k in range(100)))], "query_id long, query string")
+    assert [(r["query_id"], r["id"]) for r in sections.bm25_search(docs, queries).collect()] == [(7, 1)]
+
+
+def test_subtitles_and_notebooks(spark):
+    df = spark.createDataFrame([(1, "1\r00:00:01,000 --> 00:00:02,000\r{\\an8}Hel<i>lo</i>\r")], "id long, t string")
+    assert [(r["line"], r["start"]) for r in formats.parse_cues(df, "id", "t").collect()] == [("Hello", 1.0)]
+    book = '{"metadata":{"kernelspec":{"language":"python"},"language_info":{"name":"R"}},"cells":[{"cell_type":"code","source":"x","outputs":[]}]}'
+    assert formats.notebook_to_markdown(spark.createDataFrame([(1, book)], "id long, t string"), "id", "t").first()["markdown"] == "```R\nx\n```"

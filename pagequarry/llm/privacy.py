@@ -45,28 +45,27 @@ def none() -> Column:
     return F.expr(f"cast(array() as {SPANS})")
 
 
-#: Values that running() sums up in one go.
-STRETCH = 128
-
-
 def bound(value: Column, body) -> Column:
     """body(value) with the value worked out once, however often and within whatever function the body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
 def running(values: Column, join, zero: Column) -> Column:
-    """For each of the values what `join` makes of those before it: stretches first, so that the work stays near the number of values."""
+    """For each of the values what `join` makes of those before it.
+
+    Stretches of about the cube root of their number n come first, so that no value looks at more than one stretch and the
+    stretches before it: n to the power 4/3 steps in all.
+    """
     fold = lambda x: F.aggregate(x, zero, join)
 
-    def of(v: Column) -> Column:
-        number = F.ceil(F.size(v) / STRETCH).cast("int")
-        each = F.transform(F.sequence(F.lit(1), number), lambda c: fold(F.slice(v, (c - 1) * STRETCH + 1, STRETCH)))
+    def of(v: Column, size: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.ceil(F.size(v) / size).cast("int")), lambda c: fold(F.slice(v, (c - 1) * size + 1, size)))
         before = lambda parts: F.transform(parts, lambda x, c: fold(F.slice(parts, F.lit(1), c)))
-        place = lambda i: F.floor(i / STRETCH).cast("int")
-        within = lambda base: F.transform(v, lambda x, i: join(F.get(base, place(i)), fold(F.slice(v, place(i) * STRETCH + 1, i % STRETCH))))
+        place = lambda i: F.floor(i / size).cast("int")
+        within = lambda base: F.transform(v, lambda x, i: join(F.get(base, place(i)), fold(F.slice(v, place(i) * size + 1, i % size))))
         return F.when(F.size(v) > 0, bound(each, lambda parts: bound(before(parts), within))).otherwise(F.slice(v, F.lit(1), F.lit(0)))
 
-    return bound(values, of)
+    return bound(values, lambda v: bound(F.greatest(F.lit(1), F.ceil(F.cbrt(F.size(v))).cast("int")), lambda size: of(v, size)))
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:

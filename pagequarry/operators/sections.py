@@ -89,9 +89,11 @@ def _asked(queries: DataFrame, most: int | None = None) -> DataFrame:
     return queries.select("query_id", F.explode(terms if most is None else F.slice(terms, 1, most)).alias("term"))
 
 
-def bm25_sections(listed: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, most_terms: int | None = None) -> DataFrame:
+def bm25_sections(listed: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, most_terms: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(id, section, query_id, score): sections scored against the sections of their own document; a root without blocks is no section.
 
+    Every document is asked every query, or with `pairs` (id, query_id) those only.
+
     Only the queries' terms are kept before anything is grouped; document lengths need no explode.
     """
     asked = _asked(queries, most_terms)
@@ -102,11 +104,12 @@ def bm25_sections(listed: DataFrame, queries: DataFrame, k1: float = 1.5, b: flo
     tf = sized.select("id", "section", "length", "n", "average", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "section", "length", "n", "average", "term").agg(F.count("*").alias("tf"))
     tf = tf.withColumn("df", F.count("*").over(W.partitionBy("id", "term")))
     scored = tf.withColumn("w", bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b))
-    return _weights(scored.join(_sent(asked), "term"), ["id", "section", "query_id"])
+    asking = scored.join(_sent(asked), "term") if pairs is None else scored.join(pairs.join(_sent(asked), "query_id"), ["id", "term"])
+    return _weights(asking, ["id", "section", "query_id"])
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, id, score): the k best documents for each query over the whole table; ties to the smaller id."""
+def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score): every document that has a term of a query, scored over the whole table."""
     asked = _asked(queries)
     terms = _sent(asked.select("term").distinct())
     sized = docs.select(F.col(id_col).alias("id"), T.tokenize(F.col(text_col)).alias("tokens"))
@@ -116,9 +119,20 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(df, "term").join(F.broadcast(totals), F.lit(True))
     scored = scored.withColumn("w", bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b))
-    best = _weights(scored.join(_sent(asked), "term"), ["query_id", "id"])
+    return _weights(scored.join(_sent(asked), "term"), ["query_id", "id"])
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, rank, id, score): the k best documents for each query over the whole table; ties to the smaller id."""
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    best = bm25_scores(docs, queries, id_col, text_col, k1, b).withColumn("rank", F.row_number().over(order))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def best_query(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, query_id): the query that each document answers best; ties to the smaller query id, documents without any query's term go."""
+    first = F.min(F.struct((-F.round("score", 9)).alias("least"), "query_id")).alias("first")
+    return bm25_scores(docs, queries, id_col, text_col).groupBy("id").agg(first).select("id", "first.query_id")
 
 
 def assemble_regions(selected: DataFrame, keys: list[str], marker: str = ELISION) -> DataFrame:
@@ -198,8 +212,8 @@ TERMS = 64
 EXTRACT = "id bigint, query_id bigint, markdown string, extracted boolean, confidence string, sections_selected bigint, original_tokens bigint, returned_tokens bigint"
 
 
-def query_extract(tree: DataFrame, queries: DataFrame, max_tokens: int = 600, marker: str = ELISION) -> DataFrame:
-    """(id, query_id, markdown, extracted, confidence, sections_selected, original_tokens, returned_tokens): the part of each document that answers each query, within a budget.
+def query_extract(tree: DataFrame, queries: DataFrame, max_tokens: int = 600, marker: str = ELISION, pairs: DataFrame | None = None) -> DataFrame:
+    """(id, query_id, markdown, extracted, confidence, sections_selected, original_tokens, returned_tokens): the part of each document that answers each query, or with `pairs` (id, query_id) the queries paired with it, within a budget.
 
     tree: rows of section_tree with column doc_chars (length of the whole document). Small documents come back whole. Scores are
     SQL; the greedy choice is one small fold for each (document, query).
@@ -208,10 +222,10 @@ def query_extract(tree: DataFrame, queries: DataFrame, max_tokens: int = 600, ma
     small = F.ceil(F.col("doc_chars") / 4) <= max(800, int(1.25 * budget))
     units = tree.where(~small)
     listed = sections(units)
-    section_scores = bm25_sections(listed, queries, most_terms=TERMS).withColumnRenamed("score", "section_score")
-    by_block = bm25_sections(units.select("id", F.col("idx").alias("section"), "text"), queries, most_terms=TERMS).select("id", F.col("section").alias("idx"), "query_id", F.col("score").alias("block_score"))
-    asked = F.broadcast(queries.select("query_id", F.slice(F.array_distinct(T.tokenize(F.col("query"))), 1, TERMS).alias("terms")))
-    crossed = units.join(asked, F.lit(True)).withColumn("covered", T.term_coverage(F.col("terms"), T.tokenize(F.col("text"))))
+    section_scores = bm25_sections(listed, queries, most_terms=TERMS, pairs=pairs).withColumnRenamed("score", "section_score")
+    by_block = bm25_sections(units.select("id", F.col("idx").alias("section"), "text"), queries, most_terms=TERMS, pairs=pairs).select("id", F.col("section").alias("idx"), "query_id", F.col("score").alias("block_score"))
+    asked = _sent(queries.select("query_id", F.slice(F.array_distinct(T.tokenize(F.col("query"))), 1, TERMS).alias("terms")))
+    crossed = (units.join(asked, F.lit(True)) if pairs is None else units.join(pairs, "id").join(asked, "query_id")).withColumn("covered", T.term_coverage(F.col("terms"), T.tokenize(F.col("text"))))
     rows = crossed.join(section_scores, ["id", "section", "query_id"], "left").join(by_block, ["id", "idx", "query_id"], "left").fillna(0.0, ["section_score", "block_score"])
     rows = rows.select("id", "query_id", "idx", "section", "parent", "type", "text", "section_score", "block_score", "covered", "doc_chars")
 
@@ -238,6 +252,7 @@ def query_extract(tree: DataFrame, queries: DataFrame, max_tokens: int = 600, ma
     found = rows.groupBy("id", "query_id").applyInPandas(fold, EXTRACT)
     whole = tree.where(small).groupBy("id", "doc_chars").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n").alias("markdown"))
     tokens = F.ceil(F.col("doc_chars") / 4)
-    kept = whole.join(F.broadcast(queries.select("query_id")), F.lit(True)).select("id", F.col("query_id").cast("long"), "markdown", F.lit(False).alias("extracted"), F.lit(None).cast("string").alias("confidence"), F.lit(0).cast("long").alias("sections_selected"), tokens.alias("original_tokens"), tokens.alias("returned_tokens"))
+    asking = whole.join(_sent(queries.select("query_id")), F.lit(True)) if pairs is None else whole.join(pairs, "id")
+    kept = asking.select("id", F.col("query_id").cast("long"), "markdown", F.lit(False).alias("extracted"), F.lit(None).cast("string").alias("confidence"), F.lit(0).cast("long").alias("sections_selected"), tokens.alias("original_tokens"), tokens.alias("returned_tokens"))
     return found.unionByName(kept)
 

@@ -7,6 +7,7 @@ from pagequarry.operators import sections as S
 from pagequarry.operators import stats, threads, timed
 from pagequarry.plans.registry import query, table
 from pagequarry.plans.views import MD, THREAD, cues, markdown, view
+from pagequarry.session import checkpointed
 
 LINES = f"""md AS ({MD}), b AS (SELECT doc_id AS id, unnest(range(len(ls))) AS idx, unnest(ls) AS text FROM (SELECT doc_id, string_split(markdown, chr(10)) AS ls FROM md)),
 t0 AS (SELECT *, CASE WHEN regexp_matches(text, '^#{{1,6}} ') THEN length(regexp_extract(text, '^(#+) ', 1)) ELSE 0 END AS lv FROM b),
@@ -48,17 +49,11 @@ def subtree_blocks(spark, sf_dir):
     return S.subtree_blocks(listed(spark, sf_dir).drop("text"))
 
 
-#: Six queries from the benchmark's texts for work by section, and one for each text for the whole corpus.
-QUERY_SQL = "q AS (SELECT length(text) % 6 AS query_id, min(array_to_string(string_split(text, ' ')[1:4], ' ')) AS query FROM benchmark GROUP BY 1)"
+#: Every text of the benchmark is a query.
 ITEM_SQL = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:[-.][\p{{L}}\p{{N}}]+)*')"
 
 
-def queries(spark, sf_dir):
-    first = F.expr("array_join(slice(split(text, ' '), 1, 4), ' ')")
-    return table(spark, sf_dir, "benchmark").groupBy((F.length("text") % 6).cast("long").alias("query_id")).agg(F.min(first).alias("query"))
-
-
 def item_queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS query")
 
@@ -67,11 +62,11 @@ W_SQL = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (CAST(0.25
 ASKED = f"a AS (SELECT DISTINCT query_id, unnest({TOKENS.format('query')}) AS term FROM q)"
 
 
-@query("bm25_sections", f"""WITH {LINES}, {QUERY_SQL}, {ASKED}, k AS (SELECT id, section, {TOKENS.format('text')} AS tokens FROM s), z AS (SELECT id, section, tokens, len(tokens) AS length, count(*) OVER (PARTITION BY id) AS n, avg(len(tokens)) OVER (PARTITION BY id) AS average FROM k),
+@query("bm25_sections", f"""WITH {LINES}, {ITEM_SQL}, {ASKED}, k AS (SELECT id, section, {TOKENS.format('text')} AS tokens FROM s), z AS (SELECT id, section, tokens, len(tokens) AS length, count(*) OVER (PARTITION BY id) AS n, avg(len(tokens)) OVER (PARTITION BY id) AS average FROM k),
 f AS (SELECT id, section, length, n, average, term, count(*) AS tf FROM (SELECT id, section, length, n, average, unnest(tokens) AS term FROM z) WHERE term IN (SELECT term FROM a) GROUP BY ALL), d AS (SELECT *, count(*) OVER (PARTITION BY id, term) AS df FROM f)
 SELECT id, section, query_id, round(sum({W_SQL}), 6) AS score FROM d JOIN a USING (term) GROUP BY ALL""")
 def bm25_sections(spark, sf_dir):
-    return S.bm25_sections(listed(spark, sf_dir), queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return S.bm25_sections(listed(spark, sf_dir), item_queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_search", f"""WITH {ITEM_SQL}, {ASKED}, k AS (SELECT doc_id AS id, {TOKENS.format('text')} AS tokens FROM documents), z AS (SELECT id, tokens, len(tokens) AS length, count(*) OVER () AS n, avg(len(tokens)) OVER () AS average FROM k),
@@ -83,9 +78,12 @@ def bm25_search(spark, sf_dir):
 
 
 def extract(spark, sf_dir):
+    """Every document, cut to what answers the benchmark text that fits it best."""
     docs = markdown(spark, sf_dir)
     tree = S.section_tree(M.markdown_blocks(docs, "doc_id", "markdown")).join(docs.select(F.col("doc_id").alias("id"), F.length("markdown").alias("doc_chars")), "id")
-    return S.query_extract(tree, queries(spark, sf_dir))
+    asked = item_queries(spark, sf_dir)
+    pairs = checkpointed(S.best_query(docs, asked, "doc_id", "markdown"))
+    return S.query_extract(tree, asked, pairs=pairs)
 
 
 @query("query_extract")

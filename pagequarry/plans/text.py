@@ -134,11 +134,11 @@ def parse_frontmatter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.parse_frontmatter(md).alias("f")).select("doc_id", "f.*")
 
 
-@query("term_coverage", r"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*')) AS w FROM documents), q AS (SELECT length(text) % 6 AS item_id, list_distinct(regexp_extract_all(lower(min(text)), '[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*')) AS t FROM benchmark GROUP BY 1)
+@query("term_coverage", r"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*')) AS w FROM documents), q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*')) AS t FROM benchmark)
 SELECT doc_id, item_id, len(list_intersect(t, w)) / CAST(len(t) AS DOUBLE) AS coverage FROM d JOIN q ON true""")
 def term_coverage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.tokenize(F.col("text"))).alias("w"))
-    asked = table(spark, sf_dir, "benchmark").groupBy((F.length("text") % 6).cast("long").alias("item_id")).agg(F.min("text").alias("text")).select("item_id", T.tokenize(F.col("text")).alias("t"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", T.tokenize(F.col("text")).alias("t"))
     return docs.join(F.broadcast(asked), F.lit(True)).select("doc_id", "item_id", T.term_coverage(F.col("t"), F.col("w")).alias("coverage"))
 
 

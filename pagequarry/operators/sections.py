@@ -135,6 +135,19 @@ def best_query(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
     return bm25_scores(docs, queries, id_col, text_col).groupBy("id").agg(first).select("id", "first.query_id")
 
 
+def query_coverage(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, query_id, coverage): the share of each query's different terms that each document holds, 0 for a query without terms; ids are unique.
+
+    Documents meet queries by the terms they share; only ids are paired to give the zeros their rows.
+    """
+    asked = _asked(queries)
+    held = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(T.tokenize(F.col(text_col)))).alias("term"))
+    hits = held.join(_sent(asked), "term").groupBy("id", "query_id").agg(F.count("*").alias("hits"))
+    sizes = queries.select("query_id", F.size(F.array_distinct(T.tokenize(F.col("query")))).alias("size"))
+    every = docs.select(F.col(id_col).alias("id")).join(_sent(sizes), F.lit(True)).join(hits, ["id", "query_id"], "left")
+    return every.select("id", "query_id", F.when(F.col("hits").isNull(), 0.0).otherwise(F.col("hits") / F.col("size")).alias("coverage"))
+
+
 def assemble_regions(selected: DataFrame, keys: list[str], marker: str = ELISION) -> DataFrame:
     """(keys, regions, markdown): selected blocks (idx, text); neighbours are joined by a blank line, regions by the marker."""
     order = W.partitionBy(*keys).orderBy("idx")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.functions import urls as U
+from pagequarry.operators import sections
 from pagequarry.plans.registry import query, table
 from pagequarry.plans.views import AS_OF, LOG, MD, MD_SPARK, markdown, view
 
@@ -137,9 +138,8 @@ def parse_frontmatter(spark, sf_dir):
 @query("term_coverage", r"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*')) AS w FROM documents), q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*')) AS t FROM benchmark)
 SELECT doc_id, item_id, len(list_intersect(t, w)) / CAST(len(t) AS DOUBLE) AS coverage FROM d JOIN q ON true""")
 def term_coverage(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.tokenize(F.col("text"))).alias("w"))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", T.tokenize(F.col("text")).alias("t"))
-    return docs.join(F.broadcast(asked), F.lit(True)).select("doc_id", "item_id", T.term_coverage(F.col("t"), F.col("w")).alias("coverage"))
+    asked = table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS query")
+    return sections.query_coverage(table(spark, sf_dir, "documents"), asked).withColumnsRenamed({"id": "doc_id", "query_id": "item_id"})
 
 
 @query("filter_fields", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'title,' || event_type ELSE 'title' END AS kept, CASE WHEN event_type IN ('click', 'view') THEN 'zzz' ELSE event_type || ',zzz' END AS dropped FROM events")

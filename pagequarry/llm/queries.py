@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chat, contamination, language, licenses, lines, neighbours, packing, privacy, quality, simhash
+from pagequarry.llm import chat, contamination, language, licenses, lines, neighbours, packing, phrases, privacy, quality, repair, simhash, toxicity
 from pagequarry.llm.common import fold, table
 
 
@@ -74,6 +74,39 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(branches, members).withColumnRenamed("conv", "conv_id")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """What op11 repairs: by crc32(conv_id:turn) % 20 a row goes (0), loses its text (1) or its `.!?` (2), is there twice (3), or is the user's (4)."""
+
+    def said(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.encode(F.concat(said("conv_id"), F.lit(":"), said("turn")), "UTF-8")) % 20
+    rows = conversations.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), kind.alias("kind")).where("kind != 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    audits, ordered = repair.diagnose(damaged(rows))
+    found = audits.alias("a").join(repair.digests(audits, ordered).alias("d"), F.expr("a.conv <=> d.conv")).select("a.*", "repaired_sha256")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in (*repair.PROFILE, "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+    score = toxicity.classify(docs.select("doc_id", "text"), model, into="score")
+    return score.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_contamination": op2_contamination,
@@ -85,6 +118,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_repair": op11_repair,
+    "op12_toxicity": op12_toxicity,
+    "op13_phrases": op13_phrases,
 }
 #: op2 with every window of an item's size that shares a shingle with it, shingles as strings and counts; no fingerprints.
 CONTAMINATION = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
@@ -99,4 +135,17 @@ per AS (SELECT win.doc_id, win.item_id, win.n, win.k, win.own, win.start, s, lea
 sim AS (SELECT doc_id, item_id, n, start, sum(common) / CAST(own + n - k + 1 - sum(common) AS DOUBLE) AS similarity FROM per GROUP BY doc_id, item_id, n, k, own, start)
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
 
-ORACLES: dict[str, str] = {"op2_contamination": CONTAMINATION}
+#: op13 with a row for each phrase of each length, and no sketch.
+PHRASES = r"""WITH p AS (SELECT row_number() OVER () AS piece, lang, w FROM (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\f\r]')) AS piece FROM documents)) WHERE len(w) > 0),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, w[i:i + size - 1] AS w, size, CAST(count(*) AS BIGINT) AS f FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS size)) GROUP BY ALL),
+c AS (SELECT lang, w, size, f AS a FROM f WHERE size > 1 AND f >= 30),
+cut AS (SELECT c.*, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1:c.size] QUALIFY row_number() OVER (PARTITION BY c.lang, c.w ORDER BY score, k) = 1),
+kept AS (SELECT * FROM cut WHERE NOT EXISTS (SELECT 1 FROM (SELECT lang, w[i:i + z - 1] AS part, a AS longer FROM (SELECT *, unnest(range(1, size - z + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS z FROM c))) v
+  WHERE v.lang = cut.lang AND v.part = cut.w AND 100 * v.longer >= 80 * cut.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase, a, l, r, n, score FROM kept JOIN total USING (lang)
+QUALIFY rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op2_contamination": CONTAMINATION, "op13_phrases": PHRASES}

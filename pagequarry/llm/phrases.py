@@ -6,15 +6,15 @@ shorter and shorter prefixes, which gives how often every phrase of one to four
 
 Most windows of a corpus occur once or twice and can't matter. So a first pass adds each window's prefixes up in a sketch:
 counters that a hash picks, each at least as large as the count of every prefix that shares it. A prefix whose counter
-stays below the least count is padded away from the windows of the second pass; what is left are exact counts of
+stays below the least count, or that has such an end, is padded away from the windows of the second pass; what is left are exact counts of
 all phrases that occur often enough. The sketch has a fixed size bound; where it is too full to rule anything out, the windows just shuffle
 unpadded, with the same results.
 
 A candidate is cut after each of its words; the cut with the lowest score counts. Candidates that a longer one mostly
 accounts for are dropped, and each language's best are kept.
 
-Defined results: null texts are empty, null languages are `und`; repeated rows count each time; an empty table gives no rows. Words
-of a task's windows are told apart by 64-bit hashes, and compared as words from there on.
+Defined results: null texts are empty, null languages are `und`; repeated rows count each time; an empty table gives no rows. Windows of
+a stretch of text are told apart by 64-bit hashes, and compared as words from there on.
 """
 
 from collections.abc import Iterator
@@ -34,11 +34,8 @@ LEAST, PER_LANG, COVERED = 30, 2000, 80
 COUNTERS_PER_CHAR, LEAST_BITS, MOST_BITS, BLOCK_BITS = 0.25, 20, 27, 16
 #: Bytes of text that are looked at in one go.
 STRETCH = 1 << 20
-#: Different windows that a task adds up before it hands them on.
-HELD = 200_000
 
 WORDS = [f"w{k + 1}" for k in range(ORDER)]
-COUNTED = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", n long"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 ENDS = np.zeros(256, bool)
@@ -89,6 +86,20 @@ def _stretches(batch: pa.RecordBatch):
         yield names, own, low, windows(low, offsets, hashes[own])
 
 
+def _held(bitmap: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - bits)
+    return bitmap[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def depths(prefix: list[np.ndarray], there: list[np.ndarray], bitmap: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """For each order, which windows' prefixes may occur often: no phrase does so more than its beginning or its end, which the next window begins with."""
+    going = np.ones(len(prefix[0]), bool)
+    for k, (h, ok) in enumerate(zip(prefix, there)):
+        end = np.append(going[1:], False) if k else True
+        going = going & ok & end & _held(bitmap, bits, h)
+        yield going
+
+
 def _counters(bits: int):
     """What a task's prefixes add to the counters: (block, added), blocks that get nothing left out; counters stop at 255."""
 
@@ -134,45 +145,34 @@ def sketch(texts: DataFrame, least: int, bits: int) -> np.ndarray:
     return bitmap.ravel()
 
 
-def _counts(shared, bits: int):
-    """A task's padded windows and how often each occurs there."""
+def _spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """data[start : start + size] as strings."""
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    edges = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
 
-    def held(seen: list, n: np.ndarray) -> pa.RecordBatch:
-        columns = list(zip(*seen))
-        return pa.record_batch([*(pa.array(c, pa.string()) for c in columns), pa.array(n, pa.int64())], names=["lang", *WORDS, "n"])
+def _counts(shared, bits: int):
+    """A stretch's padded windows, their words joined by blanks, and how often each occurs there."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, totals, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         for batch in batches:
-            for names, langs, data, (starts, ends, text, prefix, there) in _stretches(batch):
-                depth, key = np.zeros(len(starts), np.int8), langs[text].astype(np.uint64)
-                going = np.ones(len(starts), bool)
-                for h, ok in zip(prefix, there):
-                    at = h >> np.uint64(64 - bits)
-                    bit = shared.value[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
-                    going &= ok & (bit == 1)
+            for names, own, data, (starts, ends, text, prefix, there) in _stretches(batch):
+                depth, key = np.zeros(len(starts), np.int64), own[text].astype(np.uint64)
+                for h, going in zip(prefix, depths(prefix, there, shared.value, bits)):
                     depth += going
                     key = np.where(going, h, key)
-                key = _stirred(key * MIX + depth.astype(np.uint64))
-                these, where, n = np.unique(key, return_index=True, return_counts=True)
-                place = np.searchsorted(keys, these)
-                known = np.zeros(len(these), bool)
-                known[place < len(keys)] = keys[place[place < len(keys)]] == these[place < len(keys)]
-                totals[place[known]] += n[known]
-                raw = data.tobytes()
-                fresh = []
-                for i in where[~known].tolist():
-                    d = int(depth[i])
-                    words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[i : i + d].tolist(), ends[i : i + d].tolist())]
-                    fresh.append((names[langs[text[i]]], *words, *[""] * (ORDER - d)))
-                keys, totals, seen = np.concatenate([keys, these[~known]]), np.concatenate([totals, n[~known]]), seen + fresh
-                order = np.argsort(keys, kind="stable")
-                keys, totals, seen = keys[order], totals[order], [seen[i] for i in order.tolist()]
-                if len(keys) > HELD:
-                    yield held(seen, totals)
-                    keys, totals, seen = keys[:0], totals[:0], []
-        if len(keys):
-            yield held(seen, totals)
+                _, where, n = np.unique(_stirred(key * MIX + depth.astype(np.uint64)), return_index=True, return_counts=True)
+                # all words with one blank after each, so that a window is a stretch of this
+                sizes = ends - starts
+                begins = np.cumsum(sizes + 1) - sizes - 1
+                spaced = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+                spaced[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = data[~BETWEEN[data]]
+                last = where + np.maximum(depth[where], 1) - 1
+                long = np.where(depth[where] > 0, begins[last] + sizes[last] - begins[where], 0)
+                langs = pa.array(names, pa.string()).take(pa.array(own[text[where]]))
+                yield pa.record_batch([langs, _spans(spaced, begins[where], long), pa.array(n, pa.int64())], names=["lang", "said", "n"])
         release()
 
     return of
@@ -190,7 +190,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     bits = bits or sketch_bits(texts)
     shared = spark.sparkContext.broadcast(sketch(texts, least, bits))
-    counted = texts.mapInArrow(_counts(shared, bits), COUNTED).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(_counts(shared, bits), "lang string, said string, n long").groupBy("lang", "said").agg(F.sum("n").alias("n"))
+    counted = counted.select("lang", *(F.coalesce(F.get(F.split("said", " "), F.lit(k)), F.lit("")).alias(w) for k, w in enumerate(WORDS)), "n")
     rolled = counted.rollup("lang", *WORDS).agg(F.grouping_id().alias("level"), F.sum("n").alias("f"))
     n_words = (F.lit(ORDER) - F.bit_count("level")).cast("int")
     rows = rolled.withColumn("words", n_words).where("words >= 0")  # without the sum over all languages

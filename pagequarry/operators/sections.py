@@ -1,11 +1,11 @@
 """Sections of documents, and search within and across them."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
+from pagequarry.session import checkpointed
 
 ELISION = "[…]"
 
@@ -75,28 +75,27 @@ def bm25_term(tf: Column, df: Column, n: Column, length: Column, average: Column
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
-#: Rows of a side that is sent to every executor; beyond it the join shuffles.
-SENT_ROWS = 500_000
+#: Bytes of a side that is sent to every executor; beyond them the join shuffles.
+SENT_BYTES = 1 << 25
 
 
 def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+    """df, to be broadcast if its values are small enough in all."""
+    size = df.select(F.sum(F.octet_length(F.concat_ws(",", *(F.col(c).cast("string") for c in df.columns))) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= SENT_BYTES else df
 
 
-def _asked(queries: DataFrame, most: int | None = None) -> DataFrame:
-    """(query_id, term): different terms of each query; the first `most` as they come, if given."""
-    terms = F.array_distinct(T.tokenize(F.col("query")))
-    return queries.select("query_id", F.explode(terms if most is None else F.slice(terms, 1, most)).alias("term"))
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, term): different terms of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("term"))
 
 
-def bm25_sections(listed: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, most_terms: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """(id, section, query_id, score): sections scored against the sections of their own document; a root without blocks is no section.
-
-    Every document is asked every query, or with `pairs` (id, query_id) those only.
+def bm25_sections(listed: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(id, section, query_id, score): sections scored against the sections of their own document, for every query; a root without blocks is no section.
 
     Only the queries' terms are kept before anything is grouped; document lengths need no explode.
     """
-    asked = _asked(queries, most_terms)
+    asked = _asked(queries)
     terms = _sent(asked.select("term").distinct())
     sized = listed.select("id", "section", T.tokenize(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
     of_doc = W.partitionBy("id")
@@ -104,35 +103,35 @@ def bm25_sections(listed: DataFrame, queries: DataFrame, k1: float = 1.5, b: flo
     tf = sized.select("id", "section", "length", "n", "average", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "section", "length", "n", "average", "term").agg(F.count("*").alias("tf"))
     tf = tf.withColumn("df", F.count("*").over(W.partitionBy("id", "term")))
     scored = tf.withColumn("w", bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b))
-    asking = scored.join(_sent(asked), "term") if pairs is None else scored.join(pairs.join(_sent(asked), "query_id"), ["id", "term"])
-    return _weights(asking, ["id", "section", "query_id"])
+    return _weights(scored.join(_sent(asked), "term"), ["id", "section", "query_id"])
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score): every document that has a term of a query, scored over the whole table."""
-    asked = _asked(queries)
+def impacts(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, k1: float, b: float) -> DataFrame:
+    """(term, id, w): what each term of the queries adds to the score of each document that holds it: an index that all queries share."""
     terms = _sent(asked.select("term").distinct())
     sized = docs.select(F.col(id_col).alias("id"), T.tokenize(F.col(text_col)).alias("tokens"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average"))
-    held = sized.select("id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term")).join(terms, "term", "left_semi")
-    tf = held.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    held = sized.select("id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
+    # documents without a term stay as a row of their own, for the average; a document's rows lie together, so it shuffles no more than its different terms
+    tf = held.join(terms.withColumn("asked", F.lit(True)), "term", "left").groupBy("id", "length", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+    tf = checkpointed(tf)
+    totals = tf.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg(F.greatest("length", F.lit(0))).alias("average"))
+    tf = tf.where("term is not null")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(df, "term").join(F.broadcast(totals), F.lit(True))
-    scored = scored.withColumn("w", bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b))
-    return _weights(scored.join(_sent(asked), "term"), ["query_id", "id"])
+    return scored.select("term", "id", bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b).alias("w"))
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, id, score): the k best documents for each query over the whole table; ties to the smaller id."""
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    best = bm25_scores(docs, queries, id_col, text_col, k1, b).withColumn("rank", F.row_number().over(order))
-    return best.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
+    """(query_id, rank, id, score): the k best documents for each query over the whole table; ties to the smaller id.
 
-def best_query(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, query_id): the query that each document answers best; ties to the smaller query id, documents without any query's term go."""
-    first = F.min(F.struct((-F.round("score", 9)).alias("least"), "query_id")).alias("first")
-    return bm25_scores(docs, queries, id_col, text_col).groupBy("id").agg(first).select("id", "first.query_id")
+    The index is dealt out by document, and each document's scores for all queries are added up where it lies: what shuffles is the index, which has a row
+    for each different term of a document however many queries ask for it, and each part's best k for a query, never a row for each document and query.
+    """
+    asked = _asked(queries)
+    index = impacts(docs, asked, id_col, text_col, k1, b).repartition("id")
+    scored = _weights(index.join(_sent(asked), "term"), ["id", "query_id"])
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def query_coverage(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,117 +154,3 @@ def assemble_regions(selected: DataFrame, keys: list[str], marker: str = ELISION
     joined = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["text"])
     regions = islands.groupBy(*keys, "island").agg(F.array_join(joined(F.struct("idx", "text")), "\n\n").alias("text"))
     return regions.groupBy(*keys).agg(F.count("*").alias("regions"), F.array_join(joined(F.struct("island", "text")), f"\n\n{marker}\n\n").alias("markdown"))
-
-
-def _tokens(text: str) -> int:
-    return -(-len(text) // 4)
-
-
-def _grow(pick: list[dict], scores: list[float], budget: int, start: int, spent: int, taken: set[int]) -> int:
-    """Takes blocks right and left of a start in turn while they fit; returns what is spent."""
-    taken.add(start)
-    spent += _tokens(pick[start]["text"])
-    right, left = start + 1, start - 1
-    while right < len(pick) or left >= 0:
-        moved = False
-        if right < len(pick) and right not in taken and spent + _tokens(pick[right]["text"]) <= budget:
-            taken.add(right)
-            spent += _tokens(pick[right]["text"])
-            right += 1
-            moved = True
-        if left >= 0 and left not in taken and spent + _tokens(pick[left]["text"]) <= budget:
-            taken.add(left)
-            spent += _tokens(pick[left]["text"])
-            left -= 1
-            moved = True
-        if not moved:
-            break
-    return spent
-
-
-def choose(blocks: list[dict], scores: dict[int, float], block_scores: list[float], budget: int) -> tuple[set[int], int]:
-    """The blocks to keep: sections by score while they fit (the first that does not fit ends it), or, where there are no sections to speak of or the best is too large, windows around the best blocks."""
-    taken: set[int] = set()
-    headings = sum(b["type"] == "heading" for b in blocks)
-    by_section: dict[int, list[int]] = {}
-    for k, b in enumerate(blocks):
-        by_section.setdefault(b["section"], []).append(k)
-    size = {s: sum(_tokens(blocks[k]["text"]) for k in ks) for s, ks in by_section.items()}
-    best = max(scores.values(), default=0.0)
-    ranked = sorted((s for s, v in scores.items() if v > 0 and v >= 0.1 * best), key=lambda s: (-scores[s], s))
-    if headings >= 2 and ranked and size[ranked[0]] <= budget:
-        spent, count = 0, 0
-        for s in ranked:
-            if count and spent + size[s] > budget:
-                break
-            taken.update(by_section[s])
-            spent, count = spent + size[s], count + 1
-            if size[s] < 40:
-                for child in sorted({b["section"] for b in blocks if b["parent"] == s}):
-                    if spent + size[child] > budget:
-                        break
-                    taken.update(by_section[child])
-                    spent += size[child]
-        return taken, count
-    pool = [k for k in range(len(blocks)) if not ranked or headings < 2 or k in set(by_section[ranked[0]])]
-    top = max((block_scores[k] for k in pool), default=0.0)
-    order = sorted((k for k in pool if block_scores[k] > 0 and block_scores[k] >= 0.1 * top), key=lambda k: (-block_scores[k], k))
-    if not order:
-        return taken, 0
-    spent = _grow(blocks, block_scores, budget, order[0], 0, taken)
-    for k in order[1:]:
-        if k not in taken and spent + _tokens(blocks[k]["text"]) <= budget:
-            taken.add(k)
-            spent += _tokens(blocks[k]["text"])
-    return taken, 1
-
-
-#: Terms of a query that an extract looks at.
-TERMS = 64
-EXTRACT = "id bigint, query_id bigint, markdown string, extracted boolean, confidence string, sections_selected bigint, original_tokens bigint, returned_tokens bigint"
-
-
-def query_extract(tree: DataFrame, queries: DataFrame, max_tokens: int = 600, marker: str = ELISION, pairs: DataFrame | None = None) -> DataFrame:
-    """(id, query_id, markdown, extracted, confidence, sections_selected, original_tokens, returned_tokens): the part of each document that answers each query, or with `pairs` (id, query_id) the queries paired with it, within a budget.
-
-    tree: rows of section_tree with column doc_chars (length of the whole document). Small documents come back whole. Scores are
-    SQL; the greedy choice is one small fold for each (document, query).
-    """
-    budget = max(64, min(20_000, max_tokens))
-    small = F.ceil(F.col("doc_chars") / 4) <= max(800, int(1.25 * budget))
-    units = tree.where(~small)
-    listed = sections(units)
-    section_scores = bm25_sections(listed, queries, most_terms=TERMS, pairs=pairs).withColumnRenamed("score", "section_score")
-    by_block = bm25_sections(units.select("id", F.col("idx").alias("section"), "text"), queries, most_terms=TERMS, pairs=pairs).select("id", F.col("section").alias("idx"), "query_id", F.col("score").alias("block_score"))
-    asked = _sent(queries.select("query_id", F.slice(F.array_distinct(T.tokenize(F.col("query"))), 1, TERMS).alias("terms")))
-    crossed = (units.join(asked, F.lit(True)) if pairs is None else units.join(pairs, "id").join(asked, "query_id")).withColumn("covered", T.term_coverage(F.col("terms"), T.tokenize(F.col("text"))))
-    rows = crossed.join(section_scores, ["id", "section", "query_id"], "left").join(by_block, ["id", "idx", "query_id"], "left").fillna(0.0, ["section_score", "block_score"])
-    rows = rows.select("id", "query_id", "idx", "section", "parent", "type", "text", "section_score", "block_score", "covered", "doc_chars")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        blocks = group[["idx", "section", "parent", "type", "text"]].to_dict("records")
-        scores = dict(group.groupby("section")["section_score"].max())
-        taken, count = choose(blocks, scores, group["block_score"].tolist(), budget)
-        whole = -(-int(group["doc_chars"].iloc[0]) // 4)
-        if taken:
-            parts, last = [], None
-            for k in sorted(taken):
-                if last is not None:
-                    parts.append("\n\n" if k == last + 1 else f"\n\n{marker}\n\n")
-                parts.append(blocks[k]["text"])
-                last = k
-            text = "".join(parts)
-            confidence = "high" if group["covered"].to_numpy()[sorted(taken)].max() >= 0.5 else "medium"
-        else:
-            text, confidence = "\n\n".join(b["text"] for b in blocks), "low"
-        row = (group["id"].iloc[0], group["query_id"].iloc[0], text, bool(taken), confidence, count, whole, _tokens(text))
-        return pd.DataFrame([row], columns=[c.split()[0] for c in EXTRACT.split(", ")])
-
-    found = rows.groupBy("id", "query_id").applyInPandas(fold, EXTRACT)
-    whole = tree.where(small).groupBy("id", "doc_chars").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n").alias("markdown"))
-    tokens = F.ceil(F.col("doc_chars") / 4)
-    asking = whole.join(_sent(queries.select("query_id")), F.lit(True)) if pairs is None else whole.join(pairs, "id")
-    kept = asking.select("id", F.col("query_id").cast("long"), "markdown", F.lit(False).alias("extracted"), F.lit(None).cast("string").alias("confidence"), F.lit(0).cast("long").alias("sections_selected"), tokens.alias("original_tokens"), tokens.alias("returned_tokens"))
-    return found.unionByName(kept)
-

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from pagequarry.operators import extracts as E
 from pagequarry.operators import markdown_blocks as M
 from pagequarry.operators import sections as S
 from pagequarry.operators import stats, threads, timed
 from pagequarry.plans.registry import query, table
 from pagequarry.plans.views import MD, THREAD, cues, markdown, view
-from pagequarry.session import checkpointed
 
 LINES = f"""md AS ({MD}), b AS (SELECT doc_id AS id, unnest(range(len(ls))) AS idx, unnest(ls) AS text FROM (SELECT doc_id, string_split(markdown, chr(10)) AS ls FROM md)),
 t0 AS (SELECT *, CASE WHEN regexp_matches(text, '^#{{1,6}} ') THEN length(regexp_extract(text, '^(#+) ', 1)) ELSE 0 END AS lv FROM b),
@@ -77,18 +77,11 @@ def bm25_search(spark, sf_dir):
     return S.bm25_search(table(spark, sf_dir, "documents"), item_queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-def extract(spark, sf_dir):
-    """Every document, cut to what answers the benchmark text that fits it best."""
-    docs = markdown(spark, sf_dir)
-    tree = S.section_tree(M.markdown_blocks(docs, "doc_id", "markdown")).join(docs.select(F.col("doc_id").alias("id"), F.length("markdown").alias("doc_chars")), "id")
-    asked = item_queries(spark, sf_dir)
-    pairs = checkpointed(S.best_query(docs, asked, "doc_id", "markdown"))
-    return S.query_extract(tree, asked, pairs=pairs)
-
-
 @query("query_extract")
 def query_extract(spark, sf_dir):
-    return extract(spark, sf_dir)
+    """Every benchmark text asked of every document; the texts that come back as digests."""
+    found = E.query_extract(markdown(spark, sf_dir), item_queries(spark, sf_dir))
+    return found.withColumn("markdown", F.md5("markdown")).withColumnRenamed("markdown", "markdown_md5")
 
 
 @query("token_savings", f"WITH {LINES} SELECT id % 4 AS bucket, count(*) AS pages, CAST(sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) AS BIGINT) AS original, CAST(sum(CAST(ceil(length(heading) / 4.0) AS BIGINT)) AS BIGINT) AS returned, sum(CAST(ceil(length(heading) / 4.0) AS BIGINT)) / CAST(sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) AS DOUBLE) AS ratio FROM s WHERE heading IS NOT NULL GROUP BY 1")

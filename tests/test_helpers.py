@@ -80,16 +80,6 @@ def test_random_blocks_are_ordered():
         assert all(a[3] < b[2] for a, b in zip(blocks, blocks[1:])) and all(b[2] <= b[3] for b in blocks)
 
 
-def test_greedy_choice():
-    block = lambda s, kind, text, parent=0: {"idx": 0, "section": s, "parent": parent, "type": kind, "text": text}
-    blocks = [block(1, "heading", "# a"), block(1, "paragraph", "x" * 400), block(2, "heading", "# b"), block(2, "paragraph", "y" * 400), block(3, "heading", "# c"), block(3, "paragraph", "z" * 4000)]
-    taken, count = sections.choose(blocks, {1: 1.0, 2: 5.0, 3: 4.0}, [0.0] * 6, 300)
-    assert taken == {2, 3} and count == 1  # the second best does not fit, so the choice ends
-    taken, _ = sections.choose(blocks, {1: 1.0, 2: 5.0, 3: 0.4}, [0.0] * 6, 300)
-    assert taken == {0, 1, 2, 3}
-    assert sections.choose(blocks, {}, [0.0] * 6, 300) == (set(), 0)
-
-
 def test_limiter():
     allowed, wait, live = timed.verdicts([0, 1, 2, 10, 11, 12.5], 10, 2, [])
     assert allowed == [True, True, False, False, True, True] and wait[2] == 8 and live == [11, 12.5]
@@ -144,24 +134,3 @@ def test_subtitles_and_notebooks(spark):
     assert [(r["line"], r["start"]) for r in formats.parse_cues(df, "id", "t").collect()] == [("Hello", 1.0)]
     book = '{"metadata":{"kernelspec":{"language":"python"},"language_info":{"name":"R"}},"cells":[{"cell_type":"code","source":"x","outputs":[]}]}'
     assert formats.notebook_to_markdown(spark.createDataFrame([(1, book)], "id long, t string"), "id", "t").first()["markdown"] == "```R\nx\n```"
-
-
-def test_extract_of_pairs_is_the_extract_of_all_queries_cut_to_them(spark):
-    words = "alpha beta gamma delta epsilon zeta eta theta".split()
-    parts = [f"## {w}\n\n{(w + ' ' + words[(k + 1) % 8] + ' filler ') * 60}" for k, w in enumerate(words)]
-    docs = spark.createDataFrame([(1, "\n\n".join(parts)), (2, "\n\n".join(reversed(parts))), (3, "# small\n\nalpha"), (4, None)], "doc_id long, markdown string")
-    queries = spark.createDataFrame([(7, "gamma delta"), (8, "Theta"), (9, "alpha small"), (10, "nowhere"), (11, None)], "query_id long, query string")
-    tree = sections.section_tree(markdown_blocks.markdown_blocks(docs, "doc_id", "markdown"))
-    tree = tree.join(docs.selectExpr("doc_id AS id", "length(markdown) AS doc_chars"), "id")
-    every = {(r["id"], r["query_id"]): r for r in sections.query_extract(tree, queries, 200).collect()}
-    wanted = [(1, 7), (2, 8), (2, 10), (3, 9)]
-    pairs = spark.createDataFrame(wanted, "id long, query_id long")
-    some = {(r["id"], r["query_id"]): r for r in sections.query_extract(tree, queries, 200, pairs=pairs).collect()}
-    assert some == {k: every[k] for k in wanted} and some[1, 7]["extracted"] and not some[3, 9]["extracted"]
-
-
-def test_best_query_has_the_best_score_of_the_document(spark):
-    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "gamma"), (3, ""), (4, None), (5, "alpha gamma")], "doc_id long, text string")
-    queries = spark.createDataFrame([(2, "gamma"), (1, "gamma"), (3, "beta"), (4, "alpha")], "query_id long, query string")
-    best = {r["id"]: r["query_id"] for r in sections.best_query(docs, queries).collect()}
-    assert best == {1: 3, 2: 1, 5: 1}

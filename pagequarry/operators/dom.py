@@ -1,6 +1,7 @@
 """A small document tree for HTML, built and walked without recursion into Spark: plain functions of strings and nodes."""
 
 import re
+from collections.abc import Generator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -364,7 +365,27 @@ def _plain(text: str) -> str:
     return SPECIAL.sub(r"\\\1", re.sub(r"\s+", " ", text))
 
 
-def _inline(node: Node | str) -> str:
+def _unwound(work: Generator) -> object:
+    """Result of a generator that yields the generators it needs the results of; a list stands for the call stack, so depth doesn't matter."""
+    stack, value = [work], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def _inlines(nodes: list) -> Generator:
+    out = []
+    for node in nodes:
+        out.append((yield _inline(node)))
+    return "".join(out)
+
+
+def _inline(node: Node | str) -> Generator:
     if isinstance(node, str):
         return _plain(node)
     if node.tag in HIDDEN:
@@ -377,7 +398,7 @@ def _inline(node: Node | str) -> str:
     if node.tag in ("code", "kbd", "samp"):
         text = squeezed(node.text())
         return f"`{text}`" if text else ""
-    inner = "".join(map(_inline, node.children))
+    inner = yield _inlines(node.children)
     bare = inner.strip()
     if not bare:
         return inner
@@ -398,9 +419,16 @@ def _tidy(text: str) -> str:
     return OPENING.sub(lambda m: f"{m[1]}\\{m[2]}" if not m[2][0].isdigit() else f"{m[1]}{m[2]}\\", re.sub(r"[ \t]{2,}(?!\n)", " ", text).strip())
 
 
-def _table(node: Node) -> str:
-    rows = [[_tidy("".join(map(_inline, c.children))).replace("|", "\\|").replace("\n", " ") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in node.elements() if r.tag == "tr"]
-    rows = [r for r in rows if r]
+def _table(node: Node) -> Generator:
+    rows = []
+    for r in node.elements():
+        cells = []
+        for c in r.children if r.tag == "tr" else ():
+            if isinstance(c, Node) and c.tag in ("td", "th"):
+                text = yield _inlines(c.children)
+                cells.append(_tidy(text).replace("|", "\\|").replace("\n", " "))
+        if cells:
+            rows.append(cells)
     if not rows:
         return ""
     wide = max(map(len, rows))
@@ -409,11 +437,12 @@ def _table(node: Node) -> str:
     return "\n".join([line(rows[0]), "|" + " --- |" * wide, *map(line, rows[1:])])
 
 
-def _list(node: Node) -> str:
+def _list(node: Node) -> Generator:
     out = []
     for n, item in enumerate((c for c in node.children if isinstance(c, Node) and c.tag == "li"), 1):
         mark = f"{n}. " if node.tag == "ol" else "- "
-        body = "\n".join(blocks(item))
+        inner = yield _blocks(item)
+        body = "\n".join(inner)
         if body:
             out.append(mark + body.replace("\n", "\n" + " " * len(mark)))
     return "\n".join(out)
@@ -421,6 +450,10 @@ def _list(node: Node) -> str:
 
 def blocks(node: Node) -> list[str]:
     """Markdown blocks of what a node holds."""
+    return _unwound(_blocks(node))
+
+
+def _blocks(node: Node) -> Generator:
     out, run = [], []
 
     def close():
@@ -437,11 +470,12 @@ def blocks(node: Node) -> list[str]:
         if tag in HIDDEN:
             continue
         if not (tag in BLOCK or tag in ("body", "html", "td", "th", "tr", "tbody", "thead", "dt", "dd", "li", "figcaption", "summary") or any(n.tag in BLOCK for n in child.elements())):
-            run.append(_inline(child))
+            run.append((yield _inline(child)))
             continue
         close()
         if re.fullmatch("h[1-6]", tag):
-            text = _tidy("".join(map(_inline, child.children))).replace("\n", " ")
+            inner = yield _inlines(child.children)
+            text = _tidy(inner).replace("\n", " ")
             out += [f"{'#' * int(tag[1])} {text}"] * bool(text)
         elif tag == "pre":
             code = child.text(True).strip("\n")
@@ -449,16 +483,18 @@ def blocks(node: Node) -> list[str]:
             lang = next((c.removeprefix("language-") for n in child.elements() for c in n.classes if c.startswith("language-")), "")
             out.append(f"{mark}{lang}\n{code}\n{mark}")
         elif tag in ("ul", "ol", "menu"):
-            out += [x] if (x := _list(child)) else []
+            x = yield _list(child)
+            out += [x] if x else []
         elif tag == "blockquote":
-            inner = "\n\n".join(blocks(child))
+            inner = "\n\n".join((yield _blocks(child)))
             out += ["\n".join(f"> {x}".rstrip() for x in inner.split("\n"))] * bool(inner)
         elif tag == "table":
-            out += [x] if (x := _table(child)) else []
+            x = yield _table(child)
+            out += [x] if x else []
         elif tag == "hr":
             out.append("---")
         else:
-            out += blocks(child)
+            out += yield _blocks(child)
     close()
     return out
 

@@ -172,7 +172,9 @@ def article_series(rows: DataFrame, group: str, lead: str, text: str, order: str
 BODY_LEAST, COVERED, LARGER, PARAGRAPHS = 20_000, 0.1, 3, 5
 
 
-def _recover(html: str, url: str) -> str:
+def _recover(html: str, url: str) -> str | None:
+    if beyond(html):
+        return None
     root = dom.absolutify(dom.clean(dom.preclean(dom.parse(html))), url)
     return dom.to_markdown(dom.dominant(dom.body_of(root)))
 
@@ -180,7 +182,7 @@ def _recover(html: str, url: str) -> str:
 def coverage_guard(df: DataFrame) -> DataFrame:
     """df (url, html, markdown, body_len) with recovered_md and guard_reason where an extract covers too little of a large body.
 
-    Only the few suspect pages reach the helper.
+    Only the few suspect pages reach the helper; markup beyond the limits is not recovered.
     """
     suspect = (F.col("body_len") >= BODY_LEAST) & (T.empty(F.col("markdown")).eqNullSafe("") | (F.length("markdown") < COVERED * F.col("body_len")))
     found = F.when(suspect, _each("string", lambda h, u: _recover(h, u) if h is not None else None)(F.when(suspect, F.col("html")), F.col("url")))

@@ -25,18 +25,40 @@ def path_pattern(glob: Column) -> Column:
     return F.concat(F.lit("^"), starred, F.lit("$"))
 
 
+#: A host has so many labels at most that can be looked up: names have 253 characters.
+LABELS = 127
+#: Bytes of rules without a fixed label that are sent to every executor.
+SENT_BYTES = 1 << 25
+
+
+def _ends(host: Column) -> Column:
+    """A host and what is left of it after each dot."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+
+
 def match_recipes(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, names, preprocess, remove, content, extractor, fields): each page's matching rules merged in rule order.
 
-    Lists are joined, of scalars and of each field the last that is not null wins. The rules are a small table (their
-    number is checked), so the theta join sends them to every executor; only pages that match are shuffled.
+    Lists are joined, of scalars and of each field the last that is not null wins.
+
+    The rules are an index by what their host globs end in after the last star, cut to whole labels (`*.news.example.org` under `news.example.org`). A host meets the
+    rules under itself and under each of its ends by equal keys, so any number of rules will do, and patterns are only tried on these. Globs that end in a
+    star or within a label's middle have no key; they are sent to every executor while they are small, and else meet all hosts in a join of their own. Hosts are looked up once each, however many pages they have.
     """
-    if rules.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 rules: split them by host first")
-    ready = rules.select("*", F.transform("host", host_pattern).alias("hosts"), path_pattern(F.col("path")).alias("paths")).drop("host", "path")
-    at = pages.select("page_id", U.url_domain(F.col("url")).alias("__host"), F.when(U.url_path(F.col("url")) == "", "/").otherwise(U.url_path(F.col("url"))).alias("__path"))
-    hit = F.exists("hosts", lambda h: F.rlike(F.col("__host"), h)) & F.rlike(F.col("__path"), F.col("paths"))
-    found = at.join(F.broadcast(ready), hit)
+    globs = rules.select("rule_no", F.explode("host").alias("glob")).where("glob is not null").select("rule_no", F.lower("glob").alias("glob")).distinct()
+    after = F.regexp_extract("glob", r"([^*]*)$", 1)
+    key = F.when(~F.contains(F.col("glob"), F.lit("*")), F.col("glob")).otherwise(F.nullif(F.regexp_extract(after, r"^[^.]*\.(.*)$", 1), F.lit("")))
+    keyed = globs.select("rule_no", host_pattern(F.col("glob")).alias("pattern"), key.alias("key"))
+    at = pages.select("page_id", U.url_domain(F.col("url")).alias("host"), F.when(U.url_path(F.col("url")) == "", "/").otherwise(U.url_path(F.col("url"))).alias("at"))
+    hosts = at.where("host is not null").select("host").distinct()
+    by_end = hosts.select("host", F.explode(_ends(F.col("host"))).alias("key")).join(keyed.where("key is not null"), "key")
+    free = keyed.where("key is null").drop("key")
+    size = free.agg(F.sum(F.length("pattern") + 16)).first()[0] or 0
+    others = hosts.join(F.broadcast(free) if size <= SENT_BYTES else free, F.rlike(F.col("host"), F.col("pattern")))
+    on_host = by_end.where(F.rlike(F.col("host"), F.col("pattern"))).select("host", "rule_no").unionByName(others.select("host", "rule_no")).distinct()
+    ready = rules.select("*", path_pattern(F.col("path")).alias("paths")).drop("host", "path")
+    found = at.join(on_host.join(ready, "rule_no"), "host").where(F.rlike(F.col("at"), F.col("paths")))
     ordered = found.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("rule_no", "name", "preprocess", "remove", "content", "extractor", F.map_entries("fields").alias("fields")))).alias("r"))
     flat = lambda c: F.flatten(F.filter(F.col(f"r.{c}"), lambda x: x.isNotNull()))
     last = lambda entries: F.transform(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
@@ -121,10 +143,12 @@ def content_of(root: dom.Node, selectors: Sequence[str], least: int = 200) -> li
 
 
 def apply_recipes(pages: DataFrame, merged: DataFrame) -> DataFrame:
-    """(page_id, html): the pages that have a merged rule, after its actions and removals; of the content selectors the outermost matches if they suffice."""
-    from pagequarry.operators.pages import _each
+    """(page_id, html): the pages that have a merged rule, after its actions and removals; of the content selectors the outermost matches if they suffice. Null where there is no markup, or where it is beyond the limits."""
+    from pagequarry.operators.pages import _each, beyond
 
-    def run(html: str, rule: str) -> str:
+    def run(html: str | None, rule: str) -> str | None:
+        if html is None or beyond(html):
+            return None
         r, root = json.loads(rule), dom.parse(html)
         apply_actions(root, r.get("preprocess") or ())
         for s in r.get("remove") or ():

@@ -134,3 +134,38 @@ def test_subtitles_and_notebooks(spark):
     assert [(r["line"], r["start"]) for r in formats.parse_cues(df, "id", "t").collect()] == [("Hello", 1.0)]
     book = '{"metadata":{"kernelspec":{"language":"python"},"language_info":{"name":"R"}},"cells":[{"cell_type":"code","source":"x","outputs":[]}]}'
     assert formats.notebook_to_markdown(spark.createDataFrame([(1, book)], "id long, t string"), "id", "t").first()["markdown"] == "```R\nx\n```"
+
+
+DEEP = ["<div>" * 3000 + "x" * 24_000, "<b>" * 3000 + "y", "<ul><li>" * 1500 + "z", "<blockquote>" * 900 + "q", "<table><tr><td>" * 400 + "t", "<div>" * 450 + "<b>" * 50 + "w"]
+
+
+def test_depth_crashes_nothing(spark):
+    """The writer needs no call stack, and operators set markup beyond the limits aside."""
+    assert dom.to_markdown(dom.parse(DEEP[0])) == "x" * 24_000 and dom.to_markdown(dom.parse(DEEP[1])).count("y") == 1
+    assert dom.to_markdown(dom.parse(DEEP[2])).endswith("z") and dom.to_markdown(dom.parse(DEEP[3])).endswith("q") and "t" in dom.to_markdown(dom.parse(DEEP[4]))
+    df = spark.createDataFrame([(k, "https://a.org/x", h, "", 24_000) for k, h in enumerate([*DEEP, None])], "page_id long, url string, html string, markdown string, body_len long")
+    guarded = {r["page_id"]: r for r in pages.coverage_guard(df).collect()}
+    assert len(guarded) == 7 and guarded[0]["recovered_md"] is None
+    rules = spark.createDataFrame([(1, "all", ["*"], None, None, ["i"], ["td"], None, None)], recipes.RULE)
+    merged = recipes.match_recipes(df, rules)
+    applied = {r["page_id"]: r["html"] for r in recipes.apply_recipes(df, merged).collect()}
+    assert len(applied) == 7 and applied[0] is None and applied[6] is None and "w" in applied[5]
+    assert pages.convert_pages(df, merged).count() == 7
+
+
+def test_many_rules(spark):
+    """With 50 000 rules each page has exactly the rules whose globs fit its host and path."""
+    from fnmatch import fnmatchcase
+
+    rows = [(k, f"r{k}", [g], None, None, None, None, None, None) for k, g in enumerate([*(f"h{n}.example.org" for n in range(25_000)), *(f"*.h{n}.example.org" for n in range(25_000))])]
+    odd = ["*", "blog.*", "*.ORG", "*ample.org", "h3.*.org", "h[0].example.org", "*.h3.*", "org", "*.*", "h*.example.org", ""]
+    rows += [(len(rows) + k, f"o{k}", [g, None], "/**" if k % 2 else "/a/*", None, None, None, None, None) for k, g in enumerate(odd)]
+    urls = ["https://h3.example.org/a/b", "https://x.y.h3.example.org/", "https://H24999.example.org/a", "https://blog.net/a/c", "http://org/", "no url", None, "https://h0.example.org"]
+    got = recipes.match_recipes(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rows, recipes.RULE))
+    got = {r["page_id"]: r["names"] for r in got.collect()}
+    for k, url in enumerate(urls):
+        host, _, path = (url or "").lower().partition("://")[2].partition("/")
+        fits = lambda g: fnmatchcase(host, g.lower().replace("[", "[[]"))
+        on_path = lambda p: p != "/a/*" or (("/" + path).startswith("/a/") and path.count("/") == 1 and len(path) > 2)
+        want = [r[1] for r in rows if host and fits(r[2][0]) and on_path(r[3])]
+        assert got.get(k, []) == want, url

@@ -1,7 +1,9 @@
 """Scalar functions over Markdown and plain text, as column expressions."""
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,12 +73,55 @@ def strip_comments(md: Column) -> Column:
     return F.regexp_replace(md, r"(?s)^(.*)\n---\n+## Comments \([0-9]+ of [0-9]+\).*$", "$1")
 
 
+#: What a backslash escapes, and code, in which it doesn't.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CODE = r"(?s)(?<!\\)```.*?```|(?<!\\)`[^`\n]*`"
+#: Where escaped marks wait while others are taken off: code points of no character.
+PARKED = "".join(chr(0xE000 + ord(c)) for c in PUNCTUATION)
+LINE_ENDS = re.compile("([\n\r\u2028\u2029])")
+BLANKS = r"[\s\x{00A0}\x{FEFF}\x{2028}\x{2029}]"
+#: Marks that are taken off, in this order.
+MARKS = (rf"(?m)^#{{1,6}}{BLANKS}+", ""), *((rf"{m}([^\n\r\x{{2028}}\x{{2029}}]+?){m}", "$1") for m in (r"\*\*", r"\*", "__", "_", "~~"))
+LAST_MARKS = (rf"(?m)^>{BLANKS}?", ""), (rf"(?m)^[-*+]{BLANKS}+", "- "), (r"(?m)^---+$", "---"), (rf"\A{BLANKS}+|{BLANKS}+\z", "")
+
+
+def links_written_out(text: str | None) -> str | None:
+    """Images become their address, then links `text (address)`; a link ends on its line. Every search goes forward only."""
+    if text is None or "](" not in text:
+        return text
+    for opener in ("![", "["):
+        lines = LINE_ENDS.split(text)
+        for n, line in enumerate(lines):
+            out, at = [], 0
+            while (i := line.find(opener, at)) >= 0 and (j := line.find("](", i + 2)) >= 0 and (k := line.find(")", j + 3)) >= 0:
+                address = line[j + 2 : k]
+                out += [line[at:i], address if opener == "![" else f"{line[i + 1 : j]} ({address})"]
+                at = k + 1
+            lines[n] = "".join(out) + line[at:]
+        text = "".join(lines)
+    return text
+
+
+def _links_written_out(texts: pa.Array) -> pa.Array:
+    return pa.array([links_written_out(t) for t in texts.to_pylist()], pa.string())
+
+
 def strip_markdown(md: Column) -> Column:
-    """Plain text of Markdown without escapes: headings, quotes, emphasis and code marks go, images become their address, links `text (address)`."""
-    out = empty(md)
-    for pattern, by in ((r"(?m)^#{1,6} +", ""), (r"(?m)^> ?", ""), (r"!\[[^\]]*\]\(([^)\s]*)\)", "$1"), (r"\[([^\]]*)\]\(([^)\s]*)\)", "$1 ($2)"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"`([^`\n]+)`", "$1")):
+    """Plain text of Markdown: headings, emphasis and quotes go, list marks become hyphens, images their address, links `text (address)`; escaped marks stay as they are, and code keeps its marks and backslashes.
+
+    Escapes outside code are parked first: the text is cut into code, escapes and the rest, and what an escape holds is put out of the way.
+    """
+    text = empty(md)
+    escape = rf"\\[{re.escape(PUNCTUATION)}]"
+    cut = F.regexp_extract_all(text, F.lit(rf"{CODE}|{escape}|[^\\`]+|."), F.lit(0))
+    parked = F.transform(cut, lambda t: F.when((F.length(t) == 2) & t.startswith("\\"), F.translate(F.substring(t, 2, 1), PUNCTUATION, PARKED)).otherwise(t))
+    out = F.when(F.contains(text, F.lit("\\")), F.array_join(parked, "")).otherwise(text)
+    for pattern, by in MARKS:
+        out = F.regexp_replace(out, pattern, by)
+    out = F.when(F.contains(out, F.lit("](")), F.arrow_udf(_links_written_out, "string")(out)).otherwise(out)
+    for pattern, by in LAST_MARKS:
         out = F.regexp_replace(out, pattern, by)
-    return out
+    return F.translate(out, PARKED, PUNCTUATION)
 
 
 def fence(text: Column, lang: str = "") -> Column:
@@ -212,14 +257,15 @@ def compact_table_line(line: Column) -> Column:
 
 
 def compact_tables(md: Column) -> Column:
-    """compact_table_line for each line outside fences of one kind of mark."""
+    """compact_table_line for each line outside fences; a fence is closed by its own kind of mark only."""
     lines = F.split(empty(md), "\n")
-    start = F.struct(F.lit(False).alias("inside"), F.expr("cast(array() as array<string>)").alias("out"))
+    start = F.struct(F.lit("").alias("open"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(state: Column, line: Column) -> Column:
-        mark = line.rlike("^\\s*(```|~~~)")
-        new = F.when(state["inside"] | mark, line).otherwise(compact_table_line(line))
-        return F.struct((state["inside"] != mark).alias("inside"), F.concat(state["out"], F.array(new)).alias("out"))
+        mark = F.regexp_extract(line, "^\\s*(```|~~~)", 1)
+        new = F.when((state["open"] != "") | (mark != ""), line).otherwise(compact_table_line(line))
+        now = F.when(mark == "", state["open"]).when(state["open"] == "", mark).when(state["open"] == mark, "").otherwise(state["open"])
+        return F.struct(now.alias("open"), F.concat(state["out"], F.array(new)).alias("out"))
 
     return F.aggregate(lines, start, step, lambda s: F.array_join(s["out"], "\n"))
 

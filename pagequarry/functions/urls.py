@@ -71,13 +71,9 @@ def client_class(agent: Column, mode: Column) -> Column:
     return out.otherwise("api")
 
 
-#: Address blocks that a fetch must not reach.
-BLOCKED_V4 = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
-
-
-def ipv4_number(host: Column) -> Column:
-    """A literal address as a number; null for names."""
-    parts = F.split(F.when(host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), host), r"\.")
-    numbers = F.transform(parts, lambda x: x.cast("bigint"))
-    whole = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda n, x: n * 256 + x)
-    return F.when(F.exists(numbers, lambda x: x > 255), F.lit(None)).otherwise(whole)
+#: Networks that a fetch must not reach.
+BLOCKED_V4 = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4", "255.255.255.255/32")
+BLOCKED_V6 = ("::1/128", "::/128", "fc00::/7", "fe80::/10", "ff00::/8", "2001:db8::/32")
+#: Networks whose addresses go on with a short one (NAT64, translated, compatible, 6to4), and those that end in one (mapped, local NAT64).
+V4_INSIDE_V6 = ("64:ff9b::/96", "::ffff:0:0:0/96", "::/96", "2002::/16")
+V4_LAST_IN_V6 = ("::ffff:0:0/96", "64:ff9b:1::/48")

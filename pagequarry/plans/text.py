@@ -53,9 +53,23 @@ def strip_comments(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.strip_comments(md).alias("body"))
 
 
-@query("strip_markdown", rf"{WITH_MD} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(markdown, '(?m)^#{{1,6}} +', '', 'g'), '(?m)^> ?', '', 'g'), '!\[[^\]]*\]\(([^)\s]*)\)', '\1', 'g'), '\[([^\]]*)\]\(([^)\s]*)\)', '\1 (\2)', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*\n]+)\*', '\1', 'g'), '`([^`\n]+)`', '\1', 'g') AS plain FROM md")
+#: What is put behind each document, and what becomes of it.
+MARKED = r"""chr(10) || '+ item _em_ and __strong__ ~~gone~~ *it* **bo' || doc_id || '**' || chr(10) || '> said \*kept\* and \[this\](x) `c\#d` [a [b](http://x/' || doc_id || ') ![pic](p' || doc_id || '.png) [no](' || chr(10) || '-----' || chr(10) || '```' || chr(10) || 'a\_b' || chr(10) || '``` end  '"""
+PLAIN = r"""chr(10) || '- item em and strong gone it bo' || doc_id || chr(10) || 'said *kept* and [this](x) `c\#d` a [b (http://x/' || doc_id || ') p' || doc_id || '.png [no](' || chr(10) || '---' || chr(10) || '```' || chr(10) || 'a\_b' || chr(10) || '``` end'"""
+TAKEN_OFF = r"^#{1,6}\s+", r"\*\*(.+?)\*\*", r"\*(.+?)\*", "__(.+?)__", "_(.+?)_", "~~(.+?)~~", r"!\[[^\n]*?\]\(([^\n]+?)\)"
+
+
+def taken_off(sql: str) -> str:
+    """The marks of a document without escapes taken off, one after the other."""
+    for pattern in TAKEN_OFF:
+        sql = f"regexp_replace({sql}, '(?m){pattern}', '{'' if pattern.startswith('^') else chr(92) + '1'}', 'g')"
+    sql = f"regexp_replace({sql}, '\\[([^\\n]+?)\\]\\(([^\\n]+?)\\)', '\\1 (\\2)', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({sql}, '(?m)^>\\s?', '', 'g'), '(?m)^[-*+]\\s+', '- ', 'g'), '(?m)^---+$', '---', 'g'), '^\\s+', '')"
+
+
+@query("strip_markdown", f"{WITH_MD} SELECT doc_id, {taken_off('markdown')} || {PLAIN} AS plain FROM md")
 def strip_markdown(spark, sf_dir):
-    return markdown(spark, sf_dir).select("doc_id", T.strip_markdown(F.col("markdown")).alias("plain"))
+    return markdown(spark, sf_dir).selectExpr("doc_id", f"markdown || {MARKED.replace(chr(92), chr(92) * 2)} AS markdown").select("doc_id", T.strip_markdown(F.col("markdown")).alias("plain"))
 
 
 @query("fence", "SELECT doc_id, repeat('`', greatest(3, CAST(1 + doc_id % 5 + 1 AS BIGINT))) || 'txt' || chr(10) || repeat('`', CAST(1 + doc_id % 5 AS BIGINT)) || text || chr(10) || repeat('`', greatest(3, CAST(1 + doc_id % 5 + 1 AS BIGINT))) AS fenced FROM documents")
@@ -247,6 +261,26 @@ def filter_blocked_hosts(spark, sf_dir):
     return split(table(spark, sf_dir, "events").select("event_id", of_events(HOSTS).alias("host")), "host", allow=["192.168.1.1"])[0]
 
 
+def address_forms(hexed: str, quad: str) -> str:
+    """Addresses of both kinds and names, made from event ids; `hexed` writes a number below 65536 in hexadecimal."""
+    return f"CASE event_id % 6 WHEN 0 THEN {quad} WHEN 1 THEN '[fd' || event_id % 10 || '0::1]' WHEN 2 THEN '2001:4860::' || event_id % 10 WHEN 3 THEN '::ffff:' || {quad} WHEN 4 THEN '2002:' || {hexed} || ':101::1' ELSE 'h' || event_id || '.example.org' END"
+
+
+FIRST, SECOND = "(event_id * 7) % 256", "(event_id * 13) % 256"
+SQL_QUAD = f"({FIRST} || '.' || {SECOND} || '.1.1')"
+BLOCKED_PAIR = "(a IN (0, 10, 127) OR a >= 224 OR a = 100 AND b BETWEEN 64 AND 127 OR a = 169 AND b = 254 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 OR a = 198 AND b IN (18, 19))"
+
+
+@query("filter_blocked_addresses", f"""WITH e AS (SELECT event_id, {FIRST} AS a, {SECOND} AS b, {address_forms(f"lower(printf('%x', {FIRST} * 256 + {SECOND}))", SQL_QUAD)} AS host FROM events)
+SELECT event_id, host FROM e WHERE NOT CASE event_id % 6 WHEN 0 THEN {BLOCKED_PAIR} AND a <> 127 WHEN 1 THEN event_id % 10 <> 3 WHEN 3 THEN {BLOCKED_PAIR} AND a <> 127 WHEN 4 THEN {BLOCKED_PAIR} ELSE false END""")
+def filter_blocked_addresses(spark, sf_dir):
+    """Addresses of both kinds, some inside others, with networks allowed."""
+    from pagequarry.operators.hosts import filter_blocked_hosts as split
+
+    hosts = table(spark, sf_dir, "events").selectExpr("event_id", f"{address_forms(f'lower(hex({FIRST} * 256 + {SECOND}))', SQL_QUAD)} AS host")
+    return split(hosts, "host", allow=["127.0.0.0/8", "fd30::/16", "none/7", "h1.example.org"])[0]
+
+
 AGES = f"WITH log AS ({LOG})"
 
 

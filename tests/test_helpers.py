@@ -169,3 +169,56 @@ def test_many_rules(spark):
         on_path = lambda p: p != "/a/*" or (("/" + path).startswith("/a/") and path.count("/") == 1 and len(path) > 2)
         want = [r[1] for r in rows if host and fits(r[2][0]) and on_path(r[3])]
         assert got.get(k, []) == want, url
+
+
+def test_address_bits_against_the_standard_library(spark):
+    """Random addresses in every way of writing them, and strings that are none."""
+    import ipaddress
+
+    from pagequarry.operators import hosts
+
+    rng = random.Random(8)
+    forms = ["::", "::1", "1::", "[::1]", "fe80::1%eth0", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1::2::3", "1:2:3", ":1:2:3:4:5:6:7:8", "12345::", "g::", "1.2.3", "256.1.1.1", "a.b", "", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", None]
+    for _ in range(200):
+        six = ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([2**128 - 1, 2**64 - 1, (2**64 - 1) << 64, 2**32 - 1, 0xFFFF << 48]))
+        forms += [str(six), six.exploded.upper(), str(ipaddress.IPv4Address(rng.getrandbits(32)))]
+    got = spark.createDataFrame(list(enumerate(forms)), "k long, host string").select("k", hosts.address_bits(F.col("host")).alias("bits")).collect()
+    for k, bits in got:
+        try:
+            bare = ipaddress.ip_address((forms[k] or "").strip("[]").partition("%")[0])
+            want = format(int(bare), f"0{bare.max_prefixlen}b")
+        except ValueError:
+            want = None
+        assert bits == want, forms[k]
+
+
+def test_blocked_networks(spark):
+    from pagequarry.operators import hosts
+
+    bad = ["10.1.2.3", "::1", "::", "fd00:ec2::254", "fe80::1", "ff02::1", "2001:db8::1", "::ffff:127.0.0.1", "64:ff9b::10.0.0.1", "64:ff9b:1::10.0.0.1", "::127.0.0.1", "2002:7f00:1::", "::ffff:0:169.254.169.254", "255.255.255.255", "[::1]"]
+    good = ["8.8.8.8", "2606:4700::1111", "::ffff:8.8.8.8", "64:ff9b::8.8.8.8", "2002:808:808::", "example.org", "", None, "172.32.0.1"]
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(bad + good + bad)], "k long, host string")
+    kept, blocked = hosts.filter_blocked_hosts(df, "host")
+    assert sorted(r["k"] for r in blocked.collect()) == [k for k, h in enumerate(bad + good + bad) if h in bad] and kept.count() == len(good)
+    kept, _ = hosts.filter_blocked_hosts(df, "host", ["10.0.0.0/8", "fd00::/8", "::1", "FE80::1", "10.0.0.0/99", " example.org "])
+    assert {r["host"] for r in kept.collect()} == {*good, "10.1.2.3", "fd00:ec2::254", "::1", "[::1]", "fe80::1"}
+
+
+MARKDOWN = [
+    (r"\*a\* *b* \[x\](y) \\*c\\*", "*a* b [x](y) \\c\\"), ("`\\*` and ```\n\\_\n``` \\_", "`\\*` and ```\n\\_\n``` _"), ("_x_ __y__ ~~z~~ **b** snake_case", "x y z b snake_case"),
+    ("* one\n+ two\n- three\n> q\n-----\n# H", "- one\n- two\n- three\nq\n---\nH"), ("[a](b) ![c](d) ![](e) [f]() [](g)", "a (b) d e f () [](g)"), ("[a\n](b) [c](d\n)", "[a\n](b) [c](d\n)"),
+    ("[a [b](c)](d)", "a [b (c)](d)"), ("[![i](u)](v)", "[u](v)"), (None, ""), ("", ""), ("  \n x \n", "x"), ("#\n\nx", "x"), ("a ``` b", "a ``` b"),
+]
+
+
+def test_plain_text(spark):
+    rows = [(k, md) for k, (md, _) in enumerate(MARKDOWN)]
+    got = {r["k"]: r["t"] for r in spark.createDataFrame(rows, "k long, md string").select("k", T.strip_markdown(F.col("md")).alias("t")).collect()}
+    assert [got[k] for k in range(len(rows))] == [want.replace("[u](v)", "u (v)") for _, want in MARKDOWN]
+    hostile = "[a](" * 100_000 + "\n" + "![" * 100_000 + ")](x" * 50_000
+    assert T.links_written_out(hostile) is not None
+
+
+def test_fences_close_on_their_own_mark(spark):
+    md = "```\n| a  |\n~~~\n| b  |\n```\n| c  |\n~~~\n| d  |\n```\n| e  |"
+    assert spark.createDataFrame([(md,)], "md string").select(T.compact_tables(F.col("md"))).first()[0] == md.replace("| c  |", "| c |")

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pagequarry.plans.registry import query, table
-from pagequarry.plans.views import WRITES, view
+from pagequarry.plans.views import VERDICTS, WRITES, view
 from pagequarry.session import shared_folder
 from pagequarry.sources import formats as X
 from pagequarry.streaming import streams as G
@@ -102,7 +102,7 @@ def stream_sessions(spark, sf_dir):
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "stop": F.col("stop").cast("timestamp_ntz")})
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", VERDICTS.format(most=3, window="CAST(86400 AS DOUBLE)"))
 def stream_rate_limit(spark, sf_dir):
     stream = G.stream_rate_limit(events(spark, sf_dir), "user_id", "ts", 86400.0, 3, "event_id")
     return G.drained(stream, "limits", folder(spark))

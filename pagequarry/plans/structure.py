@@ -7,7 +7,7 @@ from pagequarry.operators import markdown_blocks as M
 from pagequarry.operators import sections as S
 from pagequarry.operators import stats, threads, timed
 from pagequarry.plans.registry import query, table
-from pagequarry.plans.views import MD, THREAD, cues, markdown, view
+from pagequarry.plans.views import MD, THREAD, VERDICTS, cues, markdown, view
 
 LINES = f"""md AS ({MD}), b AS (SELECT doc_id AS id, unnest(range(len(ls))) AS idx, unnest(ls) AS text FROM (SELECT doc_id, string_split(markdown, chr(10)) AS ls FROM md)),
 t0 AS (SELECT *, CASE WHEN regexp_matches(text, '^#{{1,6}} ') THEN length(regexp_extract(text, '^(#+) ', 1)) ELSE 0 END AS lv FROM b),
@@ -142,14 +142,6 @@ def chunk_transcript(spark, sf_dir):
     return timed.chunk_transcript(cues(spark, sf_dir), "key", "start", "line", 86400.0, "none", "event_id")
 
 
-#: A limiter's verdicts: walked event by event, with the accepted times that still count as a list.
-VERDICTS = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
-v AS (SELECT user_id, event_id, "at", k, true AS allowed, CAST(0 AS DOUBLE) AS retry_after, ["at"] AS live FROM o WHERE k = 1 UNION ALL
- SELECT user_id, event_id, "at", k, len(kept) < {most}, CASE WHEN len(kept) < {most} THEN 0 ELSE greatest(0, kept[1] + {window} - "at") END, CASE WHEN len(kept) < {most} THEN list_append(kept, "at") ELSE kept END
- FROM (SELECT o.user_id, o.event_id, o."at", o.k, list_filter(v.live, lambda t: t >= o."at" - {window}) AS kept FROM v JOIN o ON o.user_id = v.user_id AND o.k = v.k + 1))
-SELECT user_id, event_id, "at", allowed, retry_after FROM v"""
-
-
 @query("rate_limit", VERDICTS.format(most=3, window="CAST(86400 AS DOUBLE)"))
 def rate_limit(spark, sf_dir):
     return timed.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", 3600.0 * 24, 3, "event_id")

@@ -5,10 +5,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from pagequarry.plans.registry import query, table
-from pagequarry.plans.views import VERDICTS, WRITES, view
+from pagequarry.plans.views import FETCHES, VERDICTS, WRITES, view
 from pagequarry.session import shared_folder
 from pagequarry.sources import formats as X
 from pagequarry.streaming import streams as G
+from pagequarry.streaming import upserts as U
 
 
 @query("table_to_markdown", "SELECT l_orderkey, '| l_linenumber | l_quantity | l_returnflag |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || l_linenumber || ' | ' || CAST(l_quantity AS BIGINT) || ' | ' || l_returnflag || ' |', chr(10) ORDER BY l_linenumber, CAST(l_quantity AS BIGINT), l_returnflag) AS markdown FROM lineitem GROUP BY 1")
@@ -111,14 +112,23 @@ def stream_rate_limit(spark, sf_dir):
 FOLDED = f"w AS ({WRITES}) SELECT url, max(seq) AS seq, arg_min(share_id, seq) FILTER (share_id IS NOT NULL) AS share_id, arg_max(title, seq) AS title FROM w GROUP BY url"
 
 
+def upserted(spark, rows, fold):
+    """The table that a stream of the rows leaves, a day's files after another's."""
+    path, source = folder(spark), folder(spark)
+    rows.withColumn("day", F.to_date(rows.columns[-1])).write.partitionBy("day").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(f"{source}/day=*")
+    U.stream_upsert(stream, path, f"{path}-state", fold, fan=2).trigger(availableNow=True).start().awaitTermination()
+    return U.upserted(spark, path, fold)
+
+
 @query("stream_upsert", f"WITH {FOLDED}")
 def stream_upsert(spark, sf_dir):
-    path, source = folder(spark), folder(spark)
-    writes = view(spark, sf_dir, "writes")
-    writes.write.parquet(source)
-    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 64).parquet(source)
-    G.stream_upsert(stream, path, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return G.upserted(spark, path).select("url", "seq", "share_id", "title")
+    return upserted(spark, view(spark, sf_dir, "writes"), U.CONVERSIONS).select("url", "seq", "share_id", "title")
+
+
+@query("stream_upsert_fetches", f"WITH f AS ({FETCHES}) SELECT user_id, cache_id, max(fetched_at) AS fetched_at FROM f GROUP BY ALL")
+def stream_upsert_fetches(spark, sf_dir):
+    return upserted(spark, view(spark, sf_dir, "fetches").select("user_id", "cache_id", "fetched_at"), U.FETCHES)
 
 
 @query("stream_convert")

@@ -3,11 +3,11 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagequarry.operators import pages, store, timed
+from pagequarry.operators import pages, timed
 
 
 def stream_stats(log: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -23,44 +23,6 @@ def stream_sessions(df: DataFrame, key: str, ts: str, gap: str, late: str) -> Da
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events")
 
 
-#: Parts of an upserted table, by a hash of the url; a micro-batch rewrites those that it touches.
-PARTS = 64
-
-
-def stream_upsert(events: DataFrame, path: str, checkpoint: str, parts: int = PARTS):
-    """A writer that folds each micro-batch into the table under path; upserted() reads it.
-
-    A batch writes the parts that its urls fall into under its own number, each from the last version before it, so a repeated batch
-    gives the same and the others stay as they are. Versions that no reader needs may be deleted.
-    """
-
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int")
-        touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]
-        if not touched:
-            return
-        before = upserted(spark, path, number, touched) if number else None
-        folded = store.upsert_conversions(batch, before.select(batch.columns) if before is not None else None)
-        folded.withColumn("__part", part).repartition("__part").write.mode("overwrite").partitionBy("__part").parquet(f"{path}/batch={number}")
-
-    return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-
-
-def upserted(spark: SparkSession, path: str, before: int | None = None, parts: list[int] | None = None) -> DataFrame | None:
-    """The rows of an upserted table: the last version of each part (before a batch; of some parts), found from the folders' names. None where nothing is written."""
-    home = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = home.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/__part=*")) or []
-    last: dict[int, int] = {}
-    for x in found:
-        name = x.getPath()
-        part, batch = int(name.getName().partition("=")[2]), int(name.getParent().getName().partition("=")[2])
-        if (before is None or batch < before) and (parts is None or part in parts):
-            last[part] = max(last.get(part, -1), batch)
-    return spark.read.parquet(*(f"{path}/batch={b}/__part={p}" for p, b in sorted(last.items()))) if last else None
-
-
 def stream_rate_limit(df: DataFrame, key: str, ts: str, window: float, most: int, tie: str) -> DataFrame:
     """(key, tie, at, allowed, retry_after) with the accepted times of each key as state: `most` numbers at most, dropped once they are past the window in event time."""
     kinds = dict(df.dtypes)

@@ -3,6 +3,7 @@
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,47 +116,177 @@ def extract_links(df: DataFrame) -> DataFrame:
 LD = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
+def _members(v: Column) -> Column:
+    """A JSON list's elements; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def _step(v: Column, part: str | int) -> Column:
+    """An object's value for a key, or a list's for a number; null where there is none."""
+    if isinstance(part, int):
+        return F.try_variant_get(v, f"$[{part}]", "variant")
+    if re.fullmatch(r"[\w@ .:/-]+", part):
+        return F.try_variant_get(v, f"$['{part}']", "variant")
+    return F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(part))  # paths have no way to write quotes and question marks
+
+
+def jsonld_candidates(parsed: Column, brackets: Column) -> Column:
+    """All nodes of a JSON-LD value in order: lists are opened however deep, an object comes before the entries of its @graph.
+
+    brackets: a bound on how deep lists lie, such as the number of `[`; rounds after the last opened list do nothing.
+    """
+
+    def node(v: Column, new: Column) -> Column:
+        return F.struct(v.alias("v"), new.alias("new"))
+
+    def opened(x: Column) -> Column:
+        graph = F.coalesce(_members(_step(x["v"], "@graph")), F.array().cast("array<variant>"))
+        inside = F.transform(F.coalesce(_members(x["v"]), graph), lambda v: node(v, F.lit(True)))
+        own = F.when(_is_object(x["v"]), F.array(node(x["v"], F.lit(False)))).otherwise(F.array().cast("array<struct<v:variant,new:boolean>>"))
+        return F.when(x["new"], F.concat(own, inside)).otherwise(F.array(x))
+
+    def step(s: Column, _: Column) -> Column:
+        more = F.exists(s["nodes"], lambda x: x["new"])
+        return F.when(s["more"], F.struct(more.alias("more"), F.flatten(F.transform(s["nodes"], opened)).alias("nodes"))).otherwise(s)
+
+    begin = F.struct(F.lit(True).alias("more"), F.array(node(parsed, F.lit(True))).alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(0), 2 * brackets + 2), begin, step, lambda s: F.transform(s["nodes"], lambda x: x["v"]))
+
+
 def jsonld_nodes(df: DataFrame) -> DataFrame:
-    """(page_id, pos, type, node): JSON-LD nodes in order; lists and @graph lists are opened, what doesn't parse is left out."""
+    """(page_id, pos, type, types, node): the JSON-LD nodes of a page in order; what doesn't parse (a key twice in one object included) is left out. type is the first of the types."""
     scripts = df.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LD), F.lit(1))).alias("script", "json"))
-    parsed = scripts.select("page_id", "script", F.try_parse_json(F.trim("json")).alias("v")).where(F.col("v").isNotNull())
-    listed = F.coalesce(F.try_variant_get("v", "$['@graph']", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
-    nodes = parsed.select("page_id", "script", F.posexplode(listed).alias("at", "node"))
+    parsed = scripts.select("page_id", "script", F.try_parse_json(F.trim("json")).alias("v"), (F.length("json") - F.length(F.replace("json", F.lit("[")))).alias("brackets"))
+    nodes = parsed.where(F.col("v").isNotNull()).select("page_id", "script", F.posexplode(jsonld_candidates(F.col("v"), F.col("brackets"))).alias("at", "node"))
     order = W.partitionBy("page_id").orderBy("script", "at")
-    kind = F.coalesce(F.try_variant_get("node", "$['@type'][0]", "string"), F.try_variant_get("node", "$['@type']", "string"))
-    return nodes.select("page_id", (F.row_number().over(order) - 1).alias("pos"), kind.alias("type"), F.to_json("node").alias("node"))
+    kind = _step(F.col("node"), "@type")
+    types = F.coalesce(F.transform(_members(kind), lambda v: F.try_variant_get(v, "$", "string")), F.when(kind.isNotNull(), F.array(F.try_variant_get(kind, "$", "string"))))
+    return nodes.select("page_id", (F.row_number().over(order) - 1).alias("pos"), types.getItem(0).alias("type"), types.alias("types"), F.to_json("node").alias("node"))
+
+
+def jsonld_path(node: Column, path: str) -> Column:
+    """The primitive at a dotted path as a string: a list on the way, or at its end, gives its first element, once."""
+
+    def first(v: Column) -> Column:
+        return F.coalesce(_step(v, 0), v)
+
+    at = node
+    for part in path.split("."):
+        at = _step(first(at), part)
+    at = first(at)
+    return F.when(~_is_object(at) & _members(at).isNull(), F.try_variant_get(at, "$", "string"))
 
 
 def jsonld_field(nodes: DataFrame, kind: str, path: str) -> DataFrame:
-    """(page_id, value): a dotted path in each page's first node of a type; lists give their first element, only primitives count."""
-
-    def value(node: str) -> str | None:
-        at = json.loads(node)
-        for part in path.split("."):
-            while isinstance(at, list):
-                at = at[0] if at else None
-            at = at.get(part) if isinstance(at, dict) else None
-        while isinstance(at, list):
-            at = at[0] if at else None
-        return None if at is None or isinstance(at, dict) else at if isinstance(at, str) else json.dumps(at)
-
-    firsts = nodes.where(F.col("type") == kind).groupBy("page_id").agg(F.min_by("node", "pos").alias("node"))
-    return firsts.select("page_id", _each("string", value)(F.col("node")).alias("value"))
-
-
-def append_blocks(df: DataFrame, script_id: str, path: str, fields: list[str], heading: str, rows: int = 50, block_bytes: int = 65_536) -> DataFrame:
-    """(page_id, markdown, truncated): a list inside a JSON script as Markdown lines, cut by rows and by a running sum of bytes."""
-    script = rf"""(?is)<script[^>]*id=["']{script_id}["'][^>]*>(.*?)</script>"""
-    data = df.select("page_id", F.try_parse_json(F.regexp_extract("html", script, 1)).alias("v")).where(F.col("v").isNotNull())
-    listed = data.select("page_id", F.posexplode(F.try_variant_get("v", path, "array<variant>")).alias("pos", "x"))
-    cells = [F.concat(F.lit(f"{f}: "), F.try_variant_get("x", f"$['{f}']", "string")) for f in fields]
-    lines = listed.select("page_id", "pos", F.concat(F.lit("- "), F.concat_ws("; ", *cells)).alias("line"))
-    so_far = F.sum(F.octet_length("line") + 1).over(W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    marked = lines.withColumn("fits", (F.col("pos") < rows) & (so_far <= block_bytes))
-    kept = F.sort_array(F.collect_list(F.when(F.col("fits"), F.struct("pos", "line"))))
-    grouped = marked.groupBy("page_id").agg(kept.alias("kept"), F.count_if(~F.col("fits")).alias("left_out"))
-    body = F.concat(F.lit(f"## {heading}\n\n"), F.array_join("kept.line", "\n"), F.when(F.col("left_out") > 0, F.concat(F.lit("\n\n*"), F.col("left_out").cast("string"), F.lit(" more*"))).otherwise(""))
-    return grouped.select("page_id", body.alias("markdown"), (F.col("left_out") > 0).alias("truncated"))
+    """(page_id, value): a dotted path in each page's first node that has a type among its own; null where it leads to no primitive."""
+    firsts = nodes.where(F.array_contains("types", kind)).groupBy("page_id").agg(F.min_by("node", "pos").alias("node"))
+    return firsts.select("page_id", F.try_parse_json("node").alias("v")).select("page_id", jsonld_path(F.col("v"), path).alias("value"))
+
+
+@dataclass(frozen=True)
+class AppendBlock:
+    """A list or object inside a page's JSON script, shown at the end of its text.
+
+    script: `script`, `#id` and `[name="value"]` in any number, as in script#state[type="application/json"]. path and the paths of
+    fields: keys and list places, one by one. fields: names and where they lie in a row; None gives rows whole.
+    """
+
+    title: str
+    script: str
+    path: tuple[str | int, ...]
+    fields: dict[str, tuple[str | int, ...]] | None = None
+    limit: int = 200
+
+
+#: Fixed values of the output format: bytes of a block and of all blocks, the least bytes worth a block, and the words of notes.
+BLOCK_BYTES, DOCUMENT_BYTES, LEAST_BYTES = 64 * 1024, 128 * 1024, 1024
+CUT, SPENT, TOO_LARGE, ONE, MANY = "Gekürzt: {} von {} {} ausgegeben.", " (übersprungen, Budget erschöpft)", " (übersprungen, einzelner Datensatz zu groß)", "Zeile", "Zeilen"
+
+
+def _script_pattern(selector: str) -> str:
+    """The pattern of the first script that a simple selector picks; its text is the only group."""
+    if not re.fullmatch(r"""(script)?(#[\w-]+|\[[\w-]+=(["'])[^"'\]]*\3\])*""", selector) or not selector:
+        raise ValueError(f"not a simple script selector: {selector}")
+    wanted = [("id", x) for x in re.findall(r"#([\w-]+)(?![^\[]*\])", selector)] + re.findall(r"""\[([\w-]+)=["']([^"'\]]*)""", selector)
+    has = "".join(rf"""(?=[^>]*\s(?i:{re.escape(n)})=(?:["']{re.escape(v)}["']|{re.escape(v)}[\s>]))""" for n, v in wanted)
+    return rf"(?s)<(?i:script)\b{has}[^>]*>(.*?)</(?i:script)>"
+
+
+def _block_rows(script: Column, spec: AppendBlock) -> Column:
+    """The JSON text of each row of a block; null or empty where there is none."""
+    at = script
+    for part in spec.path:
+        at = _step(at, part)
+    listed = F.coalesce(_members(at), F.when(F.to_json(at) != "null", F.array(at)))
+    if spec.fields is None:
+        return F.transform(F.slice(listed, 1, spec.limit), lambda x: F.to_json(x))
+
+    def row(x: Column) -> Column:
+        cells = []
+        for name, path in spec.fields.items():
+            cell = x
+            for part in path:
+                cell = _step(cell, part)
+            cells.append(F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), F.to_json(cell)))
+        return F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
+
+    return F.transform(F.slice(F.filter(listed, _is_object), 1, spec.limit), row)
+
+
+def append_blocks(df: DataFrame, specs: list[AppendBlock]) -> DataFrame:
+    """(page_id, markdown, notes): the blocks of a page in the order of specs, a row of JSON each line, and what was shown, cut or left out.
+
+    Whole rows go from the end until a block has at most BLOCK_BYTES and all of a page's at most DOCUMENT_BYTES, headings and notes
+    included. Scripts that are missing or no JSON, and paths that lead nowhere, give nothing. Keys of rows without fields, and of
+    nested objects, come in the order of their bytes, as VARIANT keeps them. Nothing is shuffled: a page's scripts lie in its row.
+    """
+    scripts = {s: f"__script{i}" for i, s in enumerate(dict.fromkeys(x.script for x in specs))}
+    read = df.select("page_id", *(F.try_parse_json(F.nullif(F.trim(F.regexp_extract("html", _script_pattern(s), 1)), F.lit(""))).alias(c) for s, c in scripts.items()))
+    blocks = F.array(*(F.struct(F.lit(x.title).alias("title"), _block_rows(F.col(scripts[x.script]), x).alias("rows")) for x in specs)) if specs else F.array().cast("array<struct<title:string,rows:array<string>>>")
+    some = read.select("page_id", F.filter(blocks, lambda b: F.size(b["rows"]) > 0).alias("blocks"))
+
+    def noun(n: Column) -> Column:
+        return F.when(n == 1, ONE).otherwise(MANY)
+
+    def let(value: Column, function: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), function)[0]
+
+    def counted(kept: Column, total: Column) -> Column:
+        return F.when(kept < total, F.concat_ws(" ", kept.cast("string"), F.lit("von"), total.cast("string"), noun(total))).otherwise(F.concat_ws(" ", kept.cast("string"), noun(kept)))
+
+    def kept_rows(rows: Column, budget: Column) -> Column:
+        begin = F.struct(F.lit(2).cast("long").alias("bytes"), F.lit(0).alias("kept"))
+
+        def step(s: Column, line: Column) -> Column:
+            bytes_ = s["bytes"] + F.octet_length(line) + 2
+            return F.struct(bytes_.alias("bytes"), (s["kept"] + (bytes_ <= budget).cast("int")).alias("kept"))
+
+        return F.aggregate(rows, begin, step, lambda s: s["kept"])
+
+    def add(s: Column, b: Column) -> Column:
+        total = F.size(b["rows"])
+        opening = F.concat(F.lit("\n\n## "), b["title"], F.lit("\n\n```json\n"))
+        longest = F.format_string("\n\n" + CUT.format("%s", "%s", MANY), total, total)
+        budget = F.least(F.lit(BLOCK_BYTES).cast("long"), DOCUMENT_BYTES - s["spent"]) - F.octet_length(opening) - F.octet_length(longest) - F.octet_length(F.lit("\n```"))
+
+        def shown(kept: Column) -> Column:
+            note = F.when(kept < total, F.format_string("\n\n" + CUT.format("%s", "%s", "%s"), kept, total, noun(total))).otherwise("")
+            text = F.concat(opening, F.lit("[\n"), F.array_join(F.slice(b["rows"], F.lit(1), kept), ",\n"), F.lit("\n]\n```"), note)
+            return F.when(kept == 0, state(s["spent"], s["parts"], b, F.lit(TOO_LARGE))).otherwise(let(text, lambda t: state(s["spent"] + F.octet_length(t), F.array_append(s["parts"], t), b, F.concat(F.lit(" ("), counted(kept, total), F.lit(")")))))
+
+        def state(spent: Column, parts: Column, block: Column, note: Column) -> Column:
+            return F.struct(spent.cast("long").alias("spent"), parts.alias("parts"), F.array_append(s["notes"], F.concat(block["title"], note)).alias("notes"))
+
+        return let(budget, lambda left: F.when(left < LEAST_BYTES, state(s["spent"], s["parts"], b, F.lit(SPENT))).otherwise(let(kept_rows(b["rows"], left), shown)))
+
+    empty = F.array().cast("array<string>")
+    begin = F.struct(F.lit(0).cast("long").alias("spent"), empty.alias("parts"), empty.alias("notes"))
+    done = some.select("page_id", F.aggregate("blocks", begin, add).alias("d"))
+    return done.select("page_id", F.array_join("d.parts", "").alias("markdown"), F.col("d.notes").alias("notes"))
 
 
 def article_series(rows: DataFrame, group: str, lead: str, text: str, order: str) -> DataFrame:

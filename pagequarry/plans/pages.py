@@ -13,8 +13,8 @@ def raw(spark, sf_dir):
 
 
 #: The pages with what the given ones lack: JSON-LD and state scripts, built from their own columns.
-LD_SPARK = """concat(html, '<script type="application/ld+json">{"@graph":[{"@type":"WebPage","id":', page_id, '},{"@type":["Article","Thing"],"author":[{"name":"a', page_id % 7, '"}],"n":', page_id, '}]}</script><script type="application/ld+json">{"@type":"Offer","price":', page_id % 5, '}</script>',
- '<script id="state" type="application/json">{"rows":[{"k":"x', page_id, '","v":"1"},{"k":"y","v":"2"},{"k":"z","v":"', page_id % 3, '"}]}</script>') AS html"""
+LD_SPARK = """concat(html, '<script type="application/ld+json">{"@graph":[{"@type":"WebPage","id":', page_id, '},[{"@type":["Thing","Article"],"author":[{"name":["a', page_id % 7, '"]}],"n":', page_id, '}]]}</script><script type="application/ld+json">{"@type":"Offer","price":', page_id % 5, '}</script>',
+ '<script type="application/json" id="state">{"rows":', to_json(transform(sequence(1, page_id % 9 + 1), i -> named_struct('k', concat('x', page_id), 'v', named_struct('n', i), 'url', substring(url, 1, CASE WHEN page_id % 3 = 0 THEN 200 ELSE 10 END), 'pad', repeat('p', page_id % 5 * 4000)))), ',"a.b?c=1":{"title":"', page_id % 3, '"}}</script>') AS html"""
 
 
 def with_scripts(spark, sf_dir):
@@ -78,9 +78,13 @@ def article_series(spark, sf_dir):
     return P.article_series(table(spark, sf_dir, "conversations"), "conv_id", "role", "text", "turn")
 
 
-@query("jsonld_nodes", """SELECT page_id, CAST(p AS INTEGER) AS pos, ['WebPage', 'Article', 'Offer'][p + 1] AS type, CASE p WHEN 0 THEN '{"@type":"WebPage","id":' || page_id || '}' WHEN 1 THEN '{"@type":["Article","Thing"],"author":[{"name":"a' || (page_id % 7) || '"}],"n":' || page_id || '}' ELSE '{"@type":"Offer","price":' || (page_id % 5) || '}' END AS node FROM pages, range(3) r(p)""")
+GRAPH_SQL = """'{"@graph":[{"@type":"WebPage","id":' || page_id || '},[{"@type":["Thing","Article"],"author":[{"name":["a' || (page_id % 7) || '"]}],"n":' || page_id || '}]]}'"""
+
+
+@query("jsonld_nodes", f"""SELECT page_id, CAST(p AS INTEGER) AS pos, [NULL, 'WebPage', 'Thing', 'Offer'][p + 1] AS type, [NULL, 'WebPage', 'Thing,Article', 'Offer'][p + 1] AS types,
+CASE p WHEN 0 THEN {GRAPH_SQL} WHEN 1 THEN '{{"@type":"WebPage","id":' || page_id || '}}' WHEN 2 THEN '{{"@type":["Thing","Article"],"author":[{{"name":["a' || (page_id % 7) || '"]}}],"n":' || page_id || '}}' ELSE '{{"@type":"Offer","price":' || (page_id % 5) || '}}' END AS node FROM pages, range(4) r(p)""")
 def jsonld_nodes(spark, sf_dir):
-    return P.jsonld_nodes(with_scripts(spark, sf_dir))
+    return P.jsonld_nodes(with_scripts(spark, sf_dir)).withColumn("types", F.array_join("types", ",")).withColumn("types", F.when(F.col("type").isNotNull(), F.col("types")))
 
 
 @query("jsonld_field", "SELECT page_id, 'a' || (page_id % 7) AS value FROM pages")
@@ -88,9 +92,36 @@ def jsonld_field(spark, sf_dir):
     return P.jsonld_field(P.jsonld_nodes(with_scripts(spark, sf_dir)), "Article", "author.name")
 
 
-@query("append_blocks", "SELECT page_id, '## Data' || chr(10) || chr(10) || '- k: x' || page_id || '; v: 1' || chr(10) || '- k: y; v: 2' || chr(10) || chr(10) || '*1 more*' AS markdown, true AS truncated FROM pages")
+BLOCKS = [
+    P.AppendBlock("Rows", "script#state", ("rows",), {"name": ("k",), "no": ("v", "n"), "url": ("url",), "pad": ("pad",), "none": ("none",)}, limit=8),
+    P.AppendBlock("Missing", "#other", ("rows",)),
+    P.AppendBlock("First", '[type="application/json"]', ("rows", 0, "v")),
+    P.AppendBlock("Title", "#state", ("a.b?c=1",), {"title": ("title",)}),
+    P.AppendBlock("Again", "#state", ("rows",), {"pad": ("pad",)}, limit=1000),
+    P.AppendBlock("Third", "#state", ("rows",), {"pad": ("pad",), "no": ("v", "n")}, limit=1000),
+]
+
+#: Rows numbered within a block, their bytes summed up, and blocks taken one after another against what is left of a page's bytes.
+BLOCKS_SQL = r"""WITH RECURSIVE p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE substr(url, 1, 10) END AS u, repeat('p', CAST(page_id % 5 * 4000 AS INTEGER)) AS pad, CAST(page_id % 9 + 1 AS BIGINT) AS n FROM pages),
+rows AS (SELECT page_id, 1 AS b, 'Rows' AS title, i, '{"name":"x' || page_id || '","no":' || i || ',"url":"' || u || '","pad":"' || pad || '"}' AS line FROM p, range(1, 9) r(i) WHERE i <= n
+ UNION ALL SELECT page_id, 2, 'First', 1, '{"n":1}' FROM p UNION ALL SELECT page_id, 3, 'Title', 1, '{"title":"' || (page_id % 3) || '"}' FROM p
+ UNION ALL SELECT page_id, 4, 'Again', i, '{"pad":"' || pad || '"}' FROM p, range(1, 10) r(i) WHERE i <= n UNION ALL SELECT page_id, 5, 'Third', i, '{"pad":"' || pad || '","no":' || i || '}' FROM p, range(1, 10) r(i) WHERE i <= n),
+sums AS (SELECT *, 2 + sum(strlen(line) + 2) OVER (PARTITION BY page_id, b ORDER BY i) AS bytes FROM rows),
+total AS (SELECT page_id, b, title, count(*) AS n, list(line ORDER BY i) AS lines, list(CAST(bytes AS BIGINT) ORDER BY i) AS bytes FROM sums GROUP BY ALL),
+v AS (SELECT page_id, 0 AS b, CAST(0 AS BIGINT) AS spent, '' AS markdown, CAST([] AS VARCHAR[]) AS notes FROM p
+ UNION ALL SELECT page_id, b, spent + CASE WHEN body IS NULL THEN 0 ELSE strlen(body) END, markdown || coalesce(body, ''), list_append(notes, title || note) FROM (
+  SELECT *, CASE WHEN budget >= 1024 AND kept > 0 THEN head || '[' || chr(10) || array_to_string(lines[1:kept], ',' || chr(10)) || chr(10) || ']' || chr(10) || '```' || CASE WHEN kept < n THEN chr(10) || chr(10) || 'Gekürzt: ' || kept || ' von ' || n || noun || ' ausgegeben.' ELSE '' END END AS body,
+   CASE WHEN budget < 1024 THEN ' (übersprungen, Budget erschöpft)' WHEN kept = 0 THEN ' (übersprungen, einzelner Datensatz zu groß)' WHEN kept < n THEN ' (' || kept || ' von ' || n || noun || ')' ELSE ' (' || n || noun || ')' END AS note
+  FROM (SELECT *, len(list_filter(bytes, lambda x: x <= budget)) AS kept FROM (
+   SELECT t.*, v.spent, v.markdown, v.notes, CASE WHEN t.n = 1 THEN ' Zeile' ELSE ' Zeilen' END AS noun, chr(10) || chr(10) || '## ' || t.title || chr(10) || chr(10) || '```json' || chr(10) AS head,
+    least(65536, 131072 - v.spent) - strlen(t.title) - 14 - 4 - strlen(chr(10) || chr(10) || 'Gekürzt: ' || t.n || ' von ' || t.n || ' Zeilen ausgegeben.') AS budget
+   FROM v JOIN total t ON t.page_id = v.page_id AND t.b = v.b + 1))))
+SELECT page_id, markdown, array_to_string(notes, '; ') AS notes FROM v WHERE b = 5"""
+
+
+@query("append_blocks", BLOCKS_SQL)
 def append_blocks(spark, sf_dir):
-    return P.append_blocks(with_scripts(spark, sf_dir), "state", "$.rows", ["k", "v"], "Data", rows=2)
+    return P.append_blocks(with_scripts(spark, sf_dir), BLOCKS).withColumn("notes", F.array_join("notes", "; "))
 
 
 RULES = [

@@ -79,6 +79,53 @@ def prune_retention(df: DataFrame, ts: str, days: int, as_of: Column) -> tuple[D
     return df.where(~F.coalesce(old, F.lit(False))), df.where(old)
 
 
+#: Hosts whose images count, and endings of addresses that name one image.
+IMAGE_HOSTS = ("i.redd.it", "preview.redd.it")
+ENDING, ANY_ENDING = r"(?i)\.(jpg|jpeg|png|webp)$", r"(?i)\.(jpg|jpeg|png|gif|webp)$"
+POST = "struct<is_video:boolean,media:struct<reddit_video:struct<fallback_url:string>>,gallery_data:struct<items:array<struct<media_id:string>>>,media_metadata:map<string,struct<e:string,s:struct<u:string>>>,post_hint:string,url:string,is_self:boolean,selftext:string>"
+
+
+def post_images(posts: DataFrame, key: str, post: str, hosts: tuple[str, ...] = IMAGE_HOSTS) -> DataFrame:
+    """(page_key, pos, url, key, kind): the images of each post (a column of its JSON) in order, those of listed hosts only.
+
+    A gallery's in the gallery's order, each once; else the one that the post's address names, without its ending; else, for a post
+    of text, those that the text names, by where it first does. None for videos, and for posts that don't parse.
+    """
+    none = F.array().cast("array<struct<url:string,key:string,kind:string>>")
+    p = F.col("p")
+
+    def allowed(url: Column) -> Column:
+        host = F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+        return F.coalesce(host.isin(*hosts), F.lit(False))
+
+    def image(name: Column, kind: str) -> Column:
+        return F.struct(F.replace(F.element_at(p["media_metadata"], name)["s"]["u"], F.lit("&amp;"), F.lit("&")).alias("url"), name.alias("key"), F.lit(kind).alias("kind"))
+
+    def usable(name: Column) -> Column:
+        found = F.element_at(p["media_metadata"], name)
+        return (found["e"] == "Image") & (found["s"]["u"] != "")
+
+    def pictures(names: Column, kind: str) -> Column:
+        return F.filter(F.transform(F.filter(names, usable), lambda n: image(n, kind)), lambda i: allowed(i["url"]))
+
+    named = F.filter(p["gallery_data"]["items"]["media_id"], lambda n: n.isNotNull())
+    gallery = pictures(F.array_distinct(named), "gallery")
+    path = F.regexp_extract(p["url"], r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    own = F.regexp_replace(F.element_at(F.split(path, "/"), -1), ENDING, "")
+    single = F.when(allowed(p["url"]) & F.rlike(path, F.lit(ENDING)) & (own != ""), F.array(F.struct(p["url"].alias("url"), own.alias("key"), F.lit("single").alias("kind"))))
+    places = F.transform(F.map_keys(p["media_metadata"]), lambda n, i: F.struct(F.instr(p["selftext"], n).alias("at"), i.alias("i"), n.alias("n")))
+    inline = pictures(F.transform(F.array_sort(F.filter(places, lambda x: x["at"] > 0)), lambda x: x["n"]), "inline")
+    is_single = (p["post_hint"] == "image") | F.rlike(p["url"], F.lit(ANY_ENDING))
+    chosen = (
+        F.when(p["is_video"] & (p["media"]["reddit_video"]["fallback_url"] != ""), none)
+        .when(p["gallery_data"].isNotNull() & p["media_metadata"].isNotNull(), gallery)
+        .when(is_single, single)
+        .when(p["is_self"] & p["media_metadata"].isNotNull() & p["gallery_data"].isNull() & (p["selftext"] != ""), inline)
+    )
+    read = posts.select(F.col(key).alias("page_key"), F.from_json(post, POST).alias("p"))
+    return read.select("page_key", F.posexplode(F.coalesce(chosen, none)).alias("pos", "i")).select("page_key", "pos", "i.*")
+
+
 def join_transcripts(images: DataFrame, transcripts: DataFrame, as_of: Column, retention_days: int, max_images: int) -> DataFrame:
     """(page_key, images, resolved, incomplete): a page's different images, those with a stored transcript that is not too old, and whether some that are due are missing."""
     usable = transcripts.where(F.col("created_at") > as_of - F.expr(f"INTERVAL {retention_days} DAYS")).select("key", F.lit(1).alias("found"))

@@ -20,30 +20,71 @@ def gap_paragraphs(df: DataFrame, key: str, start: str, stop: str, line: str, ga
 
 
 def timecode(seconds: Column) -> Column:
+    """h:mm:ss, or mm:ss below an hour."""
     whole = F.floor(seconds).cast("long")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     minutes = F.floor(whole / 60)
-    return F.when(whole >= 3600, F.concat_ws(":", F.floor(whole / 3600).cast("string"), two(minutes % 60), two(whole % 60))).otherwise(F.concat_ws(":", minutes.cast("string"), two(whole % 60)))
+    return F.when(whole >= 3600, F.concat_ws(":", F.floor(whole / 3600).cast("string"), two(minutes % 60), two(whole % 60))).otherwise(F.concat_ws(":", two(minutes), two(whole % 60)))
 
 
-def chunk_transcript(df: DataFrame, key: str, start: str, text: str, chunk: float, style: str = "plain", tie: str | None = None) -> DataFrame:
-    """(key, chunks, markdown): snippets in time order; a block is closed when a snippet starts `chunk` or more after the block's first one. style: plain, links (to the second) or none.
+def transcript_blocks(df: DataFrame, key: str, start: str, text: str, chunk: float, tie: str | None = None) -> DataFrame:
+    """(key, block, at, text): snippets in time order; a block ends before the first snippet that starts `chunk` or more after the block's first one. chunk 0 or less: each snippet is a block.
 
-    The cut depends on earlier cuts, so it is a fold over each key's sorted snippets.
+    Where a block ends depends on where the one before did, so a key's snippets pass one task in order; it holds an Arrow batch and
+    the open block, however many snippets a key has. Rows without a start are left out; a null text is an empty one. Runs of white
+    space are one space; blocks without any text vanish and have no number.
     """
-    fields = [F.col(start).cast("double").alias("at"), F.col(tie or start).alias("tie"), F.col(text).alias("text")]
-    listed = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("x"))
-    begin = F.expr("named_struct('anchor', cast(null as double), 'done', cast(array() as array<struct<at:double,text:string>>), 'open', cast(array() as array<string>))")
-
-    def step(s: Column, x: Column) -> Column:
-        fits = s["anchor"].isNotNull() & (x["at"] - s["anchor"] < chunk)
-        closed = F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.struct(s["anchor"].alias("at"), F.array_join(s["open"], " ").alias("text"))))).otherwise(s["done"])
-        return F.struct(F.when(fits, s["anchor"]).otherwise(x["at"]).alias("anchor"), F.when(fits, s["done"]).otherwise(closed).alias("done"), F.when(fits, F.concat(s["open"], F.array(x["text"]))).otherwise(F.array(x["text"])).alias("open"))
-
-    finish = lambda s: F.concat(s["done"], F.array(F.struct(s["anchor"].alias("at"), F.array_join(s["open"], " ").alias("text"))))
-    blocks = listed.select(key, F.aggregate("x", begin, step, finish).alias("b"))
-    mark = {"none": lambda b: F.lit(""), "plain": lambda b: F.concat(F.lit("["), timecode(b["at"]), F.lit("] ")), "links": lambda b: F.concat(F.lit("["), timecode(b["at"]), F.lit("](?t="), F.floor(b["at"]).cast("string"), F.lit(") "))}[style]
-    return blocks.select(key, F.size("b").alias("chunks"), F.array_join(F.transform("b", lambda b: F.concat(mark(b), b["text"])), "\n\n").alias("markdown"))
+    kinds = dict(df.dtypes)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, number, anchor, texts = None, 0, 0.0, []
+
+        def close(done: list) -> None:
+            nonlocal number, texts
+            joined = " ".join(" ".join(texts).split())
+            if joined:
+                done.append((last[0], number, anchor, joined))
+                number += 1
+            texts = []
+
+        def frame(done: list) -> pd.DataFrame:
+            out = pd.DataFrame(done, columns=[key, "block", "at", "text"])
+            return out.astype({key: kept.dtype}) if kept is not None else out
+
+        kept = None
+        for batch in batches:
+            kept, done = batch[key], []
+            for k, at, words in zip(batch[key], batch["at"], batch["text"]):
+                same = last is not None and (k == last[0] or pd.isna(k) and pd.isna(last[0]))
+                if not same or at - anchor >= chunk or chunk <= 0:
+                    if last is not None:
+                        close(done)
+                    number, anchor = number if same else 0, at
+                last = (k,)
+                texts.append(words)
+            yield frame(done)
+        if last is not None:
+            done = []
+            close(done)
+            yield frame(done)
+
+    ready = df.select(F.col(key), F.col(start).cast("double").alias("at"), F.col(tie or start).alias("__tie"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("at").isNotNull())
+    ordered = ready.repartition(key).sortWithinPartitions(key, "at", "__tie", "text").select(key, "at", "text")
+    return ordered.mapInPandas(fold, f"{key} {kinds[key]}, block long, at double, text string")
+
+
+def chunk_transcript(df: DataFrame, key: str, start: str, text: str, chunk: float, style: str = "plain", tie: str | None = None, link: str = "https://www.youtube.com/watch?v={key}&t={at}s") -> DataFrame:
+    """(key, chunks, markdown): a transcript's blocks as paragraphs. style: plain times, links to the second, or none. A key without text has no row.
+
+    The Markdown of a key is one value; transcript_blocks() gives the blocks as rows where a transcript is too long for that.
+    """
+    if style not in ("plain", "links", "none"):
+        raise ValueError(f"unknown style: {style}")
+    blocks = transcript_blocks(df, key, start, text, chunk, tie)
+    to = F.replace(F.replace(F.lit(link), F.lit("{key}"), F.col(key).cast("string")), F.lit("{at}"), F.floor("at").cast("string"))
+    mark = {"none": F.lit(""), "plain": F.concat(F.lit("["), timecode(F.col("at")), F.lit("] ")), "links": F.concat(F.lit("["), timecode(F.col("at")), F.lit("]("), F.coalesce(to, F.lit("")), F.lit(") "))}[style]
+    listed = F.sort_array(F.collect_list(F.struct("block", F.concat(mark, "text").alias("line"))))
+    return blocks.groupBy(key).agg(F.count("*").cast("int").alias("chunks"), F.array_join(F.transform(listed, lambda b: b["line"]), "\n\n").alias("markdown"))
 
 
 def verdicts(times: list[float], window: float, most: int, live: list[float]) -> tuple[list[bool], list[float], list[float]]:

@@ -66,13 +66,37 @@ def prune_retention(spark, sf_dir):
     return store.prune_retention(view(spark, sf_dir, "log"), "created_at", 20, F.expr(AS_OF))[0].select("event_id", "created_at")
 
 
-@query("join_transcripts", f"""WITH i AS (SELECT DISTINCT event_id % 200 AS page_key, 'k' || (user_id % 50) AS key FROM events), t AS (SELECT 'k' || (user_id % 50) AS key, max(ts) AS created_at FROM events WHERE user_id % 2 = 0 GROUP BY 1),
+#: A post for each event: galleries of three with an item that is no image and one that comes twice, single images of three hosts, texts that name two images, videos.
+POSTS = """coalesce(to_json(CASE event_id % 4 WHEN 0 THEN named_struct('gallery_data', named_struct('items', array(named_struct('media_id', concat('k', user_id % 50)), named_struct('media_id', 'other'), named_struct('media_id', concat('k', (user_id + 7) % 50)), named_struct('media_id', concat('k', user_id % 50)))),
+ 'media_metadata', map(concat('k', (user_id + 7) % 50), named_struct('e', 'Image', 's', named_struct('u', concat('https://preview.redd.it/', event_id, '.jpg?a=1&amp;b=2'))), concat('k', user_id % 50), named_struct('e', 'Image', 's', named_struct('u', 'https://I.redd.it/x')), 'other', named_struct('e', 'Video', 's', named_struct('u', 'https://i.redd.it/o'))),
+ 'url', cast(null as string), 'is_self', false, 'selftext', '', 'is_video', false) END),
+ CASE event_id % 4 WHEN 1 THEN concat('{"post_hint":"image","url":"https://', element_at(array('i.redd.it', 'preview.redd.it', 'else.org'), cast(event_id % 3 + 1 as int)), '/a/k', user_id % 50, '.PNG?x"}')
+ WHEN 2 THEN concat('{"is_self":true,"selftext":"first kk', (user_id + 1) % 50, 'x then kk', user_id % 50, 'x","media_metadata":{"kk', user_id % 50, 'x":{"e":"Image","s":{"u":"https://i.redd.it/a"}},"kk', (user_id + 1) % 50, 'x":{"e":"Image","s":{"u":"https://i.redd.it/b"}},"absent":{"e":"Image","s":{"u":"https://i.redd.it/c"}}}}')
+ WHEN 3 THEN concat('{"is_video":true,"media":{"reddit_video":{"fallback_url":"v', event_id, '"}},"url":"https://i.redd.it/v.png"}') END) AS post"""
+IMAGES_SQL = """SELECT event_id, 0 AS pos, 'https://I.redd.it/x' AS url, 'k' || (user_id % 50) AS key, 'gallery' AS kind FROM events WHERE event_id % 4 = 0
+ UNION ALL SELECT event_id, 1, 'https://preview.redd.it/' || event_id || '.jpg?a=1&b=2', 'k' || ((user_id + 7) % 50), 'gallery' FROM events WHERE event_id % 4 = 0
+ UNION ALL SELECT event_id, 0, 'https://' || ['i.redd.it', 'preview.redd.it'][event_id % 3 + 1] || '/a/k' || (user_id % 50) || '.PNG?x', 'k' || (user_id % 50), 'single' FROM events WHERE event_id % 4 = 1 AND event_id % 3 < 2
+ UNION ALL SELECT event_id, 0, 'https://i.redd.it/b', 'kk' || ((user_id + 1) % 50) || 'x', 'inline' FROM events WHERE event_id % 4 = 2
+ UNION ALL SELECT event_id, 1, 'https://i.redd.it/a', 'kk' || (user_id % 50) || 'x', 'inline' FROM events WHERE event_id % 4 = 2"""
+
+
+def images(spark, sf_dir):
+    posts = table(spark, sf_dir, "events").selectExpr("event_id", POSTS)
+    return store.post_images(posts, "event_id", "post").withColumnRenamed("page_key", "event_id")
+
+
+@query("post_images", IMAGES_SQL)
+def post_images(spark, sf_dir):
+    return images(spark, sf_dir)
+
+
+@query("join_transcripts", f"""WITH m AS ({IMAGES_SQL}), i AS (SELECT DISTINCT event_id % 200 AS page_key, key FROM m), t AS (SELECT 'k' || (user_id % 50) AS key, max(ts) AS created_at FROM events WHERE user_id % 2 = 0 GROUP BY 1),
  o AS (SELECT i.page_key, t.key AS found FROM i LEFT JOIN t ON i.key = t.key AND t.created_at > {AS_OF} - INTERVAL 5 DAY)
 SELECT page_key, count(*) AS images, count(found) AS resolved, count(found) < least(count(*), 12) AS incomplete FROM o GROUP BY 1""")
 def join_transcripts(spark, sf_dir):
-    events = table(spark, sf_dir, "events").selectExpr("event_id % 200 AS page_key", "'k' || (user_id % 50) AS key", "user_id", "ts")
-    transcripts = events.where("user_id % 2 = 0").groupBy("key").agg(F.max("ts").alias("created_at"))
-    return store.join_transcripts(events, transcripts, F.expr(AS_OF), 5, 12)
+    of_pages = images(spark, sf_dir).select((F.col("event_id") % 200).alias("page_key"), "key")
+    transcripts = table(spark, sf_dir, "events").where("user_id % 2 = 0").selectExpr("'k' || (user_id % 50) AS key", "ts").groupBy("key").agg(F.max("ts").alias("created_at"))
+    return store.join_transcripts(of_pages, transcripts, F.expr(AS_OF), 5, 12)
 
 
 W7 = f"l AS (SELECT * FROM log WHERE created_at > {AS_OF} - INTERVAL 7 DAY)"

@@ -135,11 +135,19 @@ def gap_paragraphs(spark, sf_dir):
     return timed.gap_paragraphs(cues(spark, sf_dir), "key", "start", "stop", "line", 3600.0, "event_id")
 
 
-@query("chunk_transcript", f"""WITH RECURSIVE {CUE}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, event_id) AS k FROM c), r AS (SELECT key, k, start AS anchor, line, start FROM o WHERE k = 1
- UNION ALL SELECT o.key, o.k, CASE WHEN o.start - r.anchor >= 86400 THEN o.start ELSE r.anchor END, o.line, o.start FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1), b AS (SELECT key, anchor, string_agg(line, ' ' ORDER BY k) AS text FROM r GROUP BY ALL)
-SELECT key, CAST(count(*) AS INTEGER) AS chunks, string_agg(text, chr(10) || chr(10) ORDER BY anchor) AS markdown FROM b GROUP BY key""")
+CHUNKS = f"""WITH RECURSIVE {CUE}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, event_id) AS k FROM c), r AS (SELECT key, k, start AS anchor, line, start FROM o WHERE k = 1
+ UNION ALL SELECT o.key, o.k, CASE WHEN o.start - r.anchor >= 86400 THEN o.start ELSE r.anchor END, o.line, o.start FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1), b AS (SELECT key, anchor, string_agg(line, ' ' ORDER BY k) AS text FROM r GROUP BY ALL)"""
+CLOCK = "CAST(floor(anchor) AS BIGINT) // 3600 || ':' || lpad(CAST(CAST(floor(anchor) AS BIGINT) // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(anchor) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
+
+
+@query("transcript_blocks", f"{CHUNKS} SELECT key, row_number() OVER (PARTITION BY key ORDER BY anchor) - 1 AS block, anchor AS at, text FROM b")
+def transcript_blocks(spark, sf_dir):
+    return timed.transcript_blocks(cues(spark, sf_dir), "key", "start", "line", 86400.0, "event_id")
+
+
+@query("chunk_transcript", f"""{CHUNKS} SELECT key, CAST(count(*) AS INTEGER) AS chunks, string_agg('[' || {CLOCK} || '](https://www.youtube.com/watch?v=' || key || '&t=' || CAST(floor(anchor) AS BIGINT) || 's) ' || text, chr(10) || chr(10) ORDER BY anchor) AS markdown FROM b GROUP BY key""")
 def chunk_transcript(spark, sf_dir):
-    return timed.chunk_transcript(cues(spark, sf_dir), "key", "start", "line", 86400.0, "none", "event_id")
+    return timed.chunk_transcript(cues(spark, sf_dir), "key", "start", "line", 86400.0, "links", "event_id")
 
 
 @query("rate_limit", VERDICTS.format(most=3, window="CAST(86400 AS DOUBLE)"))

@@ -124,11 +124,11 @@ def strip_markdown(md: Column) -> Column:
     return F.translate(out, PARKED, PUNCTUATION)
 
 
-def fence(text: Column, lang: str = "") -> Column:
+def fence(text: Column, lang: Column | str = "") -> Column:
     """The text between fences of one backtick more than its longest run of them, three at least."""
     runs = F.transform(F.regexp_extract_all(empty(text), F.lit("`+"), F.lit(0)), F.length)
     mark = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
-    return F.concat(mark, F.lit(f"{lang}\n"), empty(text), F.lit("\n"), mark)
+    return F.concat(mark, lang if isinstance(lang, Column) else F.lit(lang), F.lit("\n"), empty(text), F.lit("\n"), mark)
 
 
 def slugify(c: Column) -> Column:

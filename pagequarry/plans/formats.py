@@ -43,9 +43,14 @@ def feed_entries(spark, sf_dir):
     return X.feed_entries(table(spark, sf_dir, "documents").selectExpr("doc_id", rss), "doc_id", "feed")
 
 
-@query("notebook_to_markdown", "SELECT event_id AS id, '# ' || event_type || chr(10) || chr(10) || '```python' || chr(10) || 'print(' || user_id || ')' || chr(10) || '```' || chr(10) || chr(10) || '```' || chr(10) || user_id || chr(10) || '```' AS markdown FROM events")
+@query("notebook_to_markdown", """SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'Own ' || user_id ELSE event_type END AS title, CASE event_id % 5 WHEN 1 THEN 'by ' || user_id WHEN 2 THEN 'an author' END AS author,
+ '# ' || CASE WHEN event_id % 3 = 0 THEN 'Own ' || user_id || chr(10) || chr(10) || '# ' || event_type || ' ##' ELSE event_type END || chr(10) || chr(10) || '```python' || chr(10) || 'print(' || user_id || ')' || chr(10) || '```' || chr(10) || chr(10)
+ || CASE event_id % 4 WHEN 0 THEN '```text' || chr(10) || user_id || chr(10) || '```' WHEN 1 THEN '```text' || chr(10) || 'E: ' || user_id || chr(10) || 'at' || chr(10) || 'end' || chr(10) || '```' WHEN 2 THEN '*[Bildausgabe]*' ELSE '````text' || chr(10) || '```' || event_type || chr(10) || '````' END || chr(10) AS markdown FROM events""")
 def notebook_to_markdown(spark, sf_dir):
-    text = """concat('{"metadata":{"kernelspec":{"language":"python"}},"cells":[{"cell_type":"markdown","source":["# ","', event_type, '"]},{"cell_type":"code","source":"print(', user_id, ')","outputs":[{"output_type":"stream","text":["', user_id, '\\\\n"]}]}]}') AS text"""
+    meta = """concat('{"nbformat":4,"metadata":{"language_info":{"name":"Python"}', CASE WHEN event_id % 3 = 0 THEN concat(',"title":" Own ', user_id, '"') ELSE '' END, CASE event_id % 5 WHEN 1 THEN concat(',"authors":[{"name":"by ', user_id, '"}]') WHEN 2 THEN ',"authors":["an author "]' ELSE '' END, '}')"""
+    out = """CASE event_id % 4 WHEN 0 THEN concat('{"output_type":"stream","text":["', user_id, '\\\\n"]}') WHEN 1 THEN concat('{"output_type":"error","ename":"E","evalue":"', user_id, '","traceback":["\\\\u001b[31mat\\\\u001b[0m","end"]}')
+     WHEN 2 THEN '{"output_type":"display_data","data":{"image/png":"x","text/plain":"<Figure>"}}' ELSE concat('{"output_type":"execute_result","data":{"text/plain":["```","', event_type, '"]}}') END"""
+    text = f"""concat({meta}, ',"cells":[{{"cell_type":"markdown","source":["# ","', event_type, ' ##"]}},{{"cell_type":"code","source":"print(', user_id, ')","outputs":[', {out}, ']}}]}}') AS text"""
     return X.notebook_to_markdown(table(spark, sf_dir, "events").selectExpr("event_id", text), "event_id", "text")
 
 

@@ -147,23 +147,94 @@ def feed_entries(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, text_col).mapInPandas(run, f"feed_id {kind}, pos bigint, title string, link string, date string, author string, body string")
 
 
-NOTEBOOK = "struct<metadata:struct<kernelspec:struct<language:string>,language_info:struct<name:string>>,cells:array<struct<cell_type:string,source:variant,outputs:array<struct<output_type:string,text:variant,data:map<string,variant>>>>>>"
+NOTEBOOK = (
+    "struct<nbformat:double,worksheets:variant,metadata:struct<title:variant,authors:variant,kernelspec:struct<language:string>,language_info:struct<name:string>>,"
+    "cells:array<struct<cell_type:string,source:variant,outputs:array<struct<output_type:string,text:variant,data:map<string,variant>,ename:string,evalue:string,traceback:variant>>>>>"
+)
+#: Terminal sequences that go, and what stands for an image, by language.
+TERMINAL = r"\x{1B}\[[0-9;?]*[ -/]*[@-~]|\x{1B}\][^\x{07}\x{1B}]*(?:\x{07}|\x{1B}\\)|\x{1B}[@-Z\\-_]"
+IMAGE_NOTES = {"de": "*[Bildausgabe]*", "en": "*[image output]*"}
 
 
-def _joined(v: Column) -> Column:
-    return F.coalesce(F.array_join(F.try_variant_get(v, "$", "array<string>"), ""), F.try_variant_get(v, "$", "string"), F.lit(""))
+def _joined(v: Column, between: str = "") -> Column:
+    return F.coalesce(F.array_join(F.try_variant_get(v, "$", "array<string>"), between), F.try_variant_get(v, "$", "string"), F.lit(""))
 
 
-def notebook_to_markdown(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, markdown): the cells in order; code in fences of the kernel's language, text outputs in plain fences without colour codes. What is no notebook gives no row."""
-    read = df.select(F.col(id_col).alias("id"), F.from_json(text_col, NOTEBOOK).alias("n")).where("n.cells IS NOT NULL")
-    cells = read.select("id", F.coalesce("n.metadata.language_info.name", "n.metadata.kernelspec.language", F.lit("python")).alias("lang"), F.posexplode("n.cells").alias("pos", "c"))
-    source = F.regexp_replace(_joined(F.col("c.source")), r"\s+\z", "")
-    said = F.transform(F.coalesce("c.outputs", F.expr("cast(array() as array<struct<output_type:string,text:variant,data:map<string,variant>>>)")), lambda o: F.regexp_replace(F.coalesce(F.nullif(_joined(o["text"]), F.lit("")), _joined(F.try_element_at(o["data"], F.lit("text/plain")))), r"\x{1B}\[[0-9;]*m|\s+\z", ""))
-    outputs = F.transform(F.filter(said, lambda s: s != ""), lambda s: F.concat(F.lit("```\n"), s, F.lit("\n```")))
-    code = F.concat(F.lit("```"), F.col("lang"), F.lit("\n"), source, F.lit("\n```"))
-    block = F.when(F.col("c.cell_type") == "markdown", source).when(F.col("c.cell_type") == "code", F.array_join(F.concat(F.array(code), outputs), "\n\n")).otherwise(F.concat(F.lit("```\n"), source, F.lit("\n```")))
-    return cells.where(source != "").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("markdown"))
+def _end_trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, rf"{T.BLANKS}+\z", "")
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(_end_trimmed(c), rf"\A{T.BLANKS}+", "")
+
+
+def _said(c: Column) -> Column:
+    """Text without terminal sequences, lines ended by line feeds, blanks at its end gone."""
+    return _end_trimmed(F.regexp_replace(F.regexp_replace(c, TERMINAL, ""), r"\r\n?", "\n"))
+
+
+def _output(o: Column, image: str) -> Column:
+    """The block of a cell's output; empty where it says nothing."""
+
+    def block(text: Column) -> Column:
+        return F.when(text == "", "").otherwise(T.fence(F.regexp_replace(text, r"\n+\z", ""), "text"))
+
+    def of(kind: str) -> Column:
+        return _joined(F.element_at(o["data"], F.lit(kind)))
+
+    def both(a: Column, b: Column, between: str) -> Column:
+        return F.concat_ws(between, F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
+
+    markdown = _trimmed(of("text/markdown"))
+    shown = F.when(markdown != "", F.regexp_replace(markdown, TERMINAL, "")).when(F.exists(F.map_keys(o["data"]), lambda k: k.startswith("image/")), image).otherwise(block(_said(of("text/plain"))))
+    failed = block(_said(both(both(o["ename"], o["evalue"], ": "), _said(_joined(o["traceback"], "\n")), "\n")))
+    kind = o["output_type"]
+    return F.when(kind == "stream", block(_said(_joined(o["text"])))).when(kind.isin("execute_result", "display_data"), shown).when(kind == "error", failed).otherwise("")
+
+
+HEADING = r"(?m)^#[ \t]+(.+)$"
+
+
+def notebook_to_markdown(df: DataFrame, id_col: str, text_col: str, name_col: str | None = None, lang: str = "de") -> DataFrame:
+    """(id, title, author, markdown): the title, then the cells in order: code in fences of the kernel's language, outputs and errors in fences of text, a note for an image.
+
+    The title is the notebook's own, else the first heading of its Markdown cells (which goes from the first cell if it begins it), else
+    the file's name. What is no notebook of format 4 or has no cells gives no row. A notebook is read, cell by cell, in its own row.
+    """
+    name = F.col(name_col) if name_col else F.lit(None).cast("string")
+    read = df.select(F.col(id_col).alias("id"), name.alias("name"), F.from_json(text_col, NOTEBOOK).alias("n"))
+    old = (F.coalesce("n.nbformat", F.lit(0.0)) != 0) & (F.col("n.nbformat") < 4) | F.try_variant_get("n.worksheets", "$", "array<variant>").isNotNull()
+    read = read.where((F.size("n.cells") > 0) & ~F.coalesce(old, F.lit(False)))
+    kept = F.filter("n.cells", lambda c: c.isNotNull())
+    cells = F.transform(kept, lambda c: F.struct(c["cell_type"].alias("kind"), F.regexp_replace(_joined(c["source"]), r"\r\n?", "\n").alias("source"), c["outputs"].alias("outputs")))
+    meta = F.col("n.metadata")
+    language = F.lower(F.coalesce(F.nullif(meta["language_info"]["name"], F.lit("")), F.nullif(meta["kernelspec"]["language"], F.lit("")), F.lit("python")))
+    author = F.coalesce(F.try_variant_get(meta["authors"], "$[0].name", "string"), F.when(F.try_variant_get(meta["authors"], "$[0]", "map<string,variant>").isNull(), F.try_variant_get(meta["authors"], "$[0]", "string")))
+    own = F.when(F.schema_of_variant(meta["title"]) == "STRING", F.nullif(_trimmed(F.try_variant_get(meta["title"], "$", "string")), F.lit("")))
+    read = read.select("id", "name", cells.alias("cells"), language.alias("language"), F.nullif(_trimmed(author), F.lit("")).alias("author"), own.alias("own"))
+
+    def heading(text: Column) -> Column:
+        line = F.regexp_extract(text, HEADING, 1)
+        return _trimmed(F.coalesce(F.nullif(F.regexp_replace(line, r"[ \t#]+\z", ""), F.lit("")), F.substring(line, 1, 1)))
+
+    headed = F.get(F.filter("cells", lambda c: (c["kind"] == "markdown") & F.rlike(c["source"], F.lit(HEADING))), F.lit(0))
+    stem = F.element_at(F.split("name", r"[\\/]"), -1)
+    stem = F.coalesce(F.nullif(F.regexp_replace(stem, r"\.[^.]+$", ""), F.lit("")), F.nullif(stem, F.lit("")), F.lit("Notebook"))
+    first = F.regexp_replace(F.get("cells", F.lit(0))["source"], r"\A\s*\n", "")
+    read = read.withColumn("said", F.nullif(heading(headed["source"]), F.lit(""))).withColumn("title", F.coalesce("own", "said", stem))
+    begins = F.col("own").isNull() & (F.get("cells", F.lit(0))["kind"] == "markdown") & F.rlike(first, F.lit(r"\A#[ \t]+.")) & (heading(first) == F.col("title"))
+    read = read.withColumn("begins", F.coalesce(begins, F.lit(False)))
+
+    def blocks(c: Column, i: Column) -> Column:
+        text = F.when((i == 0) & F.col("begins"), F.regexp_replace(F.regexp_replace(c["source"], r"\A\s*\n", ""), r"\A[^\n]*\n?", "")).otherwise(c["source"])
+        code = _end_trimmed(c["source"])
+        fenced = F.when(code == "", "").otherwise(T.fence(code, F.when(c["kind"] == "code", F.col("language")).otherwise("")))
+        outputs = F.coalesce(F.transform(c["outputs"], lambda o: _output(o, IMAGE_NOTES[lang])), F.array().cast("array<string>"))
+        return F.when(c["kind"] == "markdown", F.array(_trimmed(text))).when(c["kind"] == "code", F.concat(F.array(fenced), outputs)).when(c["kind"] == "raw", F.array(fenced))
+
+    parts = F.filter(F.flatten(F.filter(F.transform("cells", blocks), lambda b: b.isNotNull())), lambda b: b != "")
+    read = read.withColumn("body", F.array_join(parts, "\n\n"))
+    return read.select("id", "title", "author", F.concat(F.lit("# "), "title", F.lit("\n\n"), F.when(F.col("body") == "", "").otherwise(F.concat("body", F.lit("\n")))).alias("markdown"))
 
 
 TIMING = r"((?:[0-9]+:)?[0-9]{1,2}:[0-9]{2}[.,][0-9]{1,3})\s+-->\s+((?:[0-9]+:)?[0-9]{1,2}:[0-9]{2}[.,][0-9]{1,3})"

@@ -1,5 +1,6 @@
 """The plain functions behind the helpers: documents, blocks, the greedy choice, limits, formats."""
 
+import json
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as T
 from pagequarry.operators import dom, markdown_blocks, pages, recipes, sections, timed
 from pagequarry.sources import formats
+from pagequarry.sources.pages import read_pages
 
 PAGE = """<html lang=en><head><title> A  page </title><meta property="og:title" content="Other"><link rel=canonical href=/c></head>
 <body><nav><a href=/x>menu</a></nav><article><h1>Head</h1><p>First <b>bold</b> and <a href="y?z=1">link</a><p>Second, with * star
@@ -133,7 +135,32 @@ def test_subtitles_and_notebooks(spark):
     df = spark.createDataFrame([(1, "1\r00:00:01,000 --> 00:00:02,000\r{\\an8}Hel<i>lo</i>\r")], "id long, t string")
     assert [(r["line"], r["start"]) for r in formats.parse_cues(df, "id", "t").collect()] == [("Hello", 1.0)]
     book = '{"metadata":{"kernelspec":{"language":"python"},"language_info":{"name":"R"}},"cells":[{"cell_type":"code","source":"x","outputs":[]}]}'
-    assert formats.notebook_to_markdown(spark.createDataFrame([(1, book)], "id long, t string"), "id", "t").first()["markdown"] == "```R\nx\n```"
+    assert formats.notebook_to_markdown(spark.createDataFrame([(1, book)], "id long, t string"), "id", "t").first()["markdown"] == "# Notebook\n\n```r\nx\n```\n"
+
+
+def test_notebooks_of_all_kinds(spark):
+    md, code, raw = (lambda kind: lambda source, **o: {"cell_type": kind, "source": source, **o})("markdown"), lambda source, *outputs: {"cell_type": "code", "source": source, "outputs": list(outputs)}, lambda source: {"cell_type": "raw", "source": source}
+    out = lambda **data: {"output_type": "display_data", "data": {k.replace("_", "/"): v for k, v in data.items()}}
+    books = [
+        ({"cells": [md("\n# T #\nmore\n"), md("# Other"), raw("r "), raw(" ")]}, "T", None, "# T\n\nmore\n\n# Other\n\n```\nr\n```\n"),
+        ({"cells": [md("text"), md(["a\n", "# T"]), None, {"cell_type": "odd", "source": "x"}]}, "T", None, "# T\n\ntext\n\na\n# T\n"),
+        ({"cells": [md("")], "metadata": {"title": 5, "authors": [{"name": " A "}]}}, "file.v1", "A", "# file.v1\n\n"),
+        ({"cells": [code("", out(text_markdown=" **x** ", image_png="y"), out(image_png="y"), out(text_plain=["a", "`" * 3]), {"output_type": "error"}, {"output_type": "stream", "text": " \n"}, {"output_type": "error", "ename": "E", "traceback": "t\r\nu "})], "metadata": {"title": " Own ", "authors": ["B"]}},
+         "Own", "B", "# Own\n\n**x**\n\n*[image output]*\n\n````text\na```\n````\n\n```text\nE\nt\nu\n```\n"),
+        ({"cells": []}, None, None, None), ({"nbformat": 3, "cells": [md("x")]}, None, None, None), ({"worksheets": [], "cells": [md("x")]}, None, None, None), ([1], None, None, None), (None, None, None, None),
+    ]
+    rows = [(i, None if b is None else json.dumps(b), "d/file.v1.ipynb") for i, (b, *_) in enumerate(books)]
+    df = spark.createDataFrame([*rows, (99, "{bad", None)], "id long, t string, f string")
+    got = {r["id"]: (r["title"], r["author"], r["markdown"]) for r in formats.notebook_to_markdown(df, "id", "t", "f", "en").collect()}
+    assert got == {i: tuple(want) for i, (_, *want) in enumerate(books) if want[0]}
+
+
+def test_files_in_their_own_charset(spark, tmp_path):
+    pages = {"a.html": '<meta charset="windows-1252"><p>größe €'.encode("cp1252"), "b.html": "<p>größe".encode(), "c.html": b"\xff\xfe" + "<p>größe".encode("utf-16-le")}
+    for name, content in pages.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["url"].rpartition("/")[2]: r["html"] for r in read_pages(spark, str(tmp_path), "binaryFile").collect()}
+    assert got == {"a.html": '<meta charset="windows-1252"><p>größe €', "b.html": "<p>größe", "c.html": "<p>größe"}
 
 
 DEEP = ["<div>" * 3000 + "x" * 24_000, "<b>" * 3000 + "y", "<ul><li>" * 1500 + "z", "<blockquote>" * 900 + "q", "<table><tr><td>" * 400 + "t", "<div>" * 450 + "<b>" * 50 + "w"]

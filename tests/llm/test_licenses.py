@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from pagequarry.llm import licenses as L
 from pagequarry.llm.license_texts import NOTICES
 
@@ -32,3 +36,50 @@ def test_telling_words_lose_nothing():
         words = [w for w in __import__("re").split(r"[^\w]|_", text.lower()) if w]
         shingles = [words[i : i + 5] for i in range(max(1, len(words) - 4))]
         assert sum(bool(chosen & set(s)) for s in shingles) > 0.2 * len(shingles)
+
+
+SHORT = {"A": "MIT licensed", "B": "GPL", "C": "licensed under the MIT", "none": "--", "long": NOTICES["MIT"]}
+
+
+def plainly(texts, notices):
+    """Every window of every class, the exact share of each notice's shingles in it, the first best kept."""
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+    own = {k: L.split_words(t) for k, t in notices.items()}
+    size = lambda w: max(8, 1 << (len(w) - 1).bit_length())
+    out = {}
+    for k, text in enumerate(texts):
+        w = L.split_words(text or "")
+        for name, theirs in own.items():
+            if 0 < len(theirs) < 5:
+                places = [i for i in range(len(w) - len(theirs) + 1) if w[i : i + len(theirs)] == theirs]
+                if places:
+                    out[k, name] = (places[0], 1.0)
+            elif theirs and w:
+                c, mine, want = size(theirs), shingles(w), set(shingles(theirs))
+                best = max(((len(want & set(mine[s : s + max(1, c * 3 // 2 - 4)])) / len(want), -s) for s in range(0, len(mine), c // 2)))
+                if best[0] >= 0.8:
+                    out[k, name] = (-best[1], best[0])
+    return out
+
+
+@pytest.mark.parametrize("notices", [NOTICES, SHORT])
+@pytest.mark.parametrize("sent", [L.SENT, 0])
+def test_against_every_window(spark, monkeypatch, notices, sent):
+    monkeypatch.setattr(L, "SENT", sent)
+    rng, texts = random.Random(9), ["gpl", "MIT licensed", None, "", "x " * 500]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            w = rng.choice(list(notices.values())).split()
+            at = rng.randrange(len(w)) if rng.random() < 0.5 else None
+            parts += ["pad"] * rng.randrange(60) + (w if at is None else w[:at] + ["Xx"] + w[at + 1 :])
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["id"], r["notice"]): (r["start"], r["containment"]) for r in L.scan(docs, notices=notices).collect()} == plainly(texts, notices)
+
+
+def test_rows_of_one_id(spark):
+    a, b = f"pad {NOTICES['MIT']}", f"{'pad ' * 90}{NOTICES['MIT']}"
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (None, a), (None, a)], "doc_id long, text string")
+    found = [(r["id"], r["start"] > 40) for r in L.scan(docs).where("notice = 'MIT'").collect()]
+    assert sorted(found, key=str) == [(1, False), (1, True), (None, False)]

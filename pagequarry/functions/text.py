@@ -1,7 +1,7 @@
 """Scalar functions over Markdown and plain text, as column expressions."""
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -124,6 +124,11 @@ def strip_markdown(md: Column) -> Column:
     return F.translate(out, PARKED, PUNCTUATION)
 
 
+def let(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function(value) with the value worked out once; inside higher-order functions nothing else shares it."""
+    return F.transform(F.array(value), function)[0]
+
+
 def fence(text: Column, lang: Column | str = "") -> Column:
     """The text between fences of one backtick more than its longest run of them, three at least."""
     runs = F.transform(F.regexp_extract_all(empty(text), F.lit("`+"), F.lit(0)), F.length)

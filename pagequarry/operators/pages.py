@@ -252,9 +252,6 @@ def append_blocks(df: DataFrame, specs: list[AppendBlock]) -> DataFrame:
     def noun(n: Column) -> Column:
         return F.when(n == 1, ONE).otherwise(MANY)
 
-    def let(value: Column, function: Callable[[Column], Column]) -> Column:
-        return F.transform(F.array(value), function)[0]
-
     def counted(kept: Column, total: Column) -> Column:
         return F.when(kept < total, F.concat_ws(" ", kept.cast("string"), F.lit("von"), total.cast("string"), noun(total))).otherwise(F.concat_ws(" ", kept.cast("string"), noun(kept)))
 
@@ -276,12 +273,12 @@ def append_blocks(df: DataFrame, specs: list[AppendBlock]) -> DataFrame:
         def shown(kept: Column) -> Column:
             note = F.when(kept < total, F.format_string("\n\n" + CUT.format("%s", "%s", "%s"), kept, total, noun(total))).otherwise("")
             text = F.concat(opening, F.lit("[\n"), F.array_join(F.slice(b["rows"], F.lit(1), kept), ",\n"), F.lit("\n]\n```"), note)
-            return F.when(kept == 0, state(s["spent"], s["parts"], b, F.lit(TOO_LARGE))).otherwise(let(text, lambda t: state(s["spent"] + F.octet_length(t), F.array_append(s["parts"], t), b, F.concat(F.lit(" ("), counted(kept, total), F.lit(")")))))
+            return F.when(kept == 0, state(s["spent"], s["parts"], b, F.lit(TOO_LARGE))).otherwise(T.let(text, lambda t: state(s["spent"] + F.octet_length(t), F.array_append(s["parts"], t), b, F.concat(F.lit(" ("), counted(kept, total), F.lit(")")))))
 
         def state(spent: Column, parts: Column, block: Column, note: Column) -> Column:
             return F.struct(spent.cast("long").alias("spent"), parts.alias("parts"), F.array_append(s["notes"], F.concat(block["title"], note)).alias("notes"))
 
-        return let(budget, lambda left: F.when(left < LEAST_BYTES, state(s["spent"], s["parts"], b, F.lit(SPENT))).otherwise(let(kept_rows(b["rows"], left), shown)))
+        return T.let(budget, lambda left: F.when(left < LEAST_BYTES, state(s["spent"], s["parts"], b, F.lit(SPENT))).otherwise(T.let(kept_rows(b["rows"], left), shown)))
 
     empty = F.array().cast("array<string>")
     begin = F.struct(F.lit(0).cast("long").alias("spent"), empty.alias("parts"), empty.alias("notes"))

@@ -177,16 +177,16 @@ def _output(o: Column, image: str) -> Column:
     """The block of a cell's output; empty where it says nothing."""
 
     def block(text: Column) -> Column:
-        return F.when(text == "", "").otherwise(T.fence(F.regexp_replace(text, r"\n+\z", ""), "text"))
+        return T.let(F.regexp_replace(text, r"\n+\z", ""), lambda x: F.when(x == "", "").otherwise(T.fence(x, "text")))
 
     def of(kind: str) -> Column:
         return _joined(F.element_at(o["data"], F.lit(kind)))
 
     def both(a: Column, b: Column, between: str) -> Column:
-        return F.concat_ws(between, F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
+        return F.array_join(F.filter(F.array(a, b), lambda x: x != ""), between)
 
-    markdown = _trimmed(of("text/markdown"))
-    shown = F.when(markdown != "", F.regexp_replace(markdown, TERMINAL, "")).when(F.exists(F.map_keys(o["data"]), lambda k: k.startswith("image/")), image).otherwise(block(_said(of("text/plain"))))
+    markdown = of("text/markdown")
+    shown = F.when(F.rlike(markdown, F.lit(r"\S")), F.regexp_replace(_trimmed(markdown), TERMINAL, "")).when(F.exists(F.map_keys(o["data"]), lambda k: k.startswith("image/")), image).otherwise(block(_said(of("text/plain"))))
     failed = block(_said(both(both(o["ename"], o["evalue"], ": "), _said(_joined(o["traceback"], "\n")), "\n")))
     kind = o["output_type"]
     return F.when(kind == "stream", block(_said(_joined(o["text"])))).when(kind.isin("execute_result", "display_data"), shown).when(kind == "error", failed).otherwise("")
@@ -227,8 +227,8 @@ def notebook_to_markdown(df: DataFrame, id_col: str, text_col: str, name_col: st
 
     def blocks(c: Column, i: Column) -> Column:
         text = F.when((i == 0) & F.col("begins"), F.regexp_replace(F.regexp_replace(c["source"], r"\A\s*\n", ""), r"\A[^\n]*\n?", "")).otherwise(c["source"])
-        code = _end_trimmed(c["source"])
-        fenced = F.when(code == "", "").otherwise(T.fence(code, F.when(c["kind"] == "code", F.col("language")).otherwise("")))
+        tag = F.when(c["kind"] == "code", F.col("language")).otherwise("")
+        fenced = T.let(_end_trimmed(c["source"]), lambda x: F.when(x == "", "").otherwise(T.fence(x, tag)))
         outputs = F.coalesce(F.transform(c["outputs"], lambda o: _output(o, IMAGE_NOTES[lang])), F.array().cast("array<string>"))
         return F.when(c["kind"] == "markdown", F.array(_trimmed(text))).when(c["kind"] == "code", F.concat(F.array(fenced), outputs)).when(c["kind"] == "raw", F.array(fenced))
 

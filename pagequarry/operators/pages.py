@@ -304,7 +304,19 @@ def _recover(html: str, url: str) -> str | None:
     if beyond(html):
         return None
     root = dom.absolutify(dom.clean(dom.preclean(dom.parse(html))), url)
-    return dom.to_markdown(dom.dominant(dom.body_of(root)))
+    return _dominant(dom.body_of(root))
+
+
+def _dominant(body: dom.Node) -> str | None:
+    """Markdown of the one container that holds nearly all of a body's text; None where the text lies in several, as in listings."""
+    node = dom.dominant(body)
+    return None if node is body else dom.to_markdown(node)
+
+
+def _better(recovered: Column, markdown: Column) -> Column:
+    """Whether a recovered text is so much larger than the extract, and so much prose, that it takes its place."""
+    much = (F.length(recovered) >= LARGER * F.length(markdown)) & (T.markdown_metrics(recovered)["paragraphs"] >= PARAGRAPHS)
+    return F.coalesce(much, F.lit(False))
 
 
 def coverage_guard(df: DataFrame) -> DataFrame:
@@ -315,8 +327,8 @@ def coverage_guard(df: DataFrame) -> DataFrame:
     suspect = (F.col("body_len") >= BODY_LEAST) & (T.empty(F.col("markdown")).eqNullSafe("") | (F.length("markdown") < COVERED * F.col("body_len")))
     found = F.when(suspect, _each("string", lambda h, u: _recover(h, u) if h is not None else None)(F.when(suspect, F.col("html")), F.col("url")))
     out = df.withColumn("recovered_md", found)
-    accepted = (F.length("recovered_md") >= LARGER * F.length("markdown")) & (T.markdown_metrics(F.col("recovered_md"))["paragraphs"] >= PARAGRAPHS)
-    return out.withColumn("guard_reason", F.when(accepted, F.concat(F.lit("coverage guard: extract "), F.length("markdown").cast("string"), F.lit(" of "), F.col("body_len").cast("string")))).withColumn("recovered_md", F.when(accepted, F.col("recovered_md")))
+    accepted = _better(F.col("recovered_md"), T.empty(F.col("markdown")))
+    return out.withColumn("guard_reason", F.when(accepted, F.concat(F.lit("coverage guard: extract "), F.length(T.empty(F.col("markdown"))).cast("string"), F.lit(" of "), F.col("body_len").cast("string")))).withColumn("recovered_md", F.when(accepted, F.col("recovered_md")))
 
 
 PASS = "page_id bigint, url string, main_md string, body_md string, recovered_md string, fell_back boolean, body_len bigint, metadata map<string,string>, html_len bigint, has_article boolean"
@@ -343,8 +355,8 @@ def convert_one(html: str | None, url: str | None, rule: dict | None) -> dict:
         node = dom.main_content(root)
         main = dom.to_markdown(node) if node is not None else ""
     fell_back = len(main) < SHORT
-    body_len = len(body.text().strip())
-    recovered = dom.to_markdown(dom.dominant(body)) if body_len >= BODY_LEAST and len(main) < COVERED * body_len else None
+    body_len = len(dom.squeezed(body.text()))
+    recovered = _dominant(body) if body_len >= BODY_LEAST and len(main) < COVERED * body_len else None
     return {"main_md": body_md if fell_back else main, "body_md": body_md, "recovered_md": recovered, "fell_back": fell_back, "body_len": body_len, "metadata": meta}
 
 
@@ -379,7 +391,7 @@ def convert_pages(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
     passed = pages.mapInPandas(run, PASS + ", reason string")
     chosen = passed.withColumn("p", T.pick_best(T.markdown_metrics(F.col("main_md")), T.markdown_metrics(F.col("body_md")), F.coalesce("fell_back", F.lit(False))))
-    guarded = F.col("recovered_md").isNotNull() & (F.length("recovered_md") >= LARGER * F.length("main_md"))
+    guarded = _better(F.col("recovered_md"), F.col("main_md"))
     md = F.when(guarded, F.col("recovered_md")).when(F.col("p.winner") == "main", F.col("main_md")).otherwise(F.col("body_md"))
     title = F.element_at("metadata", "title")
     titled = F.when(F.col("reason").isNull(), F.when(title.isNotNull() & ~md.rlike(r"\A# "), F.concat(F.lit("# "), title, F.lit("\n\n"), md)).otherwise(md))

@@ -139,3 +139,18 @@ def test_blocks_at_their_limits(spark):
 def test_selectors_of_scripts():
     with pytest.raises(ValueError):
         P._script_pattern("div script")
+
+
+def test_guard_takes_prose_of_one_container_only(spark):
+    prose = [f"{'word ' * 40}number {i}." for i in range(150)]
+    flat = "".join(f"<section><p>{x}</p></section>" for x in prose)
+    short = "<article><p>" + "lead " * 60 + "</p></article>"
+    listing = "".join(f"<div><p>{x}</p></div>" for x in prose)
+    nav = "<div>" + "".join(f"<p>{'x' * 8000}</p>" for _ in range(4)) + "</div>"
+    pages = [f"<html><body><div id=all>{short}{flat}</div></body></html>", f"<html><body>{short}{listing}</body></html>", f"<html><body>{nav}</body></html>"]
+    df = spark.createDataFrame([(i, f"https://a.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    thin = df.withColumns({"markdown": F.when(F.col("page_id") != 2, F.lit("lead " * 60)), "body_len": F.lit(30_000)})
+    got = {r["page_id"]: r["recovered_md"] for r in P.coverage_guard(thin).collect()}
+    assert "number 149" in got[0] and got[1] is None and got[2] is None  # one wrapper; many siblings; four paragraphs
+    whole = {r["page_id"]: r for r in P.convert_pages(df).collect()}
+    assert "number 149" in whole[0]["markdown"] and whole[1]["source"] != "guard" and whole[2]["source"] != "guard"

@@ -55,6 +55,38 @@ def normalize_url(url: Column) -> Column:
     return F.when(source == "reddit", F.concat(F.lower(part(url, "PROTOCOL")), F.lit("://www.reddit.com"), closed)).when(source == "hackernews", news).when(source == "youtube", F.concat(F.lit("https://www.youtube.com/watch?v="), youtube_id(url))).otherwise(canonical_url(url))
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: Addresses that name no place relative to a page.
+KEPT_AS_IS = r"(?i)^\s*(?:data:|mailto:|javascript:|tel:|#)"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose `.` and `..` segments are worked out; nothing lies above the root."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+
+    def step(done: Column, s: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(s == ".", done).when(s == "..", up).otherwise(F.concat(done, F.array(s)))
+
+    done = F.aggregate(segments, F.expr("cast(array() as array<string>)"), step)
+    closed = F.when(last.isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(closed, "/")).otherwise(path)
+
+
+def resolve_url(ref: Column, base: Column) -> Column:
+    """ref as an absolute address by RFC 3986; empty references, fragments and data, mail, script and phone addresses as they are."""
+    bare = F.trim(ref)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    site = F.regexp_extract(base, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?)", 1)
+    base_path = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    path, rest = F.regexp_extract(bare, r"^([^?#]*)", 1), F.regexp_extract(bare, r"^[^?#]*(.*)$", 1)
+    folder = F.when(base_path == "", "/").otherwise(F.regexp_extract(base_path, r"^(.*/)", 1))
+    asked = F.when(rest.startswith("?"), rest).otherwise(F.concat(F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1), rest))
+    full = F.when(path == "", F.concat(base_path, asked)).when(path.startswith("/"), F.concat(_without_dots(path), rest)).otherwise(F.concat(_without_dots(F.concat(folder, path)), rest))
+    return F.when((bare == "") | ref.rlike(KEPT_AS_IS) | bare.rlike(SCHEME), F.when(bare == "", ref).when(ref.rlike(KEPT_AS_IS), ref).otherwise(bare)).when(bare.startswith("//"), F.concat(scheme, bare)).otherwise(F.concat(site, full))
+
+
 #: Marks of programs in user agents, first match wins.
 CLIENTS = (("claude", ("claude", "anthropic")), ("api", ("curl", "wget", "python-requests", "httpie", "node-fetch", "axios")), ("browser", ("mozilla", "chrome", "safari", "firefox", "edge")))
 

@@ -41,60 +41,19 @@ def _each(kind: str, function: Callable):
     return of
 
 
-def _struct(names: tuple[str, ...], kind: str) -> str:
-    return "struct<" + ",".join(f"{n}:{kind}" for n in names) + ">"
-
-
-def _frame(function: Callable, names: tuple[str, ...], kind: str) -> Callable[[Column], Column]:
-    def of(column: Column) -> Column:
-        def run(a: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([function(x) for x in a], columns=list(names))
-
-        return F.pandas_udf(run, _struct(names, kind))(column)
-
-    return of
-
-
-def markup_stats(html: Column) -> Column:
-    """struct of depth, elements, depth_sum, texts, most_children, attributes, most_attributes."""
-    return _frame(dom.markup_stats, dom.STATS, "long")(html)
-
-
 def beyond(html: str | None, limits: dict[str, int] = LIMITS) -> bool:
     """Whether markup is beyond the limits; one count for all of them."""
     stats = dom.markup_stats(html)
     return any(stats[k] > most for k, most in limits.items())
 
 
-def within_budget(stats: Column, limits: dict[str, int] = LIMITS) -> Column:
+def within_budget(stats: DataFrame, limits: dict[str, int] = LIMITS) -> Column:
     out = F.lit(True)
     for name, most in limits.items():
         out = out & (stats[name] <= most)
     return out
 
 
-def page_metadata(html: Column) -> Column:
-    return _frame(lambda h: dom.metadata(dom.parse(h)), dom.METADATA, "string")(html)
-
-
-def page_date(html: Column) -> Column:
-    """The publication date: the first of the usual places that reads as one."""
-    texts = _each("array<string>", lambda h: dom.date_text(dom.parse(h)))(html)
-    return F.get(F.filter(F.transform(texts, lambda t: F.try_to_timestamp(t)), lambda t: t.isNotNull()), 0)
-
-
-def preclean_html(html: Column) -> Column:
-    return _each("string", lambda h: dom.to_html(dom.preclean(dom.parse(h))))(html)
-
-
-def clean_html(html: Column, extra: tuple[str, ...] = ()) -> Column:
-    return _each("string", lambda h: dom.to_html(dom.clean(dom.parse(h), extra)))(html)
-
-
-def absolutify_urls(html: Column, url: Column) -> Column:
-    return _each("string", lambda h, u: dom.to_html(dom.absolutify(dom.parse(h), u)))(html, url)
-
-
 def html_to_markdown(html: Column) -> Column:
     """Markdown of a fragment; null where the markup is beyond the limits."""
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
+from pagequarry.operators import nodes as N
 from pagequarry.operators import pages as P
 from pagequarry.operators import recipes as R
 from pagequarry.plans.registry import query, table
@@ -23,34 +24,58 @@ def with_scripts(spark, sf_dir):
 
 @query("page_metadata", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language FROM pages")
 def page_metadata(spark, sf_dir):
-    return raw(spark, sf_dir).select("page_id", P.page_metadata(F.col("html")).alias("m")).select("page_id", "m.title", "m.language")
+    return N.metadata(N.page_nodes(raw(spark, sf_dir))).select("page_id", "title", "language")
 
 
 @query("page_date", "SELECT page_id, TIMESTAMP '2024-01-01 10:00:00' + INTERVAL 1 DAY * (page_id % 28) AS published FROM pages")
 def page_date(spark, sf_dir):
-    meta = F.expr("concat('<meta name=\"date\" content=\"not a date\"><time datetime=\"2024-01-', lpad(page_id % 28 + 1, 2, '0'), 'T10:00:00Z\"></time>', html)")
-    return raw(spark, sf_dir).select("page_id", P.page_date(meta).alias("published"))
+    meta = "concat('<meta name=\"date\" content=\"not a date\"><time datetime=\"2024-01-', lpad(page_id % 28 + 1, 2, '0'), 'T10:00:00Z\"></time>', html) AS html"
+    return N.published(N.page_nodes(raw(spark, sf_dir).selectExpr("page_id", meta)))
 
 
-@query("markup_stats")
+#: The markup of the pages as it is written again: no comments, every element closed, text escaped anew.
+WRITTEN = r"""replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!DOCTYPE[^>]*>|<!--.*?-->', '', 'gs'), '(<b>[^<]*<br>)(?:</p>)?', '\1</b></p>', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '&amp', '&')"""
+#: An ampersand that is no end of an entity of `<` or `>` is written out.
+WRITTEN = f"replace(replace(replace({WRITTEN}, '&', '&amp;'), '&amp;lt;', '&lt;'), '&amp;gt;', '&gt;') || CASE WHEN contains(html, '</html>') THEN '' ELSE '</body></html>' END"
+
+#: What the pages lack, built from their own columns and put before them: hidden paragraphs and widgets, fields and images, addresses of all kinds.
+PRECLEAN_SPARK = """concat('<p class="a paywall" aria-hidden="true">', page_id, '</p><div class="related k', page_id % 3, '">', repeat(concat('<p> ', repeat('x', cast(78 + page_id % 4 AS int)), ' </p>'), cast(4 + page_id % 2 AS int)), '</div><div class="w-embed"><i></i>', repeat('<table></table>', cast(page_id % 2 AS int)), '</div>', html) AS html"""
+CLEAN_SPARK = """concat('<input type="checkbox"', CASE WHEN page_id % 2 = 0 THEN ' checked' ELSE '' END, '>task<input readonly value="v&lt;', page_id, '"><img alt="0A0a0a0a-0000-0000-0000-00000000000f" src="i"><img width="1" height="', page_id % 3, '" src="t"><div id="My-Cookies"><p>c</p></div><aside><aside>x</aside></aside>', html) AS html"""
+LINKS_SPARK = """concat('<img src="../i', page_id, '.png" srcset="a.png 1x,  ./b.png 2x"><a href="#top">t</a><a href="mailto:a@b.c">m</a><a href="?q=', page_id, '">q</a><a href="//h.org/p">h</a>', html) AS html"""
+
+
+#: Tags and texts of the written markup in order, each at its depth; children are counted at the latest element opened one level up.
+STATS_SQL = rf"""WITH m AS (SELECT page_id, regexp_extract_all(regexp_replace({WRITTEN}, '<(script|style)>.*?</(?:script|style)>', '<\1>x</\1>', 'gs'), '</?[a-z][^>]*>|[^<]+') AS all_tokens FROM pages),
+t AS (SELECT page_id, unnest(all_tokens) AS tok, unnest(range(len(all_tokens))) AS k FROM m), x AS (SELECT *, tok[1] = '<' AND tok[2] <> '/' AS opens, tok[1] <> '<' AS says, regexp_matches(tok, '^<(meta|br)') AS void FROM t),
+d AS (SELECT *, 1 + coalesce(sum(CASE WHEN opens AND NOT void THEN 1 WHEN NOT opens AND NOT says THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth, len(regexp_extract_all(tok, '\s[a-z-]+=')) AS n FROM x),
+c AS (SELECT page_id, max(children) AS most_children FROM (SELECT a.page_id, o.k, count(*) AS children FROM (SELECT * FROM d WHERE opens OR says) a ASOF LEFT JOIN (SELECT * FROM d WHERE opens AND NOT void) o ON a.page_id = o.page_id AND a.depth - 1 = o.depth AND a.k > o.k GROUP BY ALL) GROUP BY page_id)
+SELECT page_id, CAST(max(depth) FILTER (opens) AS BIGINT) AS depth, count(*) FILTER (opens) AS elements, CAST(sum(depth) FILTER (opens) AS BIGINT) AS depth_sum, count(*) FILTER (says) AS texts, most_children, CAST(sum(n) FILTER (opens) AS BIGINT) AS attributes, CAST(max(n) FILTER (opens) AS BIGINT) AS most_attributes, true AS within FROM d JOIN c USING (page_id) GROUP BY page_id, most_children"""
+
+
+@query("markup_stats", STATS_SQL)
 def markup_stats(spark, sf_dir):
-    s = raw(spark, sf_dir).select("page_id", P.markup_stats(F.col("html")).alias("s"))
-    return s.select("page_id", "s.*", P.within_budget(F.col("s")).alias("within"))
+    s = N.stats(N.page_nodes(raw(spark, sf_dir)))
+    return s.withColumn("within", P.within_budget(s))
 
 
-@query("preclean_html")
+@query("preclean_html", f"""SELECT page_id, '<p class="a">' || page_id || '</p><div class="' || CASE WHEN page_id % 4 = 3 THEN '' ELSE 'related ' END || 'k' || (page_id % 3) || '">' || repeat('<p> ' || repeat('x', CAST(78 + page_id % 4 AS INTEGER)) || ' </p>', CAST(4 + page_id % 2 AS INTEGER))
+ || '</div><div class="' || CASE WHEN page_id % 2 = 1 THEN '' ELSE 'w-embed' END || '"><i></i>' || repeat('<table></table>', CAST(page_id % 2 AS INTEGER)) || '</div>' || {WRITTEN} AS html FROM pages""")
 def preclean_html(spark, sf_dir):
-    return raw(spark, sf_dir).select("page_id", P.preclean_html(F.col("html")).alias("html"))
+    return N.write_html(N.preclean(N.page_nodes(raw(spark, sf_dir).selectExpr("page_id", PRECLEAN_SPARK))))
 
 
-@query("clean_html")
+@query("clean_html", f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '[x] ' ELSE '[ ] ' END || 'task<code>v&lt;' || page_id || '</code><img alt="" src="i">' || CASE WHEN page_id % 3 = 2 THEN '<img width="1" height="2" src="t">' ELSE '' END
+ || regexp_replace({WRITTEN}, '<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>|<meta[^>]*>', '', 'gs') AS html FROM pages""")
 def clean_html(spark, sf_dir):
-    return raw(spark, sf_dir).select("page_id", P.clean_html(F.col("html")).alias("html"))
+    return N.write_html(N.clean(N.page_nodes(raw(spark, sf_dir).selectExpr("page_id", CLEAN_SPARK))))
 
 
-@query("absolutify_urls")
+@query("absolutify_urls", rf"""WITH u AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS own FROM pages), f AS (SELECT *, CASE WHEN own = '' THEN '/' ELSE regexp_extract(own, '^(.*/)', 1) END AS folder FROM u)
+SELECT page_id, '<img src="' || site || CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]*/$', '') END || 'i' || page_id || '.png" srcset="' || site || folder || 'a.png 1x, ' || site || folder || 'b.png 2x"><a href="#top">t</a><a href="mailto:a@b.c">m</a><a href="' || site || own || '?q=' || page_id || '">q</a><a href="'
+ || regexp_extract(url, '^[a-z]+:') || '//h.org/p">h</a>' || replace({WRITTEN}, 'href="/', 'href="' || site || '/') AS html FROM f""")
 def absolutify_urls(spark, sf_dir):
-    return raw(spark, sf_dir).select("page_id", P.absolutify_urls(F.col("html"), F.col("url")).alias("html"))
+    pages = raw(spark, sf_dir)
+    return N.write_html(N.absolutify(N.page_nodes(pages.selectExpr("page_id", LINKS_SPARK)), pages))
 
 
 @query("extract_links", r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS t FROM pages),

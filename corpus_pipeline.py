@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each of which reads what the one before has written.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs, whatever
+their names. An empty table stays empty. A null or empty text goes in the first stage.
 """
 
 import uuid
@@ -31,10 +32,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each group of near-duplicates stays: that with the smallest id, of several rows with this id that with the smallest text hash, once."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
     kept = simhash.near_duplicates(docs).groupBy("root").agg(first.alias("one"))
-    kept = kept.select(F.xxhash64("one.id", "one.text_hash").alias("__key"), F.col("one.text_hash").alias("__hash"))
-    text_hash = F.xxhash64(F.col("text").cast("string"))
-    keyed = docs.withColumn("__hash", text_hash).withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("__hash")))
-    return keyed.join(kept, ["__key", "__hash"], "left_semi").dropDuplicates(["__key", "__hash"]).select(docs.columns)
+    kept = kept.select(F.xxhash64("one.id", "one.text_hash").alias("key"), F.col("one.text_hash").alias("hash"))
+    keyed = docs.select(F.xxhash64(F.col("text").cast("string")).alias("hash"), F.struct("*").alias("row")).withColumn("key", F.xxhash64(F.col("row.doc_id"), F.col("hash")))
+    return keyed.join(kept, ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

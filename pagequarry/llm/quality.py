@@ -207,5 +207,5 @@ def scorer(spark, model: dict):
 
 
 def classify(docs: DataFrame, model: dict, text_col: str = "text", into: str = "quality_score") -> DataFrame:
-    """docs with a column `into`: the score from 0 to 1."""
+    """docs with a column `into`: the score from 0 to 1; a column of that name in docs is replaced."""
     return docs.withColumn(into, scorer(docs.sparkSession, model)(F.col(text_col)))

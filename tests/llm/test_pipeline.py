@@ -38,6 +38,28 @@ def test_decisions_take_effect(spark):
     assert 5 not in {r["doc_id"] for r in stages["contamination"](spark, docs, "/root/testdata/sf0.001").collect()}
 
 
+CLASHING = SCHEMA + ", row string, clean string, key string, hash string, id string, root string, ids binary, length long, item long, words string, n long"
+
+
+def test_empty_tables_and_columns_of_any_name(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, long), (1, long), (2, long), (3, None), (4, ""), (5, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (6, "\u00e9" * 200_000)]
+    more = tuple("x" if "string" in c else b"x" if "binary" in c else 7 for c in CLASHING[len(SCHEMA) + 2 :].split(", "))
+    full = spark.createDataFrame([(i, t, "en", None, None, *more) for i, t in rows], CLASHING)
+    want = {"language": {(1, 2), (2, 1), (5, 1), (None, 1), (6, 1)}, "lines": {(1, 2), (3, 1), (4, 1), (5, 1), (None, 1), (6, 1)}, "near_duplicates": {(1, 1), (3, 1), (5, 1), (None, 1), (6, 1)}, "contamination": {(1, 2), (2, 1), (3, 1), (4, 1), (5, 1), (None, 1), (6, 1)}}
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (full, full.limit(0)):
+            out = stage(spark, docs, "/root/testdata/sf0.001").cache()
+            got = {(r[0], r[1]) for r in out.groupBy("doc_id").count().collect()}
+            if name == "packing":
+                assert {i for i, _ in got} == ({r[0] for r in rows} if docs is full else set())
+                continue
+            assert out.columns == full.columns
+            if docs is full:
+                assert all(tuple(r)[5:] == tuple(x if not isinstance(x, bytes) else bytearray(x) for x in more) for r in out.collect())
+            assert got == (want[name] if docs is full else set()), name
+
+
 def test_run_gives_the_pieces_of_what_is_left(spark):
     from tokenizers import Tokenizer
 

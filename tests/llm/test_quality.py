@@ -45,3 +45,12 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     assert Q.classify(docs, Q.train(docs, labels)).first()["quality_score"] == 0.5
     assert Q.classify(docs.limit(0), Q.train(docs.limit(0), labels)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "k", 2.0, "l"), (2, None, "k", 2.0, "l")], "doc_id long, text string, id string, quality_score double, y string")
+    labels = spark.createDataFrame([(1, 1, 3.0), (2, 0, 3.0)], "doc_id long, quality int, y double")
+    model = Q.train(docs, labels)
+    beside = Q.classify(docs, model, into="s")
+    assert beside.columns == [*docs.columns, "s"] and beside.where("quality_score = 2 AND id = 'k' AND s BETWEEN 0 AND 1").count() == 2
+    assert Q.classify(docs, model).where("quality_score = 2").count() == 0

@@ -238,7 +238,7 @@ def published(nodes: DataFrame) -> DataFrame:
 
 
 def _long_paragraphs(nodes: DataFrame, least: int = 80) -> DataFrame:
-    """nodes with `long`: how many of a node's children are paragraphs of at least so many shown characters, none counted at the ends that are blank.
+    """nodes with `long`: how many of a node's children are paragraphs of at least so many shown characters, blank ends left out.
 
     A paragraph's text begins at the first mark after it opens and ends at the last before it closes, so rows for its
     opening and closing stand among the texts of the same veil.

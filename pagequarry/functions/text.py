@@ -277,6 +277,7 @@ def compact_tables(md: Column) -> Column:
 
 def pick_best(main: Column, other: Column, fell_back: Column) -> Column:
     """struct(winner, reason, score) of two metrics structs: the main extract unless a rule favours the other."""
+    # The thresholds of the rules, in order.
     rules = [
         (other["len"] == 0, "main", "other is empty"),
         (fell_back & (other["len"] >= 500), "other", "main fell back"),
@@ -296,6 +297,7 @@ def pick_best(main: Column, other: Column, fell_back: Column) -> Column:
 
 def render_decision(m: Column, reason: Column, quality: Column, override: Column) -> Column:
     """struct(yes, reason): whether a page needs a second pass in a browser."""
+    # The thresholds of the two kinds of poor extracts, and the least quality.
     soup = (m["headings"] >= 5) & (m["paragraphs"] > 0) & (m["headings"] > m["paragraphs"] * 3) & (m["len"] < 5000)
     thin = F.contains(empty(reason), F.lit("fell back")) & (m["len"] < 500)
     why = F.when(override == "force", "forced").when(override == "skip", "skipped").when(thin, "thin fallback").when(soup, "body soup").when(quality < 0.5, "low quality").otherwise("static is fine")
@@ -304,6 +306,7 @@ def render_decision(m: Column, reason: Column, quality: Column, override: Column
 
 def challenge_vendor(html: Column) -> Column:
     """The vendor of a bot challenge that stands in for the page, else null."""
+    # How far a page is read, and the marks of two vendors.
     head = F.substr(empty(html), F.lit(1), F.lit(8192))
     first = head.rlike(r"(?i)<title>\s*Just a moment\.\.\.\s*</title>") & head.rlike(r"(?i)cdn-cgi/challenge-platform|cf-chl|_cf_chl_opt")
     second = head.rlike(r"(?i)/\.bunny-shield/") & head.rlike(r"(?i)data-pow=|shield-challenge\.js")

@@ -223,7 +223,7 @@ def squeezed(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-#: Parts of a page that are not content.
+#: Parts of a page that are not content, a list of this library's own.
 BOILERPLATE = ("nav", "header", "footer", "aside", "form", "iframe", "script", "style", "noscript", "template", "meta", "link", "button", "svg", '[role="navigation"]', '[role="banner"]', '[role="contentinfo"]', '[role="complementary"]', '[class*="cookie" i]', '[id*="cookie" i]', '[class*="share" i]', '[class*="related" i]', '[class~="ad"]', '[class*="newsletter" i]')
 UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
 

@@ -160,10 +160,18 @@ def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def arrow(kind: str):
-    """Like arrow_udf(kind), but for functions of modules that may be imported before there is a session."""
+def arrow(kind: str, once: bool = False):
+    """Like arrow_udf(kind), but for functions of modules that may be imported before there is a session.
+
+    once: a filter on the result stays above it. Otherwise Spark moves the filter below the column and runs the function for both,
+    which takes twice the time and a second Python worker in each task.
+    """
 
     def of(function):
-        return lambda *columns: F.arrow_udf(function, kind)(*columns)
+        def call(*columns):
+            udf = F.arrow_udf(function, kind)
+            return (udf.asNondeterministic() if once else udf)(*columns)
+
+        return call
 
     return of

@@ -141,7 +141,7 @@ def _run_hashes(least: int):
     return of
 
 
-@arrow(f"struct<text:string,runs:{RUNS}>")
+@arrow(f"struct<text:string,runs:{RUNS}>", once=True)
 def _delete(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The text without its repeated runs, and these runs."""
     kind = pa.struct([("text", pa.string()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])

@@ -9,6 +9,7 @@ Defined results: null and empty texts are one piece that holds the end id alone;
 repeated rows and ids give their pieces each; a very long text has more pieces, none longer than the limit.
 """
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,28 +52,23 @@ def byte_letters() -> list[str]:
 
 class Encoder:
     """Token ids of whole texts. The vocabulary drops white space and never joins across it, so the ids of a text are
-    those of its words one after another; a worker encodes each different word once and then looks it up by its hash."""
+    those of its words one after another; a worker encodes each different word once and then looks it up by its hash.
 
-    def __init__(self, path: str):
-        self.path, self.letters, self.tokenizer = path, byte_letters(), None
-        self.open()
-        self._forget()
-
-    def open(self) -> None:
-        """Load the tokenizer; what is known of words stays when it is closed, the tokenizer's own memory doesn't."""
-        if self.tokenizer is None:
-            from tokenizers import Tokenizer
+    The tokenizer is loaded once for a worker and stays: one that has been used leaves memory behind when it is dropped, which adds
+    up if every task loads its own. It runs in the task's thread, as Spark has tasks on the other cores."""
 
-            self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.no_truncation()
-            self.model = self.tokenizer.model
-            self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ("", ".", ",")}
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    def close(self) -> None:
-        self.tokenizer = self.model = None
+        self.letters, self.tokenizer = byte_letters(), Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ("", ".", ",")}
+        self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
@@ -142,7 +138,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     @arrow(PIECES)
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of, end = encoder(vocabulary(tokenizer)), np.array([end_id], "<u4").tobytes()
-        of.open()
         for batch in batches:
             number, start, length, ids, tokens = [0], [], [], [], []
             for _, data, offsets in slices(batch):
@@ -160,7 +155,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             values = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64())], fields=list(PIECE))
             yield pa.ListArray.from_arrays(pa.array(number, pa.int32()), values)
             del values, start, length, ids, tokens
-        of.close()
         release()
 
     cut = docs.select(F.col(id_col), F.explode(pieces(F.col(text_col).cast("string"))).alias("piece"))

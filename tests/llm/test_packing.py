@@ -37,6 +37,27 @@ def test_round_trip_with_odd_rows(spark):
         assert zlib.crc32(own[0]["ids"]) >= 0
 
 
+def test_a_worker_loads_its_tokenizer_once(spark, monkeypatch):
+    import pyarrow as pa
+    import tokenizers
+
+    kept, loads, arrow = [], [], packing.arrow
+
+    class Counted:
+        @staticmethod
+        def from_file(path, load=tokenizers.Tokenizer.from_file):
+            loads.append(path)
+            return load(path)
+
+    monkeypatch.setattr(packing, "arrow", lambda kind: lambda f: (kept.append(f), arrow(kind)(f))[1])
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    packing.encoder.cache_clear()
+    packing.pack(spark.createDataFrame([(1, "a", "", 0, "")], SCHEMA))
+    tasks = [[p["length"] for b in kept[0](iter([pa.array(["one two three", None])])) for d in b.to_pylist() for p in d] for _ in range(3)]
+    packing.encoder.cache_clear()
+    assert tasks[0] == tasks[1] == tasks[2] and len(loads) == 1
+
+
 def test_empty_table_and_buckets(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d e", "", 0, "")], SCHEMA)
     assert packing.pack(docs.limit(0)).count() == 0

@@ -1,4 +1,5 @@
 import inspect
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -79,5 +80,14 @@ def test_run_gives_the_pieces_of_what_is_left(spark):
     assert len(left) >= 0.8 * len(texts) and out.where(F.col("length") > 2048).count() == 0
 
 
+def test_no_stage_runs_a_python_function_twice_for_a_row(spark, capsys):
+    docs, found = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        capsys.readouterr()
+        stage(spark, docs, "/root/testdata/sf0.001").explain()
+        found[name] = re.findall(r"ArrowEvalPython \[(\w+)\(", capsys.readouterr().out)
+    assert found == {"language": ["predict"], "lines": ["_delete"], "near_duplicates": [], "contamination": [], "packing": ["pieces"]}
+
+
 def test_no_stage_swallows_import_errors():
     assert "ImportError" not in inspect.getsource(corpus_pipeline) and "ModuleNotFoundError" not in inspect.getsource(corpus_pipeline)

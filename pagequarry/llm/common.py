@@ -30,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read back: cuts the lineage, and later readers take only the columns they need."""
+def written(df: DataFrame, *hashes: str) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts the lineage, and later readers take only the columns they need.
+
+    hashes: columns of which hardly any two values are equal; no dictionary of them is tried.
+    """
     path = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

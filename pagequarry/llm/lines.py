@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,60 +120,90 @@ def _marks(line: int, least: int):
     return of
 
 
+def flat(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each row's structs of two numbers begin and end among all of them, and these two numbers."""
+    number = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return number, [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten()]
+
+
+def covered_words(first: int, before: np.ndarray, number: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word of concatenated texts, the first of which is row `first`, whether a span of its row (starts and ends as flat() gives them) covers it."""
+    of = slice(number[first], number[first + len(before) - 1])
+    origin = np.repeat(before[:-1], np.diff(number[first : first + len(before)]))
+    start, end = origin + starts[of], origin + ends[of]
+    some = start < end
+    edges = np.bincount(start[some], minlength=before[-1] + 1) - np.bincount(end[some], minlength=before[-1] + 1)
+    return np.cumsum(edges)[:-1] > 0
+
+
 def _run_hashes(least: int):
     """(start, key) of the runs of `least` words that start within the wanted ranges."""
 
     @arrow("array<struct<start:int,key:bigint>>")
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, wanted in batches:
-            number, starts_, keys = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            spans = wanted.to_pylist()
-            for k, text in enumerate(texts.cast(pa.binary())):
-                data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
-                starts, ends, _ = word_ranges(data, np.array([0, len(data)]))
-                at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(s["from"], s["to"] + 1) for s in spans[k])]))
+            (number, (low, high)), many, starts_, keys = flat(wanted), [0], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for first, data, offsets in slices(texts):
+                starts, ends, before = word_ranges(data, offsets)
+                at = np.flatnonzero(covered_words(first, before, number, low, high + 1))
+                counts = np.diff(np.searchsorted(at, before))
                 keys.append(range_hashes(range_hashes(data, starts, ends), at, at + least))
-                starts_.append(at)
-                number.append(number[-1] + len(at))
+                starts_.append(at - np.repeat(before[:-1], counts))
+                many.extend((many[-1] + np.cumsum(counts)).tolist())
             values = pa.StructArray.from_arrays([pa.array(np.concatenate(starts_), pa.int64()).cast(pa.int32()), pa.array(np.concatenate(keys).view(np.int64))], names=["start", "key"])
-            yield pa.ListArray.from_arrays(pa.array(number, pa.int32()), values)
+            yield pa.ListArray.from_arrays(pa.array(many, pa.int32()), values)
         release()
 
     return of
 
 
-@arrow(f"struct<text:string,runs:{RUNS}>", once=True)
+def without(first: int, data: np.ndarray, offsets: np.ndarray, number: np.ndarray, spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What is left of concatenated texts without the words of their rows' spans: bytes, and bytes of each text; the runs of each text, their starts and ends; the words of each text."""
+    starts, _, before = word_ranges(data, offsets)
+    gone = covered_words(first, before, number, *spans)
+    edge = np.zeros(len(gone) + 1, bool)
+    edge[before] = True
+    begin = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone[:-1])))
+    end = np.flatnonzero(gone & (edge[1:] | ~np.append(gone[1:], False))) + 1
+    text = np.searchsorted(before, begin, "right") - 1
+    low, high = starts[begin], np.where(end == before[text + 1], offsets[text + 1], np.append(starts, 0)[end])
+    steps = np.zeros(len(data) + 1, np.int8)
+    steps[low] += 1
+    steps[high] -= 1
+    left = data[np.cumsum(steps, dtype=np.int8)[:-1] == 0]
+    runs = np.bincount(text, minlength=len(offsets) - 1)
+    sizes = np.diff(offsets) - np.bincount(text, high - low, minlength=len(offsets) - 1).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    blank = [k for k in np.flatnonzero((runs > 0) & (sizes > 0)) if not left[at[k] : at[k + 1]].tobytes().decode(errors="replace").strip()]
+    if blank:
+        left, sizes[blank] = left[~np.repeat(np.isin(np.arange(len(sizes)), blank), sizes)], 0
+    return left, sizes, [runs, begin - before[text], end - before[text], np.diff(before)]
+
+
+@arrow(f"struct<text:string,runs:{RUNS},words:bigint>", once=True)
 def _delete(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """The text without its repeated runs, and these runs."""
-    kind = pa.struct([("text", pa.string()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    """The text without its repeated runs, these runs, and how many words it had."""
     for texts, found in batches:
-        out = []
-        for text, spans in zip(texts.cast(pa.binary()), found.to_pylist()):
-            if not spans:
-                out.append({"text": text.as_py(), "runs": []})
-                continue
-            raw = text.as_py()
-            data = np.frombuffer(raw, np.uint8)
-            starts, _, _ = word_ranges(data, np.array([0, len(data)]))
-            runs, edges, at, kept = merged([(s["start"], s["end"]) for s in spans]), np.append(starts, len(data)), 0, []
-            for s, e in runs:
-                kept.append(raw[at : edges[s]])
-                at = int(edges[e])
-            rest = b"".join([*kept, raw[at:]]).decode()
-            out.append({"text": rest if rest.strip() else "", "runs": [{"start": s, "end": e} for s, e in runs]})
-        yield pa.array(out, kind)
+        number, spans = flat(found)
+        parts = [without(first, data, offsets, number, spans) for first, data, offsets in slices(texts)]
+        none = np.zeros(0, np.int64)
+        sizes, (runs, start, end, words) = np.concatenate([none, *(p[1] for p in parts)]), [np.concatenate([none, *(p[2][k] for p in parts)]) for k in range(4)]
+        left = np.concatenate([np.zeros(0, np.uint8), *(p[0] for p in parts)])
+        clean = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(left)]).cast(pa.string())
+        if texts.null_count:
+            clean = pc.if_else(texts.is_valid(), clean, pa.scalar(None, pa.string()))
+        places = pa.StructArray.from_arrays([pa.array(x, pa.int64()).cast(pa.int32()) for x in (start, end)], names=["start", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs)]), pa.int64()).cast(pa.int32()), places)
+        yield pa.StructArray.from_arrays([clean, lists, pa.array(words, pa.int64())], names=["text", "runs", "words"])
     release()
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Unions of the spans."""
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+@arrow("bigint")
+def _words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """How many words a text has."""
+    for texts in batches:
+        yield pa.array(np.concatenate([np.zeros(0, np.int64), *(np.diff(word_ranges(data, offsets)[2]) for _, data, offsets in slices(texts))]), pa.int64())
+    release()
 
 
 def _place():
@@ -195,7 +226,7 @@ def _later(met: DataFrame, length) -> DataFrame:
 
 def find_repeats(keyed: DataFrame, text, line: int, least: int) -> DataFrame:
     """(id, th, start, end): the spans of words that have an earlier place. keyed: id, th and what `text` needs."""
-    marks = written(keyed.select("id", "th", F.explode(_marks(line, least)(text)).alias("m")).select("id", "th", "m.*"))
+    marks = written(keyed.select("id", "th", F.explode(_marks(line, least)(text)).alias("m")).select("id", "th", "m.*"), "h", "stretch", "left", "right")
     again = written(_places_of(marks, "h"))
     marks = written(meet(marks, again, "h", marks.count()).select(*marks.columns))
 
@@ -213,7 +244,7 @@ def find_repeats(keyed: DataFrame, text, line: int, least: int) -> DataFrame:
     wanted = written(meet(sides, shared, "side", sides.count()).groupBy("id", "th").agg(F.collect_list(F.struct("from", "to")).alias("wanted")))
 
     runs = _held(keyed, wanted).select("id", "th", F.explode(_run_hashes(least)(text, F.col("wanted"))).alias("r")).select("id", "th", "r.start", (F.col("r.start") + least).alias("end"), "r.key")
-    runs = written(runs.distinct())
+    runs = written(runs, "key")
     known = written(runs.groupBy("key").agg(F.min(_place()).alias("at"), F.count("*").alias("n")).where("n > 1"))
     return found.unionByName(_later(meet(runs, known, "key", runs.count()), F.lit(least)))
 
@@ -230,7 +261,7 @@ def _held(keyed: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line: int = WRITTEN, least: int = LEAST) -> DataFrame:
-    """(row, clean): row holds all columns of docs; clean is struct(text, runs), the text without later repeats, and the deleted runs of words."""
+    """(row, clean): row holds all columns of docs; clean is struct(text, runs, words), the text without later repeats, the deleted runs of words, and how many words it had."""
     if least < 2 * LINE:
         raise ValueError(f"runs have {2 * LINE} words at least")
     small_batches(docs.sparkSession)
@@ -243,5 +274,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line:
     more = spans.withColumnsRenamed({"id": "of_id", "th": "of_th"})
     near = marked.where("held").join(more, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")), "left")
     changed = near.select("row", _delete(text, F.coalesce("spans", F.expr(NO_RUNS))).alias("clean"))
-    whole = marked.where("NOT held").select("row", F.struct(text.alias("text"), F.expr(NO_RUNS).alias("runs")).alias("clean"))
+    whole = marked.where("NOT held").select("row", F.struct(text.alias("text"), F.expr(NO_RUNS).alias("runs"), _words(text).alias("words")).alias("clean"))
     return whole.unionByName(changed)

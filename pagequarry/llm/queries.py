@@ -47,8 +47,7 @@ def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup(table(spark, sf_dir, "documents"))
     runs = F.array_join(F.transform("clean.runs", lambda r: F.concat_ws(":", r["start"], r["end"])), ",")
-    n_words = F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return found.select("row.doc_id", n_words.alias("n_words"), runs.alias("deleted_runs"), F.col("clean.text").alias("text"))
+    return found.select("row.doc_id", F.col("clean.words").alias("n_words"), runs.alias("deleted_runs"), F.col("clean.text").alias("text"))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from pagequarry.llm import lines
+import corpus_pipeline
+from pagequarry.llm import lines, queries
 
 SCHEMA = "doc_id long, text string, row string, th string, clean string, runs int, held string, id string"
 
@@ -145,3 +147,54 @@ def test_all_repeats_of_documents_against_brute_force(spark):
     found = {r["row"]["doc_id"]: {p for x in r["clean"]["runs"] for p in range(x["start"], x["end"])} for r in lines.dedup(docs).collect()}
     want = covered([t for _, t in texts])
     assert any(want) and [(i, found[i]) for i, _ in texts] == [(i, x) for (i, _), x in zip(texts, want)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_counted_by_bytes_and_only_where_asked_for(spark, tmp_path):
+    """The query matches no pattern on any text; the pipeline, which asks for no count, sends only changed texts to Python."""
+    p = " ".join(words(60, 1))
+    texts = [None, "", " \n", "one", "\ta\u00a0b  c\n\n d\x0b", p, f"x {p}\r\ny", "\u4e2d \u6587 " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_lines(spark, str(tmp_path))
+    assert {r["doc_id"]: r["n_words"] for r in found.collect()} == {k: len((t or "").encode().split()) for k, t in enumerate(texts)}
+    assert "regexp" not in plan(found).lower() and "_words(" in plan(found)
+    of_pipeline = plan(corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)))
+    assert "_delete(" in of_pipeline and "_words(" not in of_pipeline
+
+
+def test_texts_side_by_side_lose_their_own_words_only():
+    """Deletion in concatenated texts is deletion in each: runs that touch at the border of two texts, texts without words, rests of odd blanks."""
+    random.seed(3)
+    texts = [b"", b"a b c", b"d e f", b"  \n", b" g\t h ", "\u00a0 i j".encode(), b"k", b"", b"l m n o p q r s "] * 20
+    spans = []
+    for t in texts:
+        n = len(t.split())
+        spans.append([(s, random.randrange(s + 1, n + 1)) for s in (random.randrange(n) for _ in range(random.randrange(4)))] if n else [])
+    spans[1:3], spans[5] = [[(0, 3)], [(0, 2), (1, 3)]], [(1, 3)]
+    number, flat = np.cumsum([0, *(len(x) for x in spans)]), np.array([x for s in spans for x in s]).T
+    offsets = np.cumsum([0, *(len(t) for t in texts[2:])])
+    left, sizes, (runs, start, end, counts) = lines.without(2, np.frombuffer(b"".join(texts[2:]), np.uint8), offsets, number, list(flat))
+    at, runs_at = np.cumsum([0, *sizes]), np.cumsum([0, *runs])
+    for k, (text, of) in enumerate(zip(texts[2:], spans[2:])):
+        gone, w = {p for s, e in of for p in range(s, e)}, text.split()
+        got = left[at[k] : at[k + 1]].tobytes()
+        found = list(zip(start[runs_at[k] : runs_at[k + 1]].tolist(), end[runs_at[k] : runs_at[k + 1]].tolist()))
+        assert counts[k] == len(w) and {p for s, e in found for p in range(s, e)} == gone
+        assert all(e < s for (_, e), (s, _) in zip(found, found[1:]))
+        assert got.split() == ([x for p, x in enumerate(w) if p not in gone] if got else []) and (got != b"" or not text or not b" ".join(x for p, x in enumerate(w) if p not in gone).decode().strip())
+        assert of or got == text
+
+
+def test_rows_of_one_id_and_text_count_as_one(spark):
+    """Every row is there twice; runs are looked up alike."""
+    texts = []
+    for k in range(8):
+        p = words(60, 50 + k)
+        texts += [words(20, 100 + k) + p[k * 4 : k * 4 + 30] + words(30, 200 + k), words(15, 300 + k) + p + words(40, 400 + k), words(5, 700 + k) + p[3:53] + words(50, 800 + k) + p[10:] + words(2, 900 + k)]
+    texts = [" ".join(t) for t in texts]
+    got = gone(dedup(spark, [t for t in texts for _ in range(2)], [k for k in range(len(texts)) for _ in range(2)]))
+    assert got == [x for x in covered(texts) for _ in range(2)] and any(got)

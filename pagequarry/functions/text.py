@@ -82,7 +82,8 @@ LINE_ENDS = re.compile("([\n\r\u2028\u2029])")
 BLANKS = r"[\s\x{00A0}\x{FEFF}\x{2028}\x{2029}]"
 #: Marks that are taken off, in this order.
 MARKS = (rf"(?m)^#{{1,6}}{BLANKS}+", ""), *((rf"{m}([^\n\r\x{{2028}}\x{{2029}}]+?){m}", "$1") for m in (r"\*\*", r"\*", "__", "_", "~~"))
-LAST_MARKS = (rf"(?m)^>{BLANKS}?", ""), (rf"(?m)^[-*+]{BLANKS}+", "- "), (r"(?m)^---+$", "---"), (rf"\A{BLANKS}+|{BLANKS}+\z", "")
+LAST_MARKS = (rf"(?m)^>{BLANKS}?", ""), (rf"(?m)^[-*+]{BLANKS}+", "- "), (r"(?m)^---+$", "---")
+OUTER = {"both": rf"\A{BLANKS}+|{BLANKS}+\z", "start": rf"\A{BLANKS}+", "end": rf"{BLANKS}+\z"}
 
 
 def links_written_out(text: str | None) -> str | None:
@@ -106,10 +107,11 @@ def _links_written_out(texts: pa.Array) -> pa.Array:
     return pa.array([links_written_out(t) for t in texts.to_pylist()], pa.string())
 
 
-def strip_markdown(md: Column) -> Column:
+def strip_markdown(md: Column, trimmed: str = "both") -> Column:
     """Plain text of Markdown: headings, emphasis and quotes go, list marks become hyphens, images their address, links `text (address)`; escaped marks stay as they are, and code keeps its marks and backslashes.
 
     Escapes outside code are parked first: the text is cut into code, escapes and the rest, and what an escape holds is put out of the way.
+    trimmed: blanks go at both ends, or at the "start" or "end" only, for the first and the last part of a text.
     """
     text = empty(md)
     escape = rf"\\[{re.escape(PUNCTUATION)}]"
@@ -119,7 +121,7 @@ def strip_markdown(md: Column) -> Column:
     for pattern, by in MARKS:
         out = F.regexp_replace(out, pattern, by)
     out = F.when(F.contains(out, F.lit("](")), F.arrow_udf(_links_written_out, "string")(out)).otherwise(out)
-    for pattern, by in LAST_MARKS:
+    for pattern, by in (*LAST_MARKS, (OUTER[trimmed], "")):
         out = F.regexp_replace(out, pattern, by)
     return F.translate(out, PARKED, PUNCTUATION)
 
